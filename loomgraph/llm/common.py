@@ -83,3 +83,10 @@ class Memo(dict):
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
+
+
+def unstage(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -22,9 +22,9 @@ from loomgraph.llm.common import SPACE_BYTES, slices, texts
 LEVEL = 3
 CHUNK_BYTES = 4096
 #: (fewest bytes, lowest ratio, highest ratio) of the whole text. Longer prose compresses better, so both limits rise.
-BANDS = ((0, 0.90, 4.0), (512, 1.15, 5.0), (2048, 1.35, 6.0), (8192, 1.5, 7.0), (32768, 1.6, 8.0))
+BANDS = ((0, 0.90, 3.0), (512, 1.15, 3.2), (2048, 1.35, 3.5), (8192, 1.5, 3.8), (32768, 1.55, 4.2))
 #: The same for one chunk; a text is rejected if more than this share of its chunks lies outside.
-CHUNK_BAND = (1.2, 6.5)
+CHUNK_BAND = (1.25, 4.0)
 CHUNK_SHARE = 0.25
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, ratio double, lowest_chunk double, highest_chunk double, reason string"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from loomgraph.llm import bpe, brown, exact_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
 from loomgraph.llm.common import crc_mod, documents
 
 
@@ -66,8 +66,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_edited(documents(spark, sf_dir), vocabulary())
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.brown_scores(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_bpe, op5_quality_classifier, op7_mixing, op8_quality_rules, op9_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_bpe, op5_quality_classifier, op7_mixing, op8_quality_rules, op9_token_counts, op10_lm_scoring)}
 
 
 OP2_SQL = r"""
