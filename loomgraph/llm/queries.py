@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, brown, exact_dedup, mixing, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from loomgraph.llm import bpe, brown, exact_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
 from loomgraph.llm.common import crc_mod, documents
 
 
@@ -54,6 +54,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, model).select("doc_id", held_out(quality_classifier.FOLDS).alias("held_out"), "expected_grade", "tail_probability", "selected")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_duplicates(spark, documents(spark, sf_dir))
+    return found.select("doc_id", "class_id", "n_links", "passages", F.transform("passages", lambda p: p["partner"]).alias("partner_ids"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -71,7 +76,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_bpe, op5_quality_classifier, op7_mixing, op8_quality_rules, op9_token_counts, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_bpe, op5_quality_classifier, op6_substring_dedup, op7_mixing, op8_quality_rules, op9_token_counts, op10_lm_scoring)}
 
 
 OP2_SQL = r"""
