@@ -34,7 +34,7 @@ from loomgraph.llm.common import Memo, numbered, slices, stage, texts, unstage
 
 CLASSES = 24
 ROUNDS = 3
-BLOCK = 1_000_000
+BLOCK = 400_000
 FOLDS, HELD = 7, 2
 #: Weight of the class model against the plain word share, and of the class's share against its transitions (in tokens).
 MIX, SMOOTH = 0.95, 20.0
@@ -260,8 +260,8 @@ def exchange(matrix: np.ndarray, cls: np.ndarray, width: np.ndarray, context: np
     rows, columns = matrix.sum(1), matrix.sum(0)
     both = np.concatenate([matrix, matrix.T])  # row p: class p before; row k + q: class q after
     gain, own_cost = np.zeros((words, k)), np.zeros(words)
-    for a in range(0, len(word), 200_000):  # bounded memory
-        part = slice(a, a + 200_000)
+    for a in range(0, len(word), 40_000):  # bounded memory
+        part = slice(a, a + 40_000)
         m, x, w = both[context[part]], number[part], word[part]
         change = xlogx(m + x[:, None]) - xlogx(m)
         begins = np.flatnonzero(np.diff(w, prepend=-1))
