@@ -61,7 +61,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, index: DigestIndex | None
     found = stage(spark, digests(numbered(docs)), "digests")
     index.ingest(found, batch)
     sizes = found.groupBy("digest").agg(F.count("*").alias("group_size"))
-    groups = sizes.join(index.rows().hint("merge"), "digest")
+    # written, so that the join after it shuffles both sides afresh and a large group of copies is split among tasks
+    groups = stage(spark, sizes.join(index.rows().hint("merge"), "digest"), "groups")
     known = F.col("first_batch") != batch
     return found.join(groups, "digest").select(
         "doc_id", "__row", "keep_id", F.col("group_size").cast("long").alias("group_size"),
