@@ -198,7 +198,7 @@ class Bpe:
                 cut[raw] = (piece.lower(),)
             else:
                 cut[raw] = self.pre_tokens(piece)
-        if unknown := set().union(*cut.values()) - known.keys() - special.keys():
+        if unknown := set().union(*cut.values()).difference(known, special):
             self.merge([*unknown])
         for raw, c in cut.items():
             if len(c) == 1 and b"<|" not in raw:
@@ -211,7 +211,7 @@ class Bpe:
         cut = [x.split() for x in some]
         if len(self.pieces) > MOST_CACHED:
             self.pieces.clear()
-        if missing := set().union(*cut) - self.pieces.keys():
+        if missing := set().union(*cut).difference(self.pieces):  # not "- keys()", which walks the whole cache
             self.learn(missing)
         get = self.pieces.__getitem__
         return [b"".join(map(get, x)) for x in cut]
