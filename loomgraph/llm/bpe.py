@@ -206,13 +206,17 @@ class Bpe:
             else:
                 self.pieces[raw] = b"".join([special.get(x) or known[x] if x[:2] == "<|" else known[x] for x in c])
 
-    def encode(self, some: list[bytes]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [x.split() for x in some]
+    def know(self, cut: list[list[bytes]]) -> None:
+        """See that self.pieces has all pieces of these texts."""
         if len(self.pieces) > MOST_CACHED:
             self.pieces.clear()
         if missing := set().union(*cut).difference(self.pieces):  # not "- keys()", which walks the whole cache
             self.learn(missing)
+
+    def encode(self, some: list[bytes]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        cut = [x.split() for x in some]
+        self.know(cut)
         get = self.pieces.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 

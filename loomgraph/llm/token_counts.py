@@ -23,8 +23,9 @@ from loomgraph.llm.bpe import Bpe, bpe
 from loomgraph.llm.common import SPACE_BYTES, slices, texts
 
 Edit = tuple[int, int, bytes]
-#: What the built-in edits mask: mail addresses and long numbers.
-MASKED = re.compile(rb"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|[0-9]{4,}")
+#: What the built-in edits mask: mail addresses and long numbers. A local part is tried from its begin only, once, so long words take linear time.
+MASKED = re.compile(rb"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9.-]+|[0-9]{4,}")
+NUMBER = re.compile(rb"[0-9]{4,}")
 MASK = b"<masked>"
 _is_space = np.zeros(256, bool)
 _is_space[[*SPACE_BYTES]] = True
@@ -33,7 +34,7 @@ _is_space[[*SPACE_BYTES]] = True
 class CountTree:
     """Sums of token counts over the pieces of one text."""
 
-    def __init__(self, counts: list[int]):
+    def __init__(self, counts: np.ndarray | list[int]):
         self.leaves = 1 << max(0, len(counts) - 1).bit_length()
         self.sums = np.zeros(2 * self.leaves, np.int64)
         self.sums[self.leaves : self.leaves + len(counts)] = counts
@@ -61,10 +62,10 @@ def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
-def count_pieces(coder: Bpe, some: list[list[bytes]]) -> list[list[int]]:
-    coder.encode([b" ".join(x) for x in some])  # learns the pieces of all together
-    ids = coder.pieces
-    return [[len(ids[p]) // 4 for p in x] for x in some]
+def count_pieces(coder: Bpe, some: list[list[bytes]]) -> list[np.ndarray]:
+    coder.know(some)
+    get = coder.pieces.__getitem__
+    return [np.fromiter(map(len, map(get, x)), np.int64, len(x)) // 4 for x in some]
 
 
 def apply_edits(coder: Bpe, text: bytes, tree: CountTree, edits: list[Edit]) -> tuple[bytes, int]:
@@ -96,12 +97,12 @@ def apply_edits(coder: Bpe, text: bytes, tree: CountTree, edits: list[Edit]) ->
         fresh.append(part.split())
     for (i, j, _), counts in zip(groups, count_pieces(coder, fresh)):
         if i <= j:
-            tree.put(i, sum(counts))
+            tree.put(i, int(counts.sum()))
             for leaf in range(i + 1, j + 1):
                 tree.put(leaf, 0)
         else:  # between two pieces: the piece before it, or the first, takes the sum
             leaf = max(i - 1, 0)
-            tree.put(leaf, int(tree.sums[tree.leaves + leaf]) + sum(counts))
+            tree.put(leaf, int(tree.sums[tree.leaves + leaf]) + int(counts.sum()))
     out.append(text[at:])
     return b"".join(out), again
 
@@ -114,7 +115,7 @@ def cleaning_edits(text: bytes) -> list[Edit]:
             edits.append((max(at - 1, 0), at + len(line), b""))
         else:
             seen.add(line)
-            edits += [(at + m.start(), at + m.end(), MASK) for m in MASKED.finditer(line)]
+            edits += [(at + m.start(), at + m.end(), MASK) for m in (MASKED if b"@" in line else NUMBER).finditer(line)]
         at += len(line) + 1
     return edits
 
@@ -130,7 +131,7 @@ def count_edited(docs: DataFrame, vocabulary: str, find_edits=cleaning_edits) ->
         for batch in slices(batches):
             some, rows = texts(batch), []
             for text, counts in zip(some, count_pieces(coder, [x.split() for x in some])):
-                tree = CountTree(counts or [0])
+                tree = CountTree(counts)
                 before, edits = tree.total, find_edits(text)
                 again = apply_edits(coder, text, tree, edits)[1]
                 rows.append((before, len(edits), tree.total, len(text), again))

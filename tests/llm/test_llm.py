@@ -157,7 +157,7 @@ def test_token_counts_equal_recount(spark, docs, empty):
             bounds = [i for i in range(len(text) + 1) if i == len(text) or text[i] & 0xC0 != 0x80]
             cuts = sorted(int(x) for x in rng.choice(bounds, 2 * min(3, (len(bounds) + 1) // 2)))
             edits = [(a, b, [b"", b" ", b"new Words", b"x"][int(rng.integers(4))]) for a, b in zip(cuts[::2], cuts[1::2])]
-            tree = token_counts.CountTree(token_counts.count_pieces(coder, [text.split()])[0] or [0])
+            tree = token_counts.CountTree(token_counts.count_pieces(coder, [text.split()])[0])
             new, _ = token_counts.apply_edits(coder, text, tree, edits)
             want, at = b"", 0
             for a, b, x in edits:
