@@ -40,7 +40,8 @@ class DigestIndex:
     def ingest(self, digests: DataFrame, batch: str) -> None:
         """Append what is new in digests (digest, doc_id, chars, __row). A batch that is ingested again adds nothing."""
         order = F.struct((-F.col("chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row"))
-        best = digests.groupBy("digest").agg(F.min(order).alias("b"))
+        # written, because Catalyst would push the anti-join below the aggregation, where a group's copies all meet in one task
+        best = stage(self.spark, digests.groupBy("digest").agg(F.min(order).alias("b")), "candidates")
         fresh = best.join(self.rows().hint("merge"), "digest", "left_anti")
         self._write(fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.__row").alias("keep_row"), (-F.col("b.n")).alias("chars"), F.lit(batch).alias("first_batch")))
 
