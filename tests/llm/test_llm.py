@@ -329,6 +329,33 @@ def test_substring_dedup(spark, docs, empty, small):
     assert shared <= linked and all(len({cls[d] for d in x}) == 1 for x in where.values())
 
 
+def test_fragments_hide_no_passage(spark):
+    """Earlier rows that hold only a fragment of a passage, few or many of them, with exact and with similar copies of the whole."""
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, want = [], {"exact": [], "similar": []}
+    put = lambda words: rows.append((len(rows), " ".join(some(30) + words + some(30)))) or len(rows) - 1
+    for group in range(60):
+        exact, crowd = group % 2 == 0, (1, 3, 14)[group % 3]
+        passage = some(50 if exact else 94)
+        for _ in range(crowd if exact else min(crowd, 3)):
+            put(passage[1:49] if exact else passage[20:65])
+        first, other = put(passage), [*passage]
+        if not exact:
+            other[30], other[60] = some(2)
+            a, b = ({tuple(x[i : i + 5]) for i in range(90)} for x in (passage, other))
+            assert len(a & b) / len(a | b) == 0.8
+        want["exact" if exact else "similar"].append((first, put(other)))
+    docs = spark.createDataFrame(rows, "__row bigint, text string").repartition(3)
+    found = {(r.other, r.row) for r in substring_dedup.passages(spark, docs).select("row", "other").collect()}
+    words = [x.split() for _, x in rows]
+    grams = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in words]
+    brute = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if grams[i] & grams[j]}
+    assert set(want["exact"]) <= brute and brute <= found
+    print("similar copies found", np.mean([x in found for x in want["similar"]]))
+    assert np.mean([x in found for x in want["similar"]]) >= 0.9
+
+
 def test_pipeline(spark, tmp_path, docs, empty, small):
     import corpus_pipeline
 
