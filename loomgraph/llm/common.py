@@ -46,10 +46,15 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
-    """Add a row number that is stable for a table read from files: repeated rows and null ids stay apart."""
+    """Add a row number: repeated rows and null ids stay apart. It holds for one read only, as a second may cut the files otherwise."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def stage_numbered(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows with their numbers, written once, for all that reads them more than once."""
+    return stage(spark, numbered(df), "numbered")
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

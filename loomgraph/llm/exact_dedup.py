@@ -13,14 +13,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACE_CLASS, numbered, stage
+from loomgraph.llm.common import SPACE_CLASS, numbered, stage, stage_numbered
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, keep_row bigint, chars int, first_batch string"
 
 
+def first_row() -> Column:
+    """Of a group of copies, the row that stays."""
+    return F.min(F.struct((-F.col("chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row")))
+
+
 class DigestIndex:
     """A bucketed and sorted table of the digests seen so far, each with the row that stays."""
 
@@ -39,9 +44,8 @@ class DigestIndex:
 
     def ingest(self, digests: DataFrame, batch: str) -> None:
         """Append what is new in digests (digest, doc_id, chars, __row). A batch that is ingested again adds nothing."""
-        order = F.struct((-F.col("chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("__row"))
         # written, because Catalyst would push the anti-join below the aggregation, where a group's copies all meet in one task
-        best = stage(self.spark, digests.groupBy("digest").agg(F.min(order).alias("b")), "candidates")
+        best = stage(self.spark, digests.groupBy("digest").agg(first_row().alias("b")), "candidates")
         fresh = best.join(self.rows().hint("merge"), "digest", "left_anti")
         self._write(fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.__row").alias("keep_row"), (-F.col("b.n")).alias("chars"), F.lit(batch).alias("first_batch")))
 
@@ -58,21 +62,27 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
     """One row per document: doc_id, __row, keep_id, group_size, kept, text_sha256, known (its text was in the index before this batch)."""
+    return decide(spark, numbered(docs), index, batch)
+
+
+def decide(spark: SparkSession, rows: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
+    """exact_dedup of rows that have their numbers."""
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    found = stage(spark, digests(numbered(docs)), "digests")
+    found = stage(spark, digests(rows), "digests")
     index.ingest(found, batch)
-    sizes = found.groupBy("digest").agg(F.count("*").alias("group_size"))
+    # the row that stays is named by this run's numbers: those in the index may be of an earlier run of the batch
+    sizes = found.groupBy("digest").agg(F.count("*").alias("group_size"), first_row().getField("__row").alias("first_row"))
     # written, so that the join after it shuffles both sides afresh and a large group of copies is split among tasks
     groups = stage(spark, sizes.join(index.rows().hint("merge"), "digest"), "groups")
     known = F.col("first_batch") != batch
     return found.join(groups, "digest").select(
         "doc_id", "__row", "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        (~known & (F.col("__row") == F.col("keep_row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), known.alias("known"),
+        (~known & (F.col("__row") == F.col("first_row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), known.alias("known"),
     )
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which exact_dedup keeps one per group."""
-    kept = exact_dedup(spark, docs).filter("kept").select("__row")
-    names = docs.columns
-    return numbered(docs).join(kept, "__row", "left_semi").select(*[F.col(f"`{x}`") for x in names])
+    names, rows = docs.columns, stage_numbered(spark, docs)
+    kept = decide(spark, rows).filter("kept").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{x}`") for x in names])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD_CLASS, numbered, stage
+from loomgraph.llm.common import WORD_CLASS, numbered, stage, stage_numbered
 
 #: A source is repeated this many times at most.
 MOST_REPEATS = 3
@@ -52,8 +52,13 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, __row, source, size, source_size, target, copies, taken."""
+    return portion(spark, numbered(docs))
+
+
+def portion(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """mix of rows that have their numbers."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    sized = stage(spark, numbered(docs).select("doc_id", "__row", "source", size.alias("size")), "sizes")
+    sized = stage(spark, rows.select("doc_id", "__row", "source", size.alias("size")), "sizes")
     per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     out = sized.join(per, F.col("source").eqNullSafe(F.col("__source"))).withColumn("copies", copies(rate, F.col("doc_id")))
@@ -62,7 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def repeat_to_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. Texts without words carry no size; they are taken once."""
-    names = docs.columns
+    names, rows = docs.columns, stage_numbered(spark, docs)
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    plan = mix(spark, docs).select("__row", times.alias("__times")).filter("__times > 0")
-    return numbered(docs).join(plan, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[F.col(f"`{x}`") for x in names])
+    plan = portion(spark, rows).select("__row", times.alias("__times")).filter("__times > 0")
+    return rows.join(plan, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[F.col(f"`{x}`") for x in names])

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import numbered, slices, stage, texts
+from loomgraph.llm.common import numbered, slices, stage, stage_numbered, texts
 
 SHINGLE = 3
 SEED = 42
@@ -123,7 +123,12 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = MOST_RO
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, __row, fp, component_id, leader_row (the first row with the component's id)."""
-    marked = stage(spark, fingerprints(numbered(docs)), "fingerprints")
+    return lead(spark, numbered(docs))
+
+
+def lead(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """near_duplicates of rows that have their numbers."""
+    marked = stage(spark, fingerprints(rows), "fingerprints")
     per = stage(spark, marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__row")).alias("first")), "distinct")
     labels = components(spark, links(per.select("fp")))
     owned = per.join(labels, per["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
@@ -134,6 +139,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_leaders(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one of each component."""
-    names = docs.columns
-    kept = near_duplicates(spark, docs).filter("__row = leader_row").select("__row")
-    return numbered(docs).join(kept, "__row", "left_semi").select(*[F.col(f"`{x}`") for x in names])
+    names, rows = docs.columns, stage_numbered(spark, docs)
+    kept = lead(spark, rows).filter("__row = leader_row").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{x}`") for x in names])

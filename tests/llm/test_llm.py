@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomgraph.llm import bpe, brown, exact_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from loomgraph.llm import bpe, brown, common, exact_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
 from loomgraph.llm.queries import vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -356,6 +356,49 @@ def test_fragments_hide_no_passage(spark):
     assert np.mean([x in found for x in want["similar"]]) >= 0.9
 
 
+def test_row_numbers_outlive_a_new_file_split(spark, tmp_path, monkeypatch):
+    """Between two steps the cluster changes, so that the same files are cut otherwise."""
+    rows = [(i, f"{PROSE} {'copy' if i % 3 else i} " * 2, "ab"[i % 2]) for i in range(24)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6).write.parquet(path)
+    size = iter(range(1000))
+
+    def change():
+        spark.conf.set("spark.sql.files.maxPartitionBytes", ("1k", "128m")[next(size) % 2])
+
+    def changing(*given):
+        change()
+        return common.stage(*given)
+
+    def run(operator):
+        out = operator(spark, spark.read.parquet(path))
+        change()
+        return out.collect()
+
+    for module in (exact_dedup, simhash, mixing, substring_dedup):
+        monkeypatch.setattr(module, "stage", changing)
+    copies = {r[0] for r in rows if r[0] % 3}
+    try:
+        for _ in range(2):
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            change()
+            assert sorted(r.doc_id for r in run(exact_dedup.keep_first_copies)) == sorted({r[0] for r in rows} - copies | {1})
+            taken = collections.Counter(r.doc_id for r in run(mixing.repeat_to_mix))
+            assert taken == {r.doc_id: r.taken // r.size for r in mixing.mix(spark, spark.read.parquet(path)).collect() if r.taken}
+            fp = [fingerprint(raw(r[1])) for r in rows]
+            assert sorted(r.doc_id for r in run(simhash.keep_leaders)) == sorted(set(components(fp)))
+            for r in run(substring_dedup.substring_duplicates):
+                assert r.class_id == 0 and all(p.partner != r.doc_id for p in r.passages or [])
+        index = exact_dedup.DigestIndex(spark, "digest_index_split", 4)
+        for _ in range(2):
+            change()
+            assert sum(r.kept for r in exact_dedup.exact_dedup(spark, spark.read.parquet(path), index).collect()) == len(rows) - len(copies) + 1
+        index.drop()
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
 def test_pipeline(spark, tmp_path, docs, empty, small):
     import corpus_pipeline
 
