@@ -29,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there, so lost executors cost no recomputation of earlier steps."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,9 +50,9 @@ def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def stage_numbered(spark: SparkSession, df: DataFrame) -> DataFrame:
+def stage_numbered(spark: SparkSession, df: DataFrame, codec: str | None = None) -> DataFrame:
     """The rows with their numbers, written once, for all that reads them more than once."""
-    return stage(spark, numbered(df), "numbered")
+    return stage(spark, numbered(df), "numbered", codec)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

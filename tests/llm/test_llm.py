@@ -329,6 +329,11 @@ def test_substring_dedup(spark, docs, empty, small):
     assert shared <= linked and all(len({cls[d] for d in x}) == 1 for x in where.values())
 
 
+def test_meeting_is_likely_at_the_least_similarity():
+    k, p = substring_dedup.HASHES, substring_dedup.SIMILARITY
+    assert sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(substring_dedup.FEWEST, k + 1)) > 0.99
+
+
 def test_fragments_hide_no_passage(spark):
     """Earlier rows that hold only a fragment of a passage, few or many of them, with exact and with similar copies of the whole."""
     rng = np.random.default_rng(11)
