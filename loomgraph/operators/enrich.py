@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from loomgraph.schemas import MOST_CANDIDATES, MOST_PER_REQUEST, MOST_RELATIONS, MOST_REQUEST_BYTES
 
@@ -14,21 +18,33 @@ def top_relations(edges: DataFrame, most: int = MOST_RELATIONS) -> DataFrame:
     return edges.select("source", "type", "target").distinct().withColumn("k", k).filter(F.col("k") <= most)
 
 
-def greedy_batches(items: DataFrame, group: str, key: str, size: str, most: int = MOST_CANDIDATES) -> DataFrame:
-    """Batches of each group's first `most` items by key: a new one begins when count or bytes would overflow. The
-    fold runs over at most `most` items, so a group is never gathered whole."""
+def first_candidates(items: DataFrame, group: str, key: str, most: int = MOST_CANDIDATES) -> DataFrame:
+    """Each group's first `most` items by key: the bound of candidate selection, not of batching."""
     k = F.row_number().over(Window.partitionBy(group).orderBy(key))
-    first = items.withColumn("k", k).filter(F.col("k") <= most)
-    rows = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("k"), F.col(key).alias("key"), F.col(size).cast("long").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<struct<key:bigint,batch:int>>").alias("out"))
-
-    def step(s, r):
-        over = (s["n"] >= MOST_PER_REQUEST) | ((s["n"] > 0) & (s["bytes"] + r["size"] > MOST_REQUEST_BYTES))
-        batch = s["batch"] + F.when(over, 1).otherwise(0)
-        item = F.struct(r["key"].cast("bigint").alias("key"), batch.alias("batch"))
-        return F.struct(batch.alias("batch"), F.when(over, 1).otherwise(s["n"] + 1).alias("n"), F.when(over, r["size"]).otherwise(s["bytes"] + r["size"]).alias("bytes"), F.array_append(s["out"], item).alias("out"))
-
-    return rows.select(group, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("o")).select(group, F.col("o.key").alias(key), F.col("o.batch").alias("batch"))
+    return items.withColumn("k", k).filter(F.col("k") <= most).drop("k")
+
+
+def greedy_batches(items: DataFrame, group: str, key: str, size: str) -> DataFrame:
+    """Batches of all items of each group by key: a new one begins when count or bytes would overflow. A group's sorted rows are folded
+    as a stream that carries the open batch from one Arrow batch to the next, so memory is bounded; a group's rows pass through one task.
+    A null size counts as 0."""
+    rows = items.select(F.col(group).alias("g"), F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")).repartition("g").sortWithinPartitions("g", "key")
+    kind = rows.select("g", "key").schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, group, batch, n, used = False, None, 0, 0, 0
+        for some in batches:
+            out = []
+            for g, x in zip(some.column(0).to_pylist(), some.column(2).to_pylist()):
+                if not begun or g != group:
+                    begun, group, batch, n, used = True, g, 0, 0, 0
+                if n >= MOST_PER_REQUEST or (n and used + x > MOST_REQUEST_BYTES):
+                    batch, n, used = batch + 1, 0, 0
+                n, used = n + 1, used + x
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.int32())], names=["g", "key", "batch"])
+
+    return rows.mapInArrow(fold, kind.add("batch", IntegerType())).select(F.col("g").alias(group), F.col("key").alias(key), "batch")
 
 
 def merge_suggestions(found: DataFrame, node: str, role: str, confidence: str) -> DataFrame:

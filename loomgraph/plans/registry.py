@@ -275,6 +275,11 @@ r AS (SELECT source, doc_id, k, 0 AS batch, 1 AS n, n_chars AS bytes FROM f WHER
  FROM r JOIN f ON f.source = r.source AND f.k = r.k + 1 AND f.k <= 80)
 SELECT source, doc_id, batch FROM r""")
 def greedy_batches(spark, d):
+    return enrich.greedy_batches(enrich.first_candidates(star.table(spark, d, "documents"), "source", "doc_id"), "source", "doc_id", "n_chars")
+
+
+@query()
+def greedy_batches_all(spark, d):
     return enrich.greedy_batches(star.table(spark, d, "documents"), "source", "doc_id", "n_chars")
 
 

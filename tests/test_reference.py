@@ -131,3 +131,18 @@ def test_empty_tables(spark):
     n = spark.createDataFrame([], "id string, type string, name string, language string")
     e = spark.createDataFrame([], "source string, target string, type string")
     assert graph.impact(spark, n, e, "x").count() == graph.degrees(e).count() == graph.default_seed(n, e, "explore").count() == 0
+
+
+def test_every_row_is_batched(spark):
+    sizes = {"a": [1 + i * 37 % 3000 for i in range(25_000)], "b": [20_000, 1, 16_384, 1], None: [0] * 45}
+    rows = [(g, k, x) for g, some in sizes.items() for k, x in enumerate(some)]
+    want = set()
+    for g, some in sizes.items():
+        batches = [[]]
+        for k, x in enumerate(some):
+            if len(batches[-1]) == 20 or (batches[-1] and sum(batches[-1]) + x > 16_384):
+                batches.append([])
+            batches[-1].append(x)
+            want.add((g, k, len(batches) - 1))
+    got = enrich.greedy_batches(spark.createDataFrame(rows[::-1], "g string, k bigint, n int").repartition(5), "g", "k", "n").collect()
+    assert len(got) == len(rows) and {(r.g, r.k, r.batch) for r in got} == want
