@@ -23,8 +23,10 @@ from loomgraph.llm.bpe import Bpe, bpe
 from loomgraph.llm.common import SPACE_BYTES, slices, texts
 
 Edit = tuple[int, int, bytes]
-#: What the built-in edits mask: mail addresses and long numbers. A local part is tried from its begin only, once, so long words take linear time.
+#: What the built-in edits mask: mail addresses and long numbers. A local part is tried from its begin, and from the end of the address before it,
+#: so long words take linear time.
 MASKED = re.compile(rb"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9.-]+|[0-9]{4,}")
+NEXT = re.compile(rb"[A-Za-z0-9._+-]++@[A-Za-z0-9.-]+")
 NUMBER = re.compile(rb"[0-9]{4,}")
 MASK = b"<masked>"
 _is_space = np.zeros(256, bool)
@@ -107,6 +109,17 @@ def apply_edits(coder: Bpe, text: bytes, tree: CountTree, edits: list[Edit]) ->
     return b"".join(out), again
 
 
+def masked(line: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of all mail addresses and long numbers, from left to right."""
+    if b"@" not in line:
+        yield from (m.span() for m in NUMBER.finditer(line))
+        return
+    m = MASKED.search(line)
+    while m:
+        yield m.span()
+        m = (line.find(b"@", *m.span()) >= 0 and NEXT.match(line, m.end())) or MASKED.search(line, m.end())
+
+
 def cleaning_edits(text: bytes) -> list[Edit]:
     """Mask mail addresses and long numbers, and take out lines with a word that repeat an earlier line."""
     seen, edits, at = set(), [], 0
@@ -115,7 +128,7 @@ def cleaning_edits(text: bytes) -> list[Edit]:
             edits.append((max(at - 1, 0), at + len(line), b""))
         else:
             seen.add(line)
-            edits += [(at + m.start(), at + m.end(), MASK) for m in (MASKED if b"@" in line else NUMBER).finditer(line)]
+            edits += [(at + a, at + b, MASK) for a, b in masked(line)]
         at += len(line) + 1
     return edits
 

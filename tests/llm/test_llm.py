@@ -169,6 +169,18 @@ def test_token_counts_equal_recount(spark, docs, empty):
     assert twelve.n_edits == 3 and twelve.n_tokens_edited == count(b"mail <masked> or <masked>\nsame line\n")
 
 
+def test_addresses_behind_each_other_are_masked():
+    plain = re.compile(rb"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|[0-9]{4,}")
+    rng = np.random.default_rng(6)
+    some = [b"a@b.org+c@d.org", b"a@b.org_c@d.org x", b"a@b+c@d+e@f", b"a@b+12345", b"12345@x+1@2", b"@", b"a@@b@c_1234_d@e"]
+    some += [bytes(rng.choice([*b"a1234.+_@ -\n#"], 40).astype(np.uint8)) for _ in range(3000)]
+    for text in some:
+        for line in text.split(b"\n"):
+            assert [*token_counts.masked(line)] == [m.span() for m in plain.finditer(line)], line
+    assert [token_counts.MASK] * 2 == [e[2] for e in token_counts.cleaning_edits(b"a@b.org+c@d.org")]
+    assert len([*token_counts.masked(b"1234a" * 40_000 + b" @")]) == 40_000  # in linear time
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(spark, docs).collect()
     sizes = collections.Counter()
