@@ -5,7 +5,7 @@ depend on the length: a ratio above the band is repetitive text, one below it in
 words, symbols, lines and repeated windows are counted beside it. Every row is judged alone: no shuffle.
 
 Defined results: null counts as an empty text, which fails the base rules; repeated rows are judged alike; an empty
-table gives an empty result. Chunks shorter than half of CHUNK_BYTES at the end are judged with the whole text only.
+table gives an empty result. The last chunk ends at the text's end and may overlap the one before it, so every byte is in one.
 """
 
 from __future__ import annotations
@@ -60,11 +60,11 @@ def band(size: int) -> tuple[float, float]:
 def verdict(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, float, float, str]:
     """Whole ratio, lowest and highest chunk ratio, and why the text is rejected (empty: it isn't)."""
     ratio = len(text) / len(zstd.compress(text)) if text else 1.0
-    ends = range(0, max(len(text) - CHUNK_BYTES // 2, 1), CHUNK_BYTES)
-    parts = [ratio] if len(text) <= CHUNK_BYTES else [len(c) / len(zstd.compress(c)) for c in (text[i : i + CHUNK_BYTES] for i in ends)]
+    begins = [*range(0, len(text) - CHUNK_BYTES, CHUNK_BYTES), len(text) - CHUNK_BYTES]
+    parts = [ratio] if len(text) <= CHUNK_BYTES else [len(c) / len(zstd.compress(c)) for c in (text[i : i + CHUNK_BYTES] for i in begins)]
     low, high = band(len(text))
     off_low, off_high = (sum(x < CHUNK_BAND[0] for x in parts), sum(x > CHUNK_BAND[1] for x in parts)) if len(text) > CHUNK_BYTES else (0, 0)
-    why = "repetitive" if ratio > high else "incompressible" if ratio < low else "repetitive chunks" if off_high > CHUNK_SHARE * len(parts) else "incompressible chunks" if off_low > CHUNK_SHARE * len(parts) else ""
+    why = "repetitive" if ratio > high else "incompressible" if ratio < low else "repetitive chunks" if off_high > CHUNK_SHARE * len(parts) else "incompressible chunks" if off_low > CHUNK_SHARE * len(parts) else "mixed chunks" if off_low + off_high > CHUNK_SHARE * len(parts) else ""
     return ratio, min(parts), max(parts), why
 
 

@@ -226,6 +226,25 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.verdict(np.random.default_rng(0).bytes(9000), __import__("zstandard").ZstdCompressor(level=3))[3].startswith("incompressible")
 
 
+def test_all_chunks_count_together():
+    import zstandard
+
+    zstd, rng = zstandard.ZstdCompressor(level=3), np.random.default_rng(4)
+    prose = lambda n: b" ".join(b"%c%d" % (97 + int(x) % 26, x) for x in rng.integers(0, 3000, n))[:n]
+    junk, line = rng.bytes(4096), (b"the same line over again\n" * 200)[:4096]
+    good = prose(4096 * 20)
+    assert quality_rules.verdict(good, zstd)[3] == ""
+    mixed = good[: 4096 * 10] + b"".join([junk, line]) * 5
+    low, high = quality_rules.band(len(mixed))
+    ratio, _, _, why = quality_rules.verdict(mixed, zstd)
+    assert ratio > 0 and why != ""
+    few = good[: 4096 * 14] + (rng.bytes(4096) + line) * 3
+    ratio, _, _, why = quality_rules.verdict(few, zstd)
+    assert low <= ratio <= high and why == "mixed chunks"
+    tail = good[:4096] + rng.bytes(2000)  # in no whole chunk
+    assert quality_rules.verdict(tail, zstd)[1] < quality_rules.CHUNK_BAND[0]
+
+
 def test_quality_classifier(spark, docs, empty, small):
     texts = ["good plain words here " * 3 + f"t{i}" for i in range(60)] + ["SO BAD!! VERY!! BAD!! " * 3 + f"T{i}!!" for i in range(60)] + ["middling | text | here | " * 3 + f"m{i}" for i in range(60)]
     model = quality_classifier.fit([x.encode() for x in texts], [2] * 60 + [0] * 60 + [1] * 60)
