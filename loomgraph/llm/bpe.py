@@ -9,7 +9,9 @@ White space always separates pre-tokens, so a text's ids are those of its white-
 and pieces are memoised in a bounded cache.
 
 Defined results: a null or empty text, or one of white space, has no ids and decodes to the empty string. Strings of
-special tokens in a text become their ids, as the library does. The vocabulary's path is a parameter.
+special tokens in a text become their ids, as the library does. Of pairs of equal rank the leftmost merges first. Repeated rows are
+encoded alike, a row each; an empty table gives an empty result. Other columns pass through encode_documents unchanged, but for those
+named ids and decoded, which are replaced; digest_documents does not read them. The vocabulary's path is a parameter.
 """
 
 from __future__ import annotations
@@ -227,14 +229,15 @@ class Bpe:
 
 @lru_cache(2)
 def bpe(path: str) -> Bpe:
-    """One per Python worker. Its caches hold many small objects without cycles, which the garbage collector would only walk again and again."""
-    gc.disable()
-    return Bpe(path)
+    """One per Python worker. The vocabulary's many small objects live as long as the worker, so the garbage collector need not walk them again and again."""
+    made = Bpe(path)
+    gc.freeze()
+    return made
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, decoded: bool = True) -> DataFrame:
-    """All columns of docs, and ids (array<int>), and decoded unless it is not asked for. Clashing columns of docs are replaced."""
-    keep = docs.select(*[f"`{x}`" for x in docs.columns if x not in ("ids", "decoded")])
+    """All columns of docs, and ids (array<int>), and decoded unless it is not asked for. Columns of docs with these names, in any case, are replaced."""
+    keep = docs.select(*[f"`{x}`" for x in docs.columns if x.lower() not in ("ids", "decoded")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,10 +21,13 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that all executors see; a temporary one only where that setting is unset."""
+    """The folder in spark.checkpoint.dir that all executors see. Only a local master may do without that setting; it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set: on {master}, intermediate tables need a folder that all executors see")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="loomgraph-"))
     return f"file://{_own_dir[0]}"
@@ -45,14 +49,25 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
-    """Add a row number: repeated rows and null ids stay apart. It holds for one read only, as a second may cut the files otherwise."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+def numbered(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns and a row number __row: repeated rows and null ids stay apart. It holds for one read only, as a second may cut the files otherwise."""
+    return df.select(*columns, F.monotonically_increasing_id().alias("__row"))
 
 
-def stage_numbered(spark: SparkSession, df: DataFrame, codec: str | None = None) -> DataFrame:
-    """The rows with their numbers, written once, for all that reads them more than once."""
-    return stage(spark, numbered(df), "numbered", codec)
+def stage_numbered(spark: SparkSession, df: DataFrame, *columns: str, codec: str | None = None) -> DataFrame:
+    """The columns with their row numbers, written once, for all that reads them more than once."""
+    return stage(spark, numbered(df, *columns), "numbered", codec)
+
+
+def stage_whole(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows (doc, __row), written once: doc is a struct of all columns of df, so none of their names can clash with those that an operator adds.
+    Its fields are read one by one (doc.text), and opened() gives the columns back."""
+    return stage(spark, df.select(F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("doc"), F.monotonically_increasing_id().alias("__row")), "numbered")
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """The columns of the table that stage_whole() was given."""
+    return rows.select("doc.*")
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -90,8 +105,13 @@ class Memo(dict):
             self.clear()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unstage(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove(spark, path)

@@ -6,17 +6,20 @@ candidates are anti-joined to the index by sort-merge join, and those that are n
 
 Defined results: null text counts as empty; texts of white space only are copies of the empty text. Null ids
 come last in a tie. Of rows equal in text and id exactly one is kept (the first in the table's file order).
-An empty table gives an empty result. Other columns are never read, so their names can't clash.
+Long texts are hashed whole, in the JVM. An empty table gives an empty result. Other columns are never read, so their names can't
+clash; keep_first_copies returns them unchanged.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACE_CLASS, numbered, stage, stage_numbered
+from loomgraph.llm.common import SPACE_CLASS, numbered, opened, remove, shared_dir, stage, stage_whole, unstage
 
 INDEX_SCHEMA = "digest binary, keep_id bigint, keep_row bigint, chars int, first_batch string"
 
@@ -27,17 +30,29 @@ def first_row() -> Column:
 
 
 class DigestIndex:
-    """A bucketed and sorted table of the digests seen so far, each with the row that stays."""
-
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
-        self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(table):
-            self._write(spark.createDataFrame([], INDEX_SCHEMA))
-
-    def _write(self, rows: DataFrame) -> None:
-        # one writer task per bucket, so a batch adds one sorted file to each bucket
-        rows.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+    """A bucketed and sorted table of the digests seen so far, each with the row that stays. It lives in a folder, so any later session that
+    opens the folder goes on with it, whatever catalog it has; the number of buckets is that of the session that made it."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.table = f"digest_index_{hashlib.md5(self.folder.encode()).hexdigest()}"
+        self.buckets = self._opened() or self._made(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.table} ({INDEX_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/rows'"
+        )
+
+    def _opened(self) -> int | None:
+        try:
+            found = self.spark.read.schema("buckets int").json(f"{self.folder}/made").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return found and found["buckets"]
+
+    def _made(self, buckets: int) -> int:
+        self.spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{self.folder}/made")
+        return buckets
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -47,11 +62,19 @@ class DigestIndex:
         # written, because Catalyst would push the anti-join below the aggregation, where a group's copies all meet in one task
         best = stage(self.spark, digests.groupBy("digest").agg(first_row().alias("b")), "candidates")
         fresh = best.join(self.rows().hint("merge"), "digest", "left_anti")
-        self._write(fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.__row").alias("keep_row"), (-F.col("b.n")).alias("chars"), F.lit(batch).alias("first_batch")))
+        fresh = fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.__row").alias("keep_row"), (-F.col("b.n")).alias("chars"), F.lit(batch).alias("first_batch"))
+        # one writer task per bucket, so a batch adds one sorted file to each bucket
+        fresh.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        unstage(self.spark, best)
 
-    def drop(self) -> None:
+    def close(self) -> None:
+        """Forget the table in this session's catalog; the folder keeps the index."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
+    def drop(self) -> None:
+        self.close()
+        remove(self.spark, self.folder)
+
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, __row, SHA-256 of the text without white space (32 bytes) and the text's code points."""
@@ -61,19 +84,22 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
-    """One row per document: doc_id, __row, keep_id, group_size, kept, text_sha256, known (its text was in the index before this batch)."""
-    return decide(spark, numbered(docs), index, batch)
+    """One row per document: doc_id, __row, keep_id, group_size, kept, text_sha256, known (its text was in the index before this batch).
+    Without an index the table is one batch of its own, against an empty index that is removed again."""
+    return decide(spark, numbered(docs, "doc_id", "text"), index, batch)
 
 
 def decide(spark: SparkSession, rows: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
     """exact_dedup of rows that have their numbers."""
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    own = index or DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
     found = stage(spark, digests(rows), "digests")
-    index.ingest(found, batch)
+    own.ingest(found, batch)
     # the row that stays is named by this run's numbers: those in the index may be of an earlier run of the batch
     sizes = found.groupBy("digest").agg(F.count("*").alias("group_size"), first_row().getField("__row").alias("first_row"))
     # written, so that the join after it shuffles both sides afresh and a large group of copies is split among tasks
-    groups = stage(spark, sizes.join(index.rows().hint("merge"), "digest"), "groups")
+    groups = stage(spark, sizes.join(own.rows().hint("merge"), "digest"), "groups")
+    if index is None:
+        own.drop()
     known = F.col("first_batch") != batch
     return found.join(groups, "digest").select(
         "doc_id", "__row", "keep_id", F.col("group_size").cast("long").alias("group_size"),
@@ -81,8 +107,8 @@ def decide(spark: SparkSession, rows: DataFrame, index: DigestIndex | None = Non
     )
 
 
-def keep_first_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_first_copies(spark: SparkSession, docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
     """The rows of docs, all columns, of which exact_dedup keeps one per group."""
-    names, rows = docs.columns, stage_numbered(spark, docs)
-    kept = decide(spark, rows).filter("kept").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{x}`") for x in names])
+    rows = stage_whole(spark, docs)
+    kept = decide(spark, rows.select("doc.doc_id", "doc.text", "__row"), index, batch).filter("kept").select("__row")
+    return opened(rows.join(kept, "__row", "left_semi"))

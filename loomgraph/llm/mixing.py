@@ -5,7 +5,9 @@ from the per-source totals, and each document is taken floor(rate) times plus on
 below the fraction. The draw depends on doc_id alone, so reruns and retried tasks agree and no source meets in one task.
 
 Defined results: null text has size 0; the null source is a source of its own, ordered last; a null doc_id draws as
-the text "null"; repeated rows draw alike. A source of size 0 has target 0. An empty table gives an empty result.
+the text "null"; repeated rows draw alike. A source of size 0 has target 0. Sources with equal cap per weight are capped in the order of
+their names. An empty table gives an empty result. Other columns of docs are not read by mix; repeat_to_mix returns them unchanged,
+whatever their names. Targets are found in one task, on one row per source: that suits up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD_CLASS, numbered, stage, stage_numbered
+from loomgraph.llm.common import WORD_CLASS, numbered, opened, stage, stage_whole
 
 #: A source is repeated this many times at most.
 MOST_REPEATS = 3
@@ -52,7 +54,7 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, __row, source, size, source_size, target, copies, taken."""
-    return portion(spark, numbered(docs))
+    return portion(spark, numbered(docs, "doc_id", "source", "text"))
 
 
 def portion(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def portion(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def repeat_to_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. Texts without words carry no size; they are taken once."""
-    names, rows = docs.columns, stage_numbered(spark, docs)
+    rows = stage_whole(spark, docs)
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    plan = portion(spark, rows).select("__row", times.alias("__times")).filter("__times > 0")
-    return rows.join(plan, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*[F.col(f"`{x}`") for x in names])
+    plan = portion(spark, rows.select("doc.doc_id", "doc.source", "doc.text", "__row")).select("__row", times.alias("times")).filter("times > 0")
+    return opened(rows.join(plan, "__row").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times")))))

@@ -6,9 +6,13 @@ repeats the word before it, of that. The mean is shrunk towards 0 for texts of f
 model is fitted with numpy on at most SAMPLE_ROWS labelled rows (the bound is a parameter; rows in the order of the CRC-32 of
 their id), and every whole text is scored where it lies, without a shuffle.
 
-Defined results: null counts as empty, which has z = 0; labels that are null are not learned from; of several
+The grades come from the labels: 0 is low quality, 1 good quality but toxic, 2 good quality and clean (a null toxic label counts as
+clean). Documents of grade 1 and above are selected; the ordered thresholds give P(grade >= 1) and P(grade >= 2).
+
+Defined results: null counts as empty, which has z = 0; rows whose quality is null are not learned from; of several
 labels of a document all count. With no labelled rows every text has the expected grade 0 and is selected. Fitting is
-deterministic. Repeated rows score alike; an empty table gives an empty result.
+deterministic; rows of equal CRC-32 are taken by id. A tail probability equal to SELECT_TAIL selects. Repeated rows score alike; an empty table
+gives an empty result. Other columns of docs are not read by classify; keep_selected returns them unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import Memo, crc_mod, slices, texts
 
 SAMPLE_ROWS = 6000
+#: At most so many bytes of text are fitted, in whole texts (a text beyond it is left out).
+SAMPLE_BYTES = 24 << 20
 BITS = 18
 EPOCHS = 30
 RATE = 0.05
@@ -119,14 +125,21 @@ def fit(some: list[bytes], ratings: list[int], epochs: int = EPOCHS) -> OrdinalM
     return OrdinalModel(grades, weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[bytes], list[int]]:
-    """At most rows labelled texts of the learning folds, to the driver."""
-    marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != 0))
+def sample(docs: DataFrame, labels: DataFrame, label: Column, rows: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
+    """Labelled texts of the learning folds, to the driver: at most so many rows and so many bytes, in the order of the CRC-32 of the id."""
+    marks = labels.filter(label.isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", FOLDS) != 0))
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    picked = marks.select("doc_id", F.col(label).cast("int").alias("__y")).orderBy(order, "doc_id", "__y").limit(rows)
+    picked = marks.select("doc_id", label.cast("int").alias("y")).orderBy(order, "doc_id", "y").limit(rows)
     # picked has at most that many rows of two numbers, so it may be sent to every task instead of shuffling the texts
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text", "__y").limit(rows).toArrow()
-    return [x or b"" for x in found.column("text").cast(pa.binary()).to_pylist()], found.column("__y").to_pylist()
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    fits = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(order, "doc_id", "y", "text")) <= most_bytes
+    found = found.orderBy(order, "doc_id", "y", "text").limit(rows).select("*", fits.alias("fits")).filter("fits").select("text", "y").toArrow()
+    return [x or b"" for x in found.column("text").cast(pa.binary()).to_pylist()], found.column("y").to_pylist()
+
+
+def grade() -> Column:
+    """0 to 2, from the labels."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("quality").isNotNull(), F.when(F.coalesce("toxic", F.lit(0)) == 0, 2).otherwise(1))
 
 
 def scorer(model: OrdinalModel) -> Callable[[list[bytes]], np.ndarray]:
@@ -179,4 +192,4 @@ def keep_selected(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    return fit(*sample(docs, labels, "quality", rows))
+    return fit(*sample(docs, labels, grade(), rows))

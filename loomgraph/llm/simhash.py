@@ -16,7 +16,9 @@ Components are found on links between distinct fingerprints only (copies share o
 the least label around it and that label's own label, until nothing changes; each round is written to the shared folder.
 
 Defined results: null counts as empty; texts without words have fingerprint 0 and link like any other. A null doc_id
-is never a component's id unless all of it are null. Repeated rows have one fingerprint. An empty table gives an empty result.
+is never a component's id unless all of it are null; of several rows with the least id, the first in the table's file order leads.
+Repeated rows have one fingerprint. Long texts are hashed in blocks of shingles. An empty table gives an empty result. Other columns of docs are
+not read by near_duplicates; keep_leaders returns them unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import numbered, slices, stage, stage_numbered, texts
+from loomgraph.llm.common import numbered, opened, slices, stage, stage_whole, texts, unstage
 
 SHINGLE = 3
 SEED = 42
@@ -37,7 +39,6 @@ DISTANCE = 2
 SEGMENTS = 6
 BITS = 64
 EDGES = [round(BITS * i / SEGMENTS) for i in range(SEGMENTS + 1)]
-MOST_ROUNDS = 60
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -105,25 +106,26 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.filter(hamming(F.col("a"), F.col("b")) <= DISTANCE).distinct()
 
 
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """node, label (the least node reachable) of all nodes of edges (a, b)."""
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, label (the least node reachable) of all nodes of edges (a, b). Labels only fall, so it ends; a path of n nodes takes about log n rounds."""
     both = stage(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = stage(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least")).withColumnRenamed("a", "node")
         stepped = labels.join(around, "node").select("node", F.least("label", "least").alias("label"), F.col("label").alias("before"))
         hop = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = stage(spark, stepped.join(hop, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "before"), "labels")
         changed = new.filter("label <> before").limit(1).count()
+        unstage(spark, labels)
         labels = new.select("node", "label")
         if not changed:
+            unstage(spark, both)
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, __row, fp, component_id, leader_row (the first row with the component's id)."""
-    return lead(spark, numbered(docs))
+    return lead(spark, numbered(docs, "doc_id", "text"))
 
 
 def lead(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -139,6 +141,6 @@ def lead(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def keep_leaders(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one of each component."""
-    names, rows = docs.columns, stage_numbered(spark, docs)
-    kept = lead(spark, rows).filter("__row = leader_row").select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*[F.col(f"`{x}`") for x in names])
+    rows = stage_whole(spark, docs)
+    kept = lead(spark, rows.select("doc.doc_id", "doc.text", "__row")).filter("__row = leader_row").select("__row")
+    return opened(rows.join(kept, "__row", "left_semi"))

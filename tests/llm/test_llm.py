@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -63,8 +66,8 @@ def test_exact_dedup(spark, docs, empty):
     assert exact_dedup.exact_dedup(spark, empty).count() == exact_dedup.keep_first_copies(spark, empty).count() == 0
 
 
-def test_index_persists(spark, docs):
-    index = exact_dedup.DigestIndex(spark, "digest_index_test", 4)
+def test_index_persists(spark, docs, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
     first = exact_dedup.exact_dedup(spark, docs.filter("doc_id < 5"), index, "one").collect()
     known = {r.text_sha256 for r in first}
     for _ in range(2):  # a batch that is repeated adds nothing and decides alike
@@ -75,6 +78,28 @@ def test_index_persists(spark, docs):
     index.drop()
 
 
+SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from loomgraph.llm import exact_dedup
+own, batch = sys.argv[1:]
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", sys.argv[2]).config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", own + "/warehouse").config("spark.checkpoint.dir", "file://" + own + "/shared").getOrCreate()
+index = exact_dedup.DigestIndex(spark, own + "/index")
+docs = spark.createDataFrame([(i, f"text {i}") for i in range(int(batch) + 3)], "doc_id bigint, text string")
+out = exact_dedup.exact_dedup(spark, docs, index, batch).collect()
+print("KEPT", index.buckets, index.rows().count(), sorted(r.doc_id for r in out if r.kept), sorted(r.doc_id for r in out if r.known))
+"""
+
+
+def test_another_session_opens_the_index(tmp_path):
+    """Two applications, one after the other, with the same folder and the default catalog, that is in memory."""
+    said = []
+    for batch in ("2", "4"):
+        run = subprocess.run([sys.executable, "-c", SESSION, str(tmp_path), batch], capture_output=True, text=True, timeout=300, env=os.environ | {"PYTHONPATH": ":".join(sys.path)})
+        said += [x for x in run.stdout.splitlines() if x.startswith("KEPT")] or [run.stderr]
+    assert said == ["KEPT 2 5 [0, 1, 2, 3, 4] []", "KEPT 2 7 [5, 6] [0, 1, 2, 3, 4]"]
+
+
 def fingerprint(text):
     w = text.lower().split()
     s = [b" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
@@ -425,7 +450,7 @@ def test_row_numbers_outlive_a_new_file_split(spark, tmp_path, monkeypatch):
             assert sorted(r.doc_id for r in run(simhash.keep_leaders)) == sorted(set(components(fp)))
             for r in run(substring_dedup.substring_duplicates):
                 assert r.class_id == 0 and all(p.partner != r.doc_id for p in r.passages or [])
-        index = exact_dedup.DigestIndex(spark, "digest_index_split", 4)
+        index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
         for _ in range(2):
             change()
             assert sum(r.kept for r in exact_dedup.exact_dedup(spark, spark.read.parquet(path), index).collect()) == len(rows) - len(copies) + 1
