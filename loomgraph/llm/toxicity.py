@@ -1,13 +1,16 @@
 """Toxicity (operator 1): a convolutional text classifier.
 
-Words are hashed into two embedding tables (a word is the concatenation of its two rows, so two words are only taken for each
-other if both hashes meet), filters of widths 1 to 3 slide over the words, each filter's maximum over the whole text
-is kept, and a logistic layer gives the probability. Training is in numpy, on at most SAMPLE_ROWS labelled rows of
-the learning folds (a parameter). A decision threshold is calibrated for each language on rows that were not fitted;
-the language is guessed from the text's function words, never read from a column. Scores are stretched so that a language's threshold is 0.5.
-
-Defined results: null counts as empty, whose score is that of a text without words; without labels all score 0.
-Fitting is deterministic; repeated rows score alike; an empty table gives an empty result.
+A word's embedding is the sum of the row of its own hash and the mean of the rows of its hashed 4-grams of bytes (with marks at both
+ends of the word), so a word that was never seen is placed by its parts. Filters of widths 1 to 3 slide over the words, each filter's maximum
+over the whole text is kept, and a logistic layer gives the probability. Everything is learned in numpy from random weights, on a bounded sample
+of labelled rows of the learning folds (SAMPLE_ROWS, SAMPLE_BYTES; whole texts): epochs go on until the loss on the sample's
+calibration rows, which are not fitted, has not fallen for PATIENCE epochs, and the best epoch's weights are kept. On the same rows a decision
+threshold is calibrated for each language; the language is guessed from the text's function words, never read from a column. Scores are stretched
+so that a language's threshold is 0.5.
+
+Defined results: null counts as empty, whose score is that of a text without words; without labels of both kinds all score 0.
+A score of exactly 0.5 predicts 1. Fitting is deterministic; repeated rows score alike; long texts are convolved in blocks, so memory does not
+grow with them; an empty table gives an empty result. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -19,21 +22,32 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Memo, slices, texts
+from loomgraph.llm.common import slices, texts
 from loomgraph.llm.quality_classifier import FOLDS, sample
 
 SAMPLE_ROWS = 6000
-BITS = 17
-DIM = 4  # of each table
+SAMPLE_BYTES = 24 << 20
+BITS = 18
+DIM = 12
 WIDTHS = (1, 2, 3)
-FILTERS = 6
-EPOCHS = 12
-RATE = 0.01
+FILTERS = 16
+EPOCHS = 40  # at most
+PATIENCE = 4
+#: An epoch sees at least so many texts, if need be some more than once.
+EPOCH_TEXTS = 2048
+BATCH = 64
+RATE = 0.005
+#: Share of words that are blanked while fitting.
+DROP = 0.4
 #: Every such row of the sample calibrates thresholds and is not fitted.
 CALIBRATE = 4
 FEWEST_TOXIC = 15
-PAD = 1 << BITS  # its embedding stays zero
+GRAM = 4
+PAD = 0  # the index of the word that pads texts; its embedding is zero
+BLOCK = 1 << 15
+MOST_WORDS = 400_000
 
 #: Function words by which a text's language is guessed.
 FUNCTION_WORDS = {
@@ -47,12 +61,28 @@ _language = {w.encode(): k for k, words in enumerate(FUNCTION_WORDS.values()) fo
 _edges = b".,;:!?|*$%&#<>\"'()[]{}-"
 
 
-def features(word: bytes) -> tuple[int, int, int]:
-    """Two buckets, and the language whose function word it is (or the last)."""
+def buckets(word: bytes) -> list[int]:
+    """The row of the word itself, then those of its 4-grams; none for a word of punctuation."""
     w = word.lower().strip(_edges)
     if not w:
-        return PAD, PAD, len(LANGUAGES) - 1
-    return zlib.crc32(w) & (PAD - 1), zlib.crc32(w, 0x5BD1E995) * 0x9E3779B1 >> 13 & (PAD - 1), _language.get(w, len(LANGUAGES) - 1)
+        return []
+    marked, crc, mask = b"<" + w + b">", zlib.crc32, (1 << BITS) - 1
+    return [crc(w) & mask, *(crc(marked[i : i + GRAM], 1) & mask for i in range(max(len(marked) - GRAM, 0) + 1))]
+
+
+class Words(dict):
+    """The number of each word seen so far; what the words are made of is kept as flat arrays."""
+
+    def __init__(self):
+        self.rows, self.sizes, self.languages = [], [0], [len(LANGUAGES) - 1]
+
+    def __missing__(self, word: bytes) -> int:
+        found = buckets(word)
+        self[word] = n = len(self.sizes)
+        self.rows += found
+        self.sizes.append(len(found))
+        self.languages.append(_language.get(word.lower().strip(_edges), len(LANGUAGES) - 1))
+        return n
 
 
 def guess(languages: np.ndarray) -> int:
@@ -61,129 +91,191 @@ def guess(languages: np.ndarray) -> int:
     return int(n.argmax()) if n.any() else len(LANGUAGES) - 1
 
 
+def packed(some: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers, each text followed by padding, and where each text begins; the last entry is the end."""
+    gap, parts, begins = np.zeros(max(WIDTHS), np.int32), [], [0]
+    for text in some:
+        own = text.split()
+        parts += [np.fromiter(map(words.__getitem__, own), np.int32, len(own)), gap]
+        begins.append(begins[-1] + len(own) + len(gap))
+    return np.concatenate([*parts, gap[:0]]), np.array(begins, np.int64)
+
+
 @dataclass
 class Cnn:
-    tables: list[np.ndarray]
-    filters: list[np.ndarray]  # by width: (width, 2 * DIM, FILTERS)
+    table: np.ndarray
+    filters: list[np.ndarray]  # by width: (width, DIM, FILTERS)
     biases: list[np.ndarray]
     out: np.ndarray
-    bias: float
+    bias: np.ndarray
     thresholds: np.ndarray = field(default_factory=lambda: np.full(len(LANGUAGES), 0.5))
 
-    def maps(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        x = np.concatenate([t[i] for t, i in zip(self.tables, ids.T)], 1)
-        maps = []
-        for width, f in zip(WIDTHS, self.filters):
-            y = x @ f[0]
-            for k in range(1, width):
-                y[:-k] += x[k:] @ f[k]
-            maps.append(y)
-        return x, maps
-
-    def probability(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """ids: the words of several texts, each followed by padding; begins: where each text begins."""
-        _, maps = self.maps(ids)
-        pooled = np.concatenate([np.maximum(np.maximum.reduceat(y, begins, 0) + b, 0) for y, b in zip(maps, self.biases)], 1)
-        return 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias, -30, 30)))
+    def parameters(self) -> list[np.ndarray]:
+        return [self.table, *self.filters, *self.biases, self.out, self.bias]
+
+    def embed(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Embeddings of words; rows: their buckets one after another, sizes: how many each has."""
+        out = np.zeros((len(sizes), self.table.shape[1]), self.table.dtype)
+        has = np.flatnonzero(sizes)
+        if len(has):
+            begins = (np.cumsum(sizes) - sizes)[has]
+            found = self.table[rows]
+            whole = found[begins]
+            out[has] = whole + (np.add.reduceat(found, begins, 0) - whole) / np.maximum(sizes[has, None] - 1, 1)
+        return out
+
+    def maxima(self, ids: np.ndarray, begins: np.ndarray, embeddings: np.ndarray) -> np.ndarray:
+        """Each filter's maximum over each text, block by block."""
+        n = len(begins) - 1
+        pooled = np.full((n, len(self.out)), -np.inf, self.table.dtype)
+        for a in range(0, len(ids), BLOCK):
+            b = min(a + BLOCK, len(ids))
+            x = embeddings[ids[a : min(b + max(WIDTHS) - 1, len(ids))]]
+            first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b, "left")
+            at = np.maximum(begins[first:last], a) - a
+            for k, f in enumerate(self.filters):
+                y = x[: b - a] @ f[0]
+                for s in range(1, len(f)):
+                    more = x[s : b - a + s] @ f[s]
+                    y[: len(more)] += more
+                part = pooled[first:last, k * FILTERS : (k + 1) * FILTERS]
+                np.maximum(part, np.maximum.reduceat(y, at, 0), out=part)
+        return pooled
+
+    def probability(self, ids: np.ndarray, begins: np.ndarray, embeddings: np.ndarray) -> np.ndarray:
+        pooled = np.maximum(self.maxima(ids, begins, embeddings) + np.concatenate(self.biases), 0)
+        return 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias[0], -30, 30).astype(np.float64)))
 
     def score(self, p: np.ndarray, languages: np.ndarray) -> np.ndarray:
         t = self.thresholds[languages]
         return np.where(p < t, 0.5 * p / t, 0.5 + 0.5 * (p - t) / (1 - t))
 
 
-def packed(some: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids (two columns) with padding after each text, where each begins, and guessed languages."""
-    gap = [(PAD, PAD, len(LANGUAGES) - 1)] * max(WIDTHS)
-    flat, begins = [], []
-    for text in some:
-        begins.append(len(flat))
-        flat += map(memo.__getitem__, text.split())
-        flat += gap
-    ids = np.array(flat, np.int64).reshape(-1, 3)
-    return ids[:, :2], np.array(begins, np.int64), np.array([guess(x) for x in np.split(ids[:, 2], begins[1:])], np.int64)
-
-
-def start(ids: np.ndarray, begins: np.ndarray, y: np.ndarray) -> Cnn:
-    """Random small weights; the first value of each embedding is the bucket's log-odds over the fitted texts, shrunk."""
+def random_net(kind: type = np.float32) -> Cnn:
+    """Small random weights, the same each time."""
     rng = np.random.default_rng(7)
-    text = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(ids))))
-    tables = []
-    for column in ids.T:
-        seen = np.unique(column * len(begins) + text)
-        toxic = y[seen % len(begins)] == 1
-        pos, neg = (np.bincount(seen[m] // len(begins), minlength=PAD + 1) for m in (toxic, ~toxic))
-        odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
-        sure = (pos + neg) / (pos + neg + 4.0)
-        table = rng.normal(0, 0.02, (PAD + 1, DIM)).astype(np.float32)
-        table[:, 0] = np.clip(odds * sure, -1, 3) * (pos > 1)
-        table[PAD] = 0
-        tables.append(table)
-    filters = [rng.normal(0, 0.05, (w, 2 * DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    for f in filters:
-        f[:, [0, DIM], 0] += 0.5 / len(f)
-    rate = np.clip(y.mean(), 0.01, 0.99)
-    return Cnn(tables, filters, [np.full(FILTERS, -0.05, np.float32) for _ in WIDTHS], np.tile(np.eye(1, FILTERS, dtype=np.float32)[0] * 1.0, len(WIDTHS)) + 0.05, float(np.log(rate / (1 - rate))) - 1)
-
-
-def fit(some: list[bytes], toxic: list[int]) -> Cnn | None:
-    """None without texts of both kinds."""
+    draw = lambda scale, *shape: rng.normal(0, scale, shape).astype(kind)
+    filters = [draw(0.3, w, DIM, FILTERS) for w in WIDTHS]
+    return Cnn(draw(0.03, 1 << BITS, DIM), filters, [np.zeros(FILTERS, kind) for _ in WIDTHS], draw(0.3, FILTERS * len(WIDTHS)), np.array([-1.0], kind))
+
+
+class Sample:
+    """Texts as numbers of words, and what those words are made of."""
+
+    def __init__(self, some: list[bytes]):
+        words = Words()
+        self.ids, self.begins = packed(some, words)
+        self.rows, self.sizes = np.array(words.rows, np.int64), np.array(words.sizes, np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        languages = np.array(words.languages)
+        self.languages = np.array([guess(languages[self.ids[a:b]]) for a, b in zip(self.begins[:-1], self.begins[1:])], np.int64)
+
+    def part(self, texts_: np.ndarray, drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: numbers of words among those that occur, begins, and those words' buckets and how many each has."""
+        spans = [self.ids[self.begins[i] : self.begins[i + 1]] for i in texts_]
+        begins = np.concatenate([[0], np.cumsum([len(x) for x in spans])])
+        flat = np.concatenate(spans)
+        if drop is not None:
+            flat = np.where(drop[: len(flat)], PAD, flat)
+        used, ids = np.unique(flat, return_inverse=True)
+        sizes = self.sizes[used]
+        rows = self.rows[np.repeat(self.at[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        return ids, begins, rows, sizes
+
+
+def gradients(net: Cnn, ids: np.ndarray, begins: np.ndarray, rows: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """The weighted log-loss, its gradients by parameter (of the table only the rows used), and those rows."""
+    n, e = len(begins) - 1, net.embed(rows, sizes)
+    x, d_word = e[ids], np.zeros_like(e)
+    text = np.repeat(np.arange(n), np.diff(begins))
+    best, tops = [], []
+    for f in net.filters:
+        out = x @ f[0]
+        for s in range(1, len(f)):
+            out[:-s] += x[s:] @ f[s]
+        top = np.maximum.reduceat(out, begins[:-1], 0)
+        where, which = np.nonzero(out == top[text])
+        at = np.empty((n, FILTERS), np.int64)
+        at[text[where[::-1]], which[::-1]] = where[::-1]  # the first of equal maxima
+        best.append(at)
+        tops.append(top)
+    pre = np.concatenate(tops, 1) + np.concatenate(net.biases)
+    pooled = np.maximum(pre, 0)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias[0], -30, 30)))
+    loss = -float((weight * np.where(y == 1, np.log(p + 1e-12), np.log(1 - p + 1e-12))).sum())
+    d = ((p - y) * weight).astype(e.dtype)
+    d_pre = d[:, None] * net.out * (pre > 0)
+    d_filters = []
+    for k, f in enumerate(net.filters):
+        g, d_f = d_pre[:, k * FILTERS : (k + 1) * FILTERS], np.zeros_like(f)
+        for s in range(len(f)):
+            at = best[k] + s
+            inside = at < len(ids)
+            at = np.minimum(at, len(ids) - 1)
+            d_f[s] = np.einsum("tf,tfd->df", g * inside, x[at])
+            np.add.at(d_word, ids[at].ravel(), ((g * inside)[:, :, None] * f[s].T[None]).reshape(-1, f.shape[1]))
+        d_filters.append(d_f)
+    has = sizes > 0
+    share = np.repeat(d_word[has] / np.maximum(sizes[has, None] - 1, 1), sizes[has], 0)
+    share[(np.cumsum(sizes) - sizes)[has]] = d_word[has]
+    used, at = np.unique(rows, return_inverse=True)
+    d_table = np.stack([np.bincount(at, share[:, c], len(used)) for c in range(share.shape[1])], 1).astype(e.dtype) if len(rows) else share
+    parts = np.split(d_pre.sum(0), len(net.filters))
+    return loss, [d_table, *d_filters, *parts, pooled.T @ d, np.array([d.sum()], e.dtype)], used
+
+
+def balance(y: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Weights of labels y by which both labels count alike among those of the rows `of`."""
+    rate = np.clip(y[of].mean(), 0.02, 0.98)
+    return np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
+
+
+def fit(some: list[bytes], toxic: list[int], epochs: int = EPOCHS, log=None) -> Cnn | None:
+    """None without texts of both kinds. Adam; of the table, only rows whose words are at a maximum move."""
     y = np.array(toxic, np.int64)
     if len(set(toxic)) < 2:
         return None
-    ids, begins, languages = packed(some, Memo(features))
-    ends = np.append(begins[1:], len(ids))
+    data, net, rng = Sample(some), random_net(), np.random.default_rng(11)
     held = np.arange(len(y)) % CALIBRATE == 0 if min(y.sum(), (1 - y).sum()) >= 4 * CALIBRATE else np.zeros(len(y), bool)
-    learn = np.flatnonzero(~held)
-    part = np.concatenate([np.arange(begins[i], ends[i]) for i in learn])
-    net = start(ids[part], np.concatenate([[0], np.cumsum(ends[learn] - begins[learn])[:-1]]), y[learn])
-    rng = np.random.default_rng(11)
-    state: dict[str, list[np.ndarray]] = {}
-
-    def adam(name: str, value: np.ndarray, g: np.ndarray, t: int) -> None:
-        m, v = state.setdefault(name, [np.zeros_like(value), np.zeros_like(value)])
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        value -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-
-    weight = np.where(y == 1, 0.5 / max(y[learn].mean(), 0.02), 0.5 / (1 - y[learn].mean()))
-    out_bias, t = np.array([net.bias]), 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(learn)
-        for batch in np.array_split(order, max(1, len(order) // 128)):
+    learn, judge = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
+    moments = [[np.zeros_like(v), np.zeros_like(v)] for v in net.parameters()]
+    weight, judge_weight = balance(y, learn), balance(y, judge)[judge]
+    parts = [data.part(some_) for some_ in np.array_split(judge, max(1, len(judge) // 256))]
+
+    def probabilities() -> np.ndarray:
+        return np.concatenate([net.probability(ids, begins, net.embed(rows, sizes)) for ids, begins, rows, sizes in parts])
+
+    def judged() -> float:
+        p = np.clip(probabilities(), 1e-7, 1 - 1e-7)
+        return float((judge_weight * -np.where(y[judge] == 1, np.log(p), np.log(1 - p))).mean())
+
+    least, kept, since, t = judged(), [v.copy() for v in net.parameters()], 0, 0
+    for epoch in range(epochs):
+        order = np.concatenate([rng.permutation(learn) for _ in range(-(-EPOCH_TEXTS // len(learn)))])
+        for batch in np.array_split(order, max(1, len(order) // BATCH)):
             t += 1
-            rows = np.concatenate([ids[begins[i] : ends[i]] for i in batch])
-            at = np.concatenate([[0], np.cumsum(ends[batch] - begins[batch])])
-            x, maps = net.maps(rows)
-            best = [np.stack([a + y_[a:b].argmax(0) for a, b in zip(at[:-1], at[1:])]) for y_ in maps]
-            pre = np.concatenate([np.take_along_axis(y_, k, 0) + b for y_, k, b in zip(maps, best, net.biases)], 1)
-            pooled = np.maximum(pre, 0)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + out_bias[0], -30, 30)))
-            d = ((p - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            d_pre = d[:, None] * net.out * (pre > 0)
-            adam("out", net.out, pooled.T @ d + 1e-4 * net.out, t)
-            adam("bias", out_bias, np.array([d.sum()]), t)
-            touched, grads = [], []
-            for k, width in enumerate(WIDTHS):
-                g, hit = d_pre[:, k * FILTERS : (k + 1) * FILTERS], best[k]
-                g_f = np.zeros_like(net.filters[k])
-                for s in range(width):
-                    pos = np.minimum(hit + s, len(rows) - 1)
-                    g_f[s] = np.einsum("df,dfe->ef", g, x[pos])
-                    touched.append(pos.ravel())
-                    grads.append((g[:, :, None] * net.filters[k][s].T[None]).reshape(-1, 2 * DIM))
-                adam(f"b{k}", net.biases[k], g.sum(0), t)
-                adam(f"f{k}", net.filters[k], g_f, t)
-            pos, grad = np.concatenate(touched), np.concatenate(grads)
-            for c, table in enumerate(net.tables):  # plain steps on the few rows that were at a maximum
-                np.add.at(table, rows[pos, c], -0.5 * grad[:, c * DIM : (c + 1) * DIM])
-                table[PAD] = 0
-    net.bias = float(out_bias[0])
+            drop = rng.random(int((data.begins[batch + 1] - data.begins[batch]).sum()), np.float32) < DROP
+            _, grads, used = gradients(net, *data.part(batch, drop), y[batch], weight[batch] / len(batch))
+            for k, (v, g, (m, s)) in enumerate(zip(net.parameters(), grads, moments)):
+                at = used if k == 0 else slice(None)
+                m[at] = 0.9 * m[at] + 0.1 * g
+                s[at] = 0.99 * s[at] + 0.01 * g * g
+                v[at] -= RATE * (m[at] / (1 - 0.9**t)) / (np.sqrt(s[at] / (1 - 0.99**t)) + 1e-6)
+        now = judged()
+        if log:
+            log(epoch, now)
+        if now < least - 1e-4:
+            least, kept, since = now, [v.copy() for v in net.parameters()], 0
+        elif (since := since + 1) >= PATIENCE:
+            break
+    for v, best in zip(net.parameters(), kept):
+        v[...] = best
     if held.any():
-        p = np.concatenate([net.probability(ids[begins[i] : ends[i]], np.array([0])) for i in np.flatnonzero(held)])
-        whole = threshold(p, y[held])
+        p = probabilities()
+        whole = threshold(p, y[judge])
         for k in range(len(LANGUAGES)):
-            own = languages[held] == k
-            net.thresholds[k] = threshold(p[own], y[held][own]) if y[held][own].sum() >= FEWEST_TOXIC else whole
+            own = data.languages[judge] == k
+            net.thresholds[k] = threshold(p[own], y[judge][own]) if y[judge][own].sum() >= FEWEST_TOXIC else whole
     return net
 
 
@@ -196,6 +288,34 @@ def threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.median(steps[f1 >= f1.max() - 1e-9]))
 
 
+class Scorer:
+    """Scores texts in a task; keeps the embeddings of the words seen so far, a bounded number."""
+
+    def __init__(self, net: Cnn):
+        self.net = net
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = Words()
+        self.known = 1
+        self.embeddings, self.languages = np.zeros((1 << 12, self.net.table.shape[1]), self.net.table.dtype), np.full(1 << 12, len(LANGUAGES) - 1, np.int8)
+
+    def __call__(self, some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities and guessed languages."""
+        if self.known > MOST_WORDS:
+            self.forget()
+        words = self.words
+        ids, begins = packed(some, words)
+        a, b = self.known, len(words.sizes)
+        while b > len(self.embeddings):
+            self.embeddings, self.languages = np.concatenate([self.embeddings] * 2), np.concatenate([self.languages] * 2)
+        self.embeddings[a:b] = self.net.embed(np.array(words.rows, np.int64), np.array(words.sizes[a:], np.int64))
+        self.languages[a:b] = words.languages[a:]
+        words.rows, self.known = [], b
+        languages = self.languages[ids]
+        return self.net.probability(ids, begins, self.embeddings), np.array([guess(languages[a:b]) for a, b in zip(begins[:-1], begins[1:])], np.int64)
+
+
 SCHEMA = "doc_id bigint, score double, predicted int, language string, raw_probability double"
 
 
@@ -203,15 +323,13 @@ def score_documents(docs: DataFrame, net: Cnn | None) -> DataFrame:
     """doc_id, score, predicted (score >= 0.5), guessed language, probability before calibration."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(features, 300_000)
+        scorer = Scorer(net) if net else None
         for batch in slices(batches, 2 << 20):
-            memo.trim()
             some = texts(batch)
             n = len(some)
             p, languages, score = np.zeros(n), np.full(n, len(LANGUAGES) - 1), np.zeros(n)
-            if net and n:
-                ids, begins, languages = packed(some, memo)
-                p = net.probability(ids, begins)
+            if scorer and n:
+                p, languages = scorer(some)
                 score = net.score(p, languages)
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array([LANGUAGES[k] for k in languages], pa.string()), pa.array(p, pa.float64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -222,4 +340,4 @@ def score_documents(docs: DataFrame, net: Cnn | None) -> DataFrame:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Cnn | None:
     """Learns only from rows whose crc32(doc_id) mod FOLDS is not 0."""
     assert FOLDS == 5
-    return fit(*sample(docs, labels, "toxic", rows))
+    return fit(*sample(docs, labels, F.col("toxic"), rows, SAMPLE_BYTES))
