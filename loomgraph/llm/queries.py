@@ -68,7 +68,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_edited(documents(spark, sf_dir), vocabulary())
+    return token_counts.count_edited(spark, documents(spark, sf_dir), vocabulary())
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,29 +171,59 @@ def test_long_word_equals_short_path():
         assert coder.merge_together([word.encode()])[0] == coder.merge_alone(word.encode())
 
 
+def edited(text, edits):
+    want, at = b"", 0
+    for a, b, x in edits:
+        want, at = want + text[at:a] + x, b
+    return want + text[at:]
+
+
 def test_token_counts_equal_recount(spark, docs, empty):
     coder = bpe.Bpe(vocabulary())
+    leaf = token_counts.LeafCoder(coder)
     count = lambda t: len(coder.encode([t])[0]) // 4
     rng = np.random.default_rng(3)
-    some = [raw(t) for _, t, *_ in ROWS if t != LONG] + [b"a b  c", "é̀ x".encode()]
+    some = [raw(t) for _, t, *_ in ROWS if t != LONG] + [b"a b  c", "e\u0300 x".encode(), b"it's'll!'re''s1'2've<|endoftext|>a<|startoftext|>'t"]
+    some += ["".join(rng.choice([*"ab'!1<|>é\u0301e\u0308n\u0303\u1100\u1161\u11a8İßΣ中，\u00a0\x1c", "'re", "<|endoftext|>", "end", " "], 120)).encode() for _ in range(60)]
+    new_parts = [b"", b" ", b"new Words", b"x", b"'", b"re", b"s", b"<|", b"|>", "\u0301".encode(), "\u11a8".encode(), b"7", b"<|endoftext|>", "中".encode()]
     for text in some:
-        for _ in range(12):
-            text.decode()
+        kept = token_counts.keep(leaf.leaves([text])[0])
+        for _ in range(12):  # trees that are kept, edited, kept and edited again
             bounds = [i for i in range(len(text) + 1) if i == len(text) or text[i] & 0xC0 != 0x80]
             cuts = sorted(int(x) for x in rng.choice(bounds, 2 * min(3, (len(bounds) + 1) // 2)))
-            edits = [(a, b, [b"", b" ", b"new Words", b"x"][int(rng.integers(4))]) for a, b in zip(cuts[::2], cuts[1::2])]
-            tree = token_counts.CountTree(token_counts.count_pieces(coder, [text.split()])[0])
-            new, _ = token_counts.apply_edits(coder, text, tree, edits)
-            want, at = b"", 0
-            for a, b, x in edits:
-                want, at = want + text[at:a] + x, b
-            assert new == want + text[at:] and tree.total == count(new)
-    got = token_counts.count_edited(docs, vocabulary()).collect()
-    assert len(got) == len(ROWS) and token_counts.count_edited(empty, vocabulary()).count() == 0
+            edits = [(a, b, new_parts[int(rng.integers(len(new_parts)))]) for a, b in zip(cuts[::2], cuts[1::2])]
+            new, leaves, total, _ = token_counts.apply_edits(leaf, text, token_counts.kept(kept), edits)
+            assert new == edited(text, edits) and total == count(new), (text, edits)
+            assert (leaves[2] >= 0).all() and leaves[2].sum() == total and (leaves == token_counts.kept(token_counts.keep(leaves))).all()
+            if new.isascii():
+                assert (leaves == leaf.leaves([new])[0]).all(), (text, edits)
+            text, kept = new, token_counts.keep(leaves)
+    got = token_counts.count_edited(spark, docs, vocabulary()).collect()
+    assert len(got) == len(ROWS) and token_counts.count_edited(spark, empty, vocabulary()).count() == 0
     twelve = next(r for r in got if r.doc_id == 12)
     assert twelve.n_edits == 3 and twelve.n_tokens_edited == count(b"mail <masked> or <masked>\nsame line\n")
 
 
+def test_edits_of_text_without_spaces_stay_local():
+    leaf = token_counts.LeafCoder(bpe.Bpe(vocabulary()))
+    for text in (b"ab1,cd-" * 5000, "中文，字。".encode() * 3000, b"x'll." * 6000):
+        leaves = leaf.leaves([text])[0]
+        new, after, total, again = token_counts.apply_edits(leaf, text, leaves, [(len(text) // 30 * 15, len(text) // 30 * 15, b"q")])
+        assert again < 80 and len(new) == len(text) + 1 and total == int(leaf.leaves([new])[0][2].sum()) == int(after[2].sum())
+
+
+def test_trees_are_kept_between_batches_of_edits(spark):
+    coder = bpe.Bpe(vocabulary())
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (3, "a,b,c")], "doc_id bigint, text string")
+    trees = common.stage(spark, token_counts.build_trees(docs, vocabulary()), "trees")
+    marks = "array<struct<start:int,end:int,replacement:string>>"
+    for k in range(3):
+        trees = common.stage(spark, token_counts.edit_trees(trees.selectExpr("*", f"cast(array(struct(0, 0, 'w{k} ')) as {marks}) AS edits"), vocabulary(), "edits"), "trees")
+    got = {r.doc_id: (r.text, r.n_tokens) for r in trees.collect()}
+    assert {k: x[0] for k, x in got.items()} == {1: "w2 w1 w0 alpha beta gamma", 2: "w2 w1 w0 ", 3: "w2 w1 w0 a,b,c"}
+    assert all(n == len(coder.encode([t.encode()])[0]) // 4 for t, n in got.values())
+
+
 def test_addresses_behind_each_other_are_masked():
     plain = re.compile(rb"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|[0-9]{4,}")
     rng = np.random.default_rng(6)
