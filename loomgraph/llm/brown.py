@@ -5,16 +5,23 @@ unknown word, where m is the share of training tokens that occur once (Good-Turi
 
 How it runs. Documents are packed into blocks of about BLOCK tokens: word numbers of the block, and the block's distinct words as
 sorted 64-bit hashes. Blocks are written once, as a table bucketed by block, so that what is sent to blocks later is joined without moving
-the tokens again. Words live in ranges of their hash, one group per range; a frequent word arrives there once
-per block, pre-counted, so it makes no hot group. Each round, blocks send every word's counts by the class before and after it
-to the word's range, ranges add them up, and each word moves to the class with the largest exact change of the class-bigram likelihood, given
-the other words' classes (the exchange algorithm, all words of a round against the same counts). Only the matrix of class
+the tokens again. Words live in ranges of their hash; a frequent word arrives at its range once
+per block, pre-counted, so it makes no hot group. A range reads its rows as a sorted stream, one block's after another's, and keeps only its own words and their counts, so its
+memory is that of its words, however many blocks there are. Each round, blocks send every word's counts by the class before and after it
+to the word's range, ranges add them up, and words move to the class with the largest exact change of the class-bigram likelihood, given
+the other words' classes (the exchange algorithm, the moving words of a round against the same counts; the others rest). Only the matrix of class
 bigrams, CLASSES squared numbers, passes through the driver. All counts cover all training documents, whatever the size.
 
+Rounds go on until one gains less than TOLERANCE of log10 likelihood per training token. Words that move at once can overshoot: a round
+that does not raise the likelihood is taken back, and half as many words move from there. The most frequent words begin in classes of
+their own, as in Brown's algorithm, all others in the last one, from which they move out by their contexts.
+
 Words are told apart by 64-bit hashes (XXH64): among 10^8 distinct words the chance of any collision is 3 in 10 000.
 
 Defined results: null text counts as empty, which has the end token only; a null doc_id is not held out. Without
-training tokens every token is unknown. Repeated rows count and score each on their own. An empty table gives an empty result.
+training tokens every token is unknown. Repeated rows count and score each on their own. Of classes with equal gain the first is taken; words of
+equal count are ranked by their hash. Long texts are one document in one block, whole. An empty table gives an empty result. Other columns are not
+read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,7 +40,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Memo, numbered, slices, stage, texts, unstage
 
 CLASSES = 24
-ROUNDS = 3
+#: A round that gains less (log10 of the likelihood per training token) is the last.
+TOLERANCE = 0.01
+#: The share of words that move in a round at first, and the least to which it is halved.
+MOVING, FEWEST_MOVING = 0.75, 0.05
 BLOCK = 400_000
 FOLDS, HELD = 7, 2
 #: Weight of the class model against the plain word share, and of the class's share against its transitions (in tokens).
@@ -41,9 +51,13 @@ MIX, SMOOTH = 0.95, 20.0
 END = b" "  # no word has a space
 
 BLOCKS = "block bigint, doc_ids array<bigint>, lengths binary, held binary, tokens binary, words binary, counts binary"
-#: Rows with block -1 are a range's own state, the others what the range knows of a block or sends to it.
-STATE = "range int, block bigint, at binary, count binary, class binary, width binary, context binary, number binary, matrix array<double>"
-COLUMNS = [x.split()[0] for x in STATE.split(", ")]
+#: Rows that ranges get, in the order of block and kind. Block OWN: what the range keeps (OWN rows: words and counts, or classes, or classes with the
+#: counts of their contexts). Other blocks: PLACE: where the block's words are among the range's; NEWS: what a block has counted.
+OWN, PLACE, NEWS = -1, 0, 1
+ROWS = "range int, block bigint, kind int, at binary, count binary, class binary, width binary, context binary, number binary, matrix array<double>"
+COLUMNS = [x.split()[0] for x in ROWS.split(", ")]
+#: A range adds up what blocks have sent whenever so many counts are waiting.
+WAITING = 2_000_000
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -110,9 +124,9 @@ def row(**some) -> dict:
     return {k: some.get(k) for k in COLUMNS}
 
 
-def table(rows: list[dict]) -> pa.Table:
-    kinds = {"range": pa.int32(), "block": pa.int64(), "matrix": pa.list_(pa.float64())}
-    return pa.table({k: pa.array([r[k] for r in rows], kinds.get(k, pa.binary())) for k in COLUMNS})
+def batches_of(rows: list[dict]) -> list[pa.RecordBatch]:
+    kinds = {"range": pa.int32(), "block": pa.int64(), "kind": pa.int32(), "matrix": pa.list_(pa.float64())}
+    return pa.table({k: pa.array([r[k] for r in rows], kinds.get(k, pa.binary())) for k in COLUMNS}).to_batches() if rows else []
 
 
 def cuts(words: np.ndarray, ranges: int) -> np.ndarray:
@@ -122,91 +136,141 @@ def cuts(words: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def to_ranges(ranges: int):
-    """A block's words and their counts, by range. 'at' holds the hashes here; only this first time."""
+    """A block's words (their hashes, in 'at') and their counts, by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, "<i4")
                 at = cuts(words, ranges)
-                rows = [row(range=k, block=block, at=words[a:b].tobytes(), count=planes(counts[a:b])) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-                yield from table(rows).to_batches()
+                yield from batches_of([row(range=k, block=block, kind=PLACE, at=words[a:b].tobytes(), count=planes(counts[a:b])) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a])
 
     return run
 
 
-def gather_words(rows: pa.Table) -> pa.Table:
-    """All words of a range, their counts, and for each block where its words are among them."""
-    rows = rows.to_pylist()
-    parts = [np.frombuffer(r["at"], np.uint64) for r in rows]
-    words, at = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, at, np.concatenate([unplane(r["count"], "<i4") for r in rows]).astype(np.int64))
-    out = [row(range=rows[0]["range"], block=-1, at=words.tobytes(), count=planes(total))]
-    for r, own in zip(rows, np.split(at, np.cumsum([len(p) for p in parts])[:-1])):
-        out.append(row(range=r["range"], block=r["block"], at=rising(own)))
-    return table(out)
+def streamed(rows: DataFrame, ranges: int, handle) -> DataFrame:
+    """Each range's rows as a stream sorted by block and kind. handle(range) gives an object whose take(row) and end() give rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if now is None or r["range"] != at:
+                    out += now.end() if now else []
+                    now, at = handle(r["range"]), r["range"]
+                out += now.take(r)
+            yield from batches_of(out)
+        if now:
+            yield from batches_of(now.end())
+
+    return rows.repartition(ranges, "range").sortWithinPartitions("range", "block", "kind").mapInArrow(run, ROWS)
+
+
+class Vocabulary:
+    """All words of a range and their counts."""
+
+    def __init__(self, k: int):
+        self.k, self.words, self.total, self.parts, self.waiting = k, np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def take(self, r: dict) -> list:
+        self.parts.append((np.frombuffer(r["at"], np.uint64), unplane(r["count"], "<i4").astype(np.int64)))
+        self.waiting += len(self.parts[-1][0])
+        if self.waiting > WAITING:
+            self.add()
+        return []
+
+    def add(self) -> None:
+        words, at = np.unique(np.concatenate([self.words, *(x for x, _ in self.parts)]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([self.total, *(x for _, x in self.parts)]), len(words))
+        self.words, self.total, self.parts, self.waiting = words, total.astype(np.int64), [], 0
+
+    def end(self) -> list[dict]:
+        self.add()
+        return [row(range=self.k, block=OWN, kind=OWN, at=self.words.tobytes(), count=planes(self.total))]
+
+
+class Places:
+    """Where each block's words are among those of the range."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def take(self, r: dict) -> list[dict]:
+        words = np.frombuffer(r["at"], np.uint64)
+        if r["kind"] == OWN:
+            self.words = words
+            return []
+        return [row(range=self.k, block=r["block"], kind=PLACE, at=rising(np.searchsorted(self.words, words)))]
+
+    def end(self) -> list:
+        return []
 
 
-def send(rows: list[dict], total: np.ndarray, classes: np.ndarray) -> pa.Table:
-    """The range's new state, and for each block the classes and counts of its words."""
-    out = [row(range=rows[0]["range"], block=-1, count=planes(total), **{"class": classes.astype(np.uint8).tobytes()})]
-    for r in rows:
-        if r["block"] >= 0:
-            at = unrise(r["at"])
-            out.append(row(range=r["range"], block=r["block"], at=r["at"], count=planes(total[at]), **{"class": classes[at].astype(np.uint8).tobytes()}))
-    return table(out)
+class Sender:
+    """Sends the classes of their words to blocks, and with counts=True their counts. make(row) gives a range's classes and counts."""
+
+    def __init__(self, k: int, make, counts: bool = False):
+        self.k, self.make, self.counts = k, make, counts
+
+    def take(self, r: dict) -> list[dict]:
+        if r["kind"] == OWN:
+            self.classes, self.total = self.make(r)
+            return [row(range=self.k, block=OWN, kind=OWN, **{"class": self.classes.astype(np.uint8).tobytes()})]
+        at = unrise(r["at"])
+        return [row(range=self.k, block=r["block"], kind=PLACE, count=planes(self.total[at]) if self.counts else None, **{"class": self.classes[at].astype(np.uint8).tobytes()})]
+
+    def end(self) -> list:
+        return []
 
 
 def first_classes(top: dict[int, int], classes: int):
-    """The most frequent words have a class each, as in Brown's algorithm; the others begin by their hash."""
+    """The most frequent words have a class each, as in Brown's algorithm; all others begin in the last."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        own = next(r for r in rows if r["block"] < 0)
+    def make(own: dict) -> tuple[np.ndarray, None]:
         words = np.frombuffer(own["at"], np.uint64)
-        c = (words % np.uint64(classes)).astype(np.int64)
+        c = np.full(len(words), classes - 1)
         for word, k in top.items():
             at = np.searchsorted(words, np.uint64(word))
             if at < len(words) and words[at] == np.uint64(word):
                 c[at] = k
-        return send(rows, unplane(own["count"], "<i8"), c)
+        return c, None
 
-    return run
+    return make
 
 
 def unpack(block: dict, news: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's lengths, and the classes and counts of its words from what the ranges sent."""
     news.sort(key=lambda r: r["range"])
     classes = np.frombuffer(b"".join(r["class"] for r in news), np.uint8).astype(np.int64)
-    count = np.concatenate([unplane(r["count"], "<i8") for r in news])
+    count = np.concatenate([unplane(r["count"] or b"", "<i8") for r in news])
     return np.frombuffer(block["lengths"], "<i4").astype(np.int64), classes, count
 
 
 def contexts(classes_n: int):
-    """Counts of each word of a block by the class before and after it, over the training documents."""
+    """Counts of each word of a block by the class before it (codes from 0), the class after it (from classes_n) and after itself (the last code),
+    over the training documents."""
 
     def run(blocks: pa.Table, news: pa.Table) -> pa.Table:
         out = []
         news = news.to_pylist()
         for block in blocks.to_pylist():
             lengths, cls, _ = unpack(block, news)
-            tokens = np.frombuffer(block["tokens"], "<i4")
-            learn = np.repeat(~np.frombuffer(block["held"], bool), lengths)
-            c = cls[tokens]
-            before = np.empty_like(c)
-            before[1:] = c[:-1]  # a document is preceded by the end of one, whichever it is
-            before[np.cumsum(lengths) - lengths] = c[-1]
-            after = np.empty_like(c)
-            after[:-1] = c[1:]
-            last = np.cumsum(lengths) - 1
+            tokens = np.frombuffer(block["tokens"], "<i4").astype(np.int64)
+            train = ~np.frombuffer(block["held"], bool)
+            learn = np.repeat(train, lengths)
+            begins, last, end, n = np.cumsum(lengths) - lengths, np.cumsum(lengths) - 1, tokens[-1], 2 * classes_n + 1
+            # a document is preceded by the end of one, whichever it is
+            prior = np.empty_like(tokens)
+            prior[1:] = tokens[:-1]
+            prior[begins] = end
             inner = learn.copy()
             inner[last] = False  # what follows an end is the next document's first word, counted from there
-            n = 2 * classes_n
-            keys = np.bincount(tokens[learn] * n + before[learn], minlength=len(cls) * n) + np.bincount(tokens[inner] * n + classes_n + after[inner], minlength=len(cls) * n)
-            first = (np.cumsum(lengths) - lengths)[~np.frombuffer(block["held"], bool)]
-            end = tokens[-1]
-            keys[end * n + classes_n : (end + 1) * n] += np.bincount(c[first], minlength=classes_n)
+            inner = np.flatnonzero(inner)
+            first = tokens[begins[train]]
+            mine, before = tokens[learn], prior[learn]
+            keys = np.concatenate([mine * n + cls[before], tokens[inner] * n + classes_n + cls[tokens[inner + 1]], end * n + classes_n + cls[first], mine[mine == before] * n + n - 1])
+            keys = np.bincount(keys, minlength=len(cls) * n)
             found = np.flatnonzero(keys)
             number, word, context = keys[found].astype("<i4"), found // n, (found % n).astype(np.uint8)
             width = np.bincount(word, minlength=len(cls)).astype(np.uint8)
@@ -214,83 +278,128 @@ def contexts(classes_n: int):
             for r in news:
                 size = len(r["class"])
                 some = int(width[at_word : at_word + size].sum(dtype=np.int64))
-                out.append(row(range=r["range"], block=block["block"], at=r["at"], width=width[at_word : at_word + size].tobytes(), context=context[at_entry : at_entry + some].tobytes(), number=planes(number[at_entry : at_entry + some])))
+                out.append(row(range=r["range"], block=block["block"], kind=NEWS, width=width[at_word : at_word + size].tobytes(), context=context[at_entry : at_entry + some].tobytes(), number=planes(number[at_entry : at_entry + some])))
                 at_word, at_entry = at_word + size, at_entry + some
-        return table(out)
+        return pa.Table.from_batches(batches_of(out))
 
     return run
 
 
-def gather_contexts(classes_n: int):
+class Gather:
     """The counts of a range's words over all blocks, and its part of the matrix of class bigrams."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        own = next(r for r in rows if r["block"] < 0)
-        cls = np.frombuffer(own["class"], np.uint8).astype(np.int64)
-        n = 2 * classes_n
-        keys, numbers, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-        for r in rows:
-            if r["block"] >= 0:
-                width = np.frombuffer(r["width"], np.uint8)
-                keys.append(np.repeat(unrise(r["at"]), width) * n + np.frombuffer(r["context"], np.uint8))
-                numbers.append(unplane(r["number"], "<i4").astype(np.int64))
-                out.append(row(range=r["range"], block=r["block"], at=r["at"]))
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        number = np.bincount(at, np.concatenate(numbers), len(found)).astype(np.int64)
-        word, context = found // n, found % n
-        prior = context < classes_n
-        matrix = np.bincount(context[prior] * classes_n + cls[word[prior]], number[prior], classes_n * classes_n)
-        width = np.bincount(word, minlength=len(cls)).astype(np.uint8)
-        own |= {"width": width.tobytes(), "context": context.astype(np.uint8).tobytes(), "number": planes(number), "matrix": matrix.tolist()}
-        return table([own, *out])
-
-    return run
+    def __init__(self, k: int, classes_n: int):
+        self.k, self.classes_n, self.n = k, classes_n, 2 * classes_n + 1
+        self.keys, self.numbers, self.parts, self.waiting = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+    def take(self, r: dict) -> list:
+        if r["kind"] == OWN:
+            self.cls = np.frombuffer(r["class"], np.uint8).astype(np.int64)
+        elif r["kind"] == PLACE:
+            self.at = unrise(r["at"])
+        else:
+            keys = np.repeat(self.at, np.frombuffer(r["width"], np.uint8)) * self.n + np.frombuffer(r["context"], np.uint8)
+            self.parts.append((keys, unplane(r["number"], "<i4").astype(np.int64)))
+            self.waiting += len(keys)
+            if self.waiting > WAITING:
+                self.add()
+        return []
+
+    def add(self) -> None:
+        found, at = np.unique(np.concatenate([self.keys, *(x for x, _ in self.parts)]), return_inverse=True)
+        self.numbers = np.bincount(at, np.concatenate([self.numbers, *(x for _, x in self.parts)]), len(found)).astype(np.int64)
+        self.keys, self.parts, self.waiting = found, [], 0
+
+    def end(self) -> list[dict]:
+        self.add()
+        word, context, k = self.keys // self.n, self.keys % self.n, self.classes_n
+        prior = context < k
+        matrix = np.bincount(context[prior] * k + self.cls[word[prior]], self.numbers[prior], k * k)
+        width = np.bincount(word, minlength=len(self.cls)).astype(np.uint8)
+        return [row(range=self.k, block=OWN, kind=OWN, width=width.tobytes(), context=context.astype(np.uint8).tobytes(), number=planes(self.numbers), matrix=matrix.tolist(), **{"class": self.cls.astype(np.uint8).tobytes()})]
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def likelihood(matrix: np.ndarray) -> float:
+    """What of the log-likelihood depends on the classes: the sum of f(N(a, b)), less f(N(a, .)) and f(N(., b)), with f(x) = x log x."""
+    return float(xlogx(matrix).sum() - xlogx(matrix.sum(1)).sum() - xlogx(matrix.sum(0)).sum())
+
+
+def gains(matrix: np.ndarray, cls: np.ndarray, prior: np.ndarray, after: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The exact change of the likelihood by each word's move to each class, all other words staying.
+
+    prior, after: a word's counts by the class before and after it, without those where it follows itself, whose number is own. For a move from A to B, cells of
+    rows and columns A and B change. Those where they cross are taken out of the sums over contexts and put in on their own."""
+    n, at = len(cls), np.arange(len(cls))
+    gain, leaves, f = np.zeros((n, len(matrix))), np.zeros(n), xlogx
+    for counts, m in ((after, matrix), (prior, matrix.T)):  # row B of matrix by the class after, then its column B by the class before
+        word, context = np.nonzero(counts)
+        if len(word):
+            x, cells = counts[word, context], m.T[context]
+            begins = np.flatnonzero(np.diff(word, prepend=-1))
+            gain[word[begins]] += np.add.reduceat(f(cells + x[:, None]) - f(cells), begins, 0)
+            mine = cells[np.arange(len(word)), cls[word]]
+            leaves += np.bincount(word, f(mine - x) - f(mine), n)
+    to_a, from_a, own = after[at, cls][:, None], prior[at, cls][:, None], own[:, None]
+    aa, bb, ab, ba = matrix[cls, cls][:, None], np.diag(matrix)[None], matrix[cls], matrix.T[cls]
+    gain -= f(ba + to_a) + f(bb + after) + f(ab + from_a) + f(bb + prior) - f(ba) - f(ab) - 2 * f(bb)
+    gain += leaves[:, None] - (f(aa - to_a) + f(ab - after) + f(aa - from_a) + f(ba - prior) - 2 * f(aa) - f(ab) - f(ba))
+    gain += f(aa - to_a - from_a - own) + f(bb + after + prior + own) + f(ab - after + from_a) + f(ba - prior + to_a) - f(aa) - f(bb) - f(ab) - f(ba)
+    for total, x in ((matrix.sum(1), after.sum(1)[:, None] + own), (matrix.sum(0), prior.sum(1)[:, None] + own)):
+        gain -= f(total + x) - f(total) + f(total[cls][:, None] - x) - f(total[cls])[:, None]
+    gain[at, cls] = 0.0
+    return gain
+
+
 def exchange(matrix: np.ndarray, cls: np.ndarray, width: np.ndarray, context: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The class of each word with the largest change of the likelihood sum f(N(a, b)) - sum f(N(a, .)) - sum f(N(., b)), f(x) = x log x."""
+    """The class of each word with the largest exact change of the likelihood; its own if none is above 0."""
     k, words = len(matrix), len(cls)
-    word = np.repeat(np.arange(words), width)
-    number = number.astype(np.float64)
-    rows, columns = matrix.sum(1), matrix.sum(0)
-    both = np.concatenate([matrix, matrix.T])  # row p: class p before; row k + q: class q after
-    gain, own_cost = np.zeros((words, k)), np.zeros(words)
-    for a in range(0, len(word), 40_000):  # bounded memory
-        part = slice(a, a + 40_000)
-        m, x, w = both[context[part]], number[part], word[part]
-        change = xlogx(m + x[:, None]) - xlogx(m)
-        begins = np.flatnonzero(np.diff(w, prepend=-1))
-        gain[w[begins]] += np.add.reduceat(change, begins, 0) if len(w) else 0
-        mine = m[np.arange(len(w)), cls[w]]
-        own_cost += np.bincount(w, xlogx(mine) - xlogx(mine - x), words)
-    prior = context < k
-    left, right = np.bincount(word[~prior], number[~prior], words), np.bincount(word[prior], number[prior], words)
-    for total, x in ((rows, left), (columns, right)):
-        gain -= xlogx(total + x[:, None]) - xlogx(total)
-        own_cost -= xlogx(total[cls]) - xlogx(total[cls] - x)
-    gain -= own_cost[:, None]
-    gain[np.arange(words), cls] = 0.0  # staying changes nothing
-    best = gain.argmax(1)
-    return np.where(gain[np.arange(words), best] > 1e-9, best, cls)
-
-
-def move(matrix: np.ndarray, turn: int):
-    """New classes of a range's words. Every fourth word of a turn rests, so that words don't follow one another in circles."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        own = next(r for r in rows if r["block"] < 0)
+    best, ends = cls.copy(), np.cumsum(width.astype(np.int64))
+    begins = ends - width
+
+    def choose(own: np.ndarray, prior: np.ndarray, after: np.ndarray, itself: np.ndarray) -> np.ndarray:
+        gain = gains(matrix, own, prior, after, itself)
+        top = gain.argmax(1)
+        return np.where(gain[np.arange(len(own)), top] > 1e-9, top, own)
+
+    # words that occur once are alike if their class and both contexts are: each such case is looked at once
+    once = np.flatnonzero(width == 2)
+    once = once[(number[begins[once]] == 1) & (number[begins[once] + 1] == 1) & (context[begins[once]] < k)]
+    case, which = np.unique((cls[once] * k + context[begins[once]]) * k + context[begins[once] + 1] - k, return_inverse=True)
+    one = np.eye(k)
+    for a in range(0, len(case), 2048):
+        c = case[a : a + 2048]
+        case[a : a + 2048] = choose(c // (k * k), one[c // k % k], one[c % k], np.zeros(len(c)))
+    best[once] = case[which]
+    many = np.ones(words, bool)
+    many[once] = False
+    many = np.flatnonzero(many & (width > 0))
+    for a in range(0, len(many), 2048):  # bounded memory
+        some = many[a : a + 2048]
+        w = width[some].astype(np.int64)
+        at = np.repeat(begins[some] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+        counts = np.zeros((len(some), 2 * k + 1))
+        counts[np.repeat(np.arange(len(some)), w), context[at]] = number[at]
+        prior, after, itself, own = counts[:, :k], counts[:, k : 2 * k], counts[:, -1], cls[some]
+        prior[np.arange(len(some)), own] -= itself
+        after[np.arange(len(some)), own] -= itself
+        best[some] = choose(own, prior, after, itself)
+    return best
+
+
+def moved(matrix: np.ndarray, turn: int, share: float):
+    """New classes of a range's words. Some rest, others each turn, so that words don't follow one another in circles."""
+
+    def make(own: dict) -> tuple[np.ndarray, None]:
         cls = np.frombuffer(own["class"], np.uint8).astype(np.int64)
         best = exchange(matrix, cls, np.frombuffer(own["width"], np.uint8), np.frombuffer(own["context"], np.uint8).astype(np.int64), unplane(own["number"], "<i8"))
-        rest = np.arange(len(cls)) % 4 == turn % 4
-        return send(rows, unplane(own["count"], "<i8"), np.where(rest, cls, best))
+        draw = (np.arange(len(cls)) * 0x9E3779B1 + turn * 0x85EBCA6B) % (1 << 32) / (1 << 32)
+        return np.where(draw < share, best, cls), None
 
-    return run
+    return make
 
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -335,38 +444,65 @@ def add_matrices(rows: pa.Table) -> pa.Table:
 
 def matrix_of(state: DataFrame, classes: int) -> np.ndarray:
     """CLASSES squared numbers, summed on the executors to at most 8 rows."""
-    parts = state.filter("block < 0").select((F.col("range") % 8).alias("part"), "matrix").groupBy("part").applyInArrow(add_matrices, "matrix array<double>").collect()
+    parts = state.select((F.col("range") % 8).alias("part"), "matrix").groupBy("part").applyInArrow(add_matrices, "matrix array<double>").collect()
     return np.sum([r["matrix"] for r in parts] or [np.zeros(classes * classes)], 0).reshape(classes, classes)
 
 
-def brown_scores(spark: SparkSession, docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """One row of SCORES per document."""
+def brown_scores(spark: SparkSession, docs: DataFrame, classes: int = CLASSES, tolerance: float = TOLERANCE, log=None) -> DataFrame:
+    """One row of SCORES per document. log, if given, is called with each round's log10 likelihood per training token."""
+    if not 2 <= classes <= 127:
+        raise ValueError("class and context numbers are bytes: classes must be from 2 to 127")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"brown_blocks_{uuid.uuid4().hex}"
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make_blocks, BLOCKS)
     made.write.format("parquet").bucketBy(ranges, "block").sortBy("block").saveAsTable(name)
     blocks = spark.table(name)
-    first = blocks.select("block", "words", "counts").mapInArrow(to_ranges(ranges), STATE)
-    state = stage(spark, first.groupBy("range").applyInArrow(gather_words, STATE), "brown")
-    # the counts of a range's words are binary there; sums and the most frequent words come from small rows
-    facts = state.filter("block < 0").mapInArrow(word_facts(classes), "tokens bigint, distinct bigint, once bigint, top array<struct<word:bigint,count:bigint>>")
-    facts = stage(spark, facts, "brown-facts")
+    fields = blocks.select("block", "lengths", "held", "tokens")
+    words = blocks.select("block", "words", "counts").mapInArrow(to_ranges(ranges), ROWS)
+    vocabulary = stage(spark, streamed(words, ranges, Vocabulary), "brown-words")
+    places = stage(spark, streamed(words.unionByName(vocabulary), ranges, Places), "brown-places")
+    # counts are binary there; their sums and the most frequent words come from small rows
+    facts = stage(spark, vocabulary.mapInArrow(word_facts(classes), "tokens bigint, distinct bigint, once bigint, top array<struct<word:bigint,count:bigint>>"), "brown-facts")
     n, v, once = facts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("once"), F.lit(0))).first()
-    top = facts.select(F.explode("top").alias("t")).orderBy(F.desc("t.count"), "t.word").limit(classes).collect()
-    news = stage(spark, state.groupBy("range").applyInArrow(first_classes({r["t"]["word"] % (1 << 64): k for k, r in enumerate(top)}, classes), STATE), "brown")
-    unstage(spark, state)
-    fields = "block", "lengths", "held", "tokens"
-    for turn in range(rounds + 1):
-        sent = blocks.select(*fields).groupBy("block").cogroup(news.filter("block >= 0").groupBy("block")).applyInArrow(contexts(classes), STATE)
-        state = stage(spark, sent.unionByName(news.filter("block < 0")).groupBy("range").applyInArrow(gather_contexts(classes), STATE), "brown")
+    top = facts.select(F.explode("top").alias("t")).orderBy(F.desc("t.count"), "t.word").limit(classes - 1).collect()
+    top = {r["t"]["word"] % (1 << 64): k for k, r in enumerate(top)}
+
+    def send(own: DataFrame, make) -> DataFrame:
+        return stage(spark, streamed(own.unionByName(places), ranges, lambda k: Sender(k, make)), "brown-classes")
+
+    def count(news: DataFrame) -> DataFrame:
+        sent = fields.groupBy("block").cogroup(news.filter(F.col("kind") == PLACE).groupBy("block")).applyInArrow(contexts(classes), ROWS)
+        own = news.filter(F.col("kind") == OWN)
+        return stage(spark, streamed(sent.unionByName(places).unionByName(own), ranges, lambda k: Gather(k, classes)), "brown-contexts")
+
+    news, kept, share, turn = send(vocabulary, first_classes(top, classes)), None, MOVING, 0
+    while True:
+        state = count(news)
         matrix = matrix_of(state, classes)
-        if turn < rounds:
+        value = likelihood(matrix) / max(n, 1) / np.log(10)
+        if log:
+            log(value)
+        gain = value - kept[0] if kept else tolerance
+        if kept and gain <= 0:  # too many have moved at once: back, and on from there with fewer
+            share /= 2
+            unstage(spark, state)
             unstage(spark, news)
-            news = stage(spark, state.groupBy("range").applyInArrow(move(matrix, turn), STATE), "brown")
-        unstage(spark, state)
-    out = blocks.groupBy("block").cogroup(news.filter("block >= 0").groupBy("block")).applyInArrow(score(matrix, n, v, once), SCORES)
+        else:
+            for x in kept[2:] if kept else ():
+                unstage(spark, x)
+            kept = value, matrix, news, state
+        if 0 < gain < tolerance or share < FEWEST_MOVING or not n:
+            break
+        turn += 1
+        news = send(kept[3], moved(kept[1], turn, share))
+    _, matrix, news, state = kept
+    # classes and counts go to the blocks for scoring
+    known = news.filter(F.col("kind") == OWN).select("range", "class").join(vocabulary.drop("class"), "range").select(*COLUMNS)
+    final = streamed(known.unionByName(places), ranges, lambda k: Sender(k, lambda r: (np.frombuffer(r["class"], np.uint8), unplane(r["count"], "<i8")), counts=True))
+    out = blocks.select("block", "doc_ids", "lengths", "held", "tokens").groupBy("block").cogroup(final.filter(F.col("kind") == PLACE).groupBy("block")).applyInArrow(score(matrix, n, v, once), SCORES)
     out = stage(spark, out, "brown-scores")
-    unstage(spark, news)
+    for x in (news, state, vocabulary, places, facts):
+        unstage(spark, x)
     spark.sql(f"DROP TABLE {name}")
     return out
 

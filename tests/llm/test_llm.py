@@ -384,47 +384,76 @@ def test_lm_scores(spark, docs, empty, small):
             if not brown.held_out(r.doc_id):
                 count.update(raw(r.text).lower().split())
                 count[None] += 1
-        n, v = sum(count.values()), len(count)
-        got = brown.brown_scores(spark, table, classes=6, rounds=2).collect()
+        n, v, seen = sum(count.values()), len(count), []
+        got = brown.brown_scores(spark, table, classes=6, log=seen.append).collect()
         by = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
         want = collections.Counter()
         for r in rows:
             w = [*raw(r.text).lower().split(), None]
             want[r.doc_id, brown.held_out(r.doc_id), len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)] += 1
         assert by == want and all(r.score < 0 for r in got)
+        rising = [x for i, x in enumerate(seen) if x > max(seen[:i], default=-math.inf)]
+        assert len(rising) > 1 and rising[-1] > seen[0]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
     assert brown.brown_scores(spark, empty).count() == 0
 
 
-def test_exchange_is_exact():
-    """The change of the likelihood by a move equals that of recounting, for words that don't follow themselves."""
-    rng = np.random.default_rng(2)
-    words, k = 12, 4
-    big = rng.integers(0, 6, (words, words)).astype(float)
-    np.fill_diagonal(big, 0)
-    cls = rng.integers(0, k, words)
+def bigrams(big, cls, k):
+    m = np.zeros((k, k))
+    np.add.at(m, (cls[:, None].repeat(len(cls), 1), cls[None].repeat(len(cls), 0)), big)
+    return m
 
-    def likelihood(c):
-        m = np.zeros((k, k))
-        np.add.at(m, (c[:, None].repeat(words, 1), c[None].repeat(words, 0)), big)
-        return brown.xlogx(m).sum() - brown.xlogx(m.sum(1)).sum() - brown.xlogx(m.sum(0)).sum(), m
 
-    before, m = likelihood(cls)
+def test_gains_equal_recount():
+    """The change of the likelihood by every move equals that of counting again, words that follow themselves included."""
+    rng = np.random.default_rng(2)
+    for words, k in ((14, 4), (9, 2), (20, 7)):
+        big = (rng.integers(0, 6, (words, words)) * (rng.random((words, words)) < 0.6)).astype(float)
+        cls = rng.integers(0, k, words)
+        own, other = np.diag(big).copy(), big - np.diag(np.diag(big))
+        prior, after = (np.stack([np.bincount(cls, x[w], k) for w in range(words)]) for x in (other.T, other))
+        m = bigrams(big, cls, k)
+        got = brown.gains(m, cls, prior, after, own)
+        for w in range(words):
+            for b in range(k):
+                c = cls.copy()
+                c[w] = b
+                assert abs(brown.likelihood(bigrams(big, c, k)) - brown.likelihood(m) - got[w, b]) < 1e-6
+
+
+def test_exchange_takes_the_best_move():
+    """From the sparse counts that ranges keep; words that occur once are looked up by case."""
+    rng = np.random.default_rng(3)
+    tokens, k = np.append(rng.integers(0, 60, 400), np.arange(60, 160)), 5
+    rng.shuffle(tokens)
+    cls, n = rng.integers(0, k, 160), 2 * k + 1
+    big = np.zeros((160, 160))
+    np.add.at(big, (tokens[:-1], tokens[1:]), 1)
+    big[tokens[-1], tokens[0]] += 1  # a ring, so that each word has as many before as after it
+    m = bigrams(big, cls, k)
     width, context, number = [], [], []
-    for w in range(words):
-        prior, after = np.bincount(cls, big[:, w], k), np.bincount(cls, big[w], k)
-        both = np.concatenate([prior, after])
-        hit = np.flatnonzero(both)
+    for w in range(160):
+        counts = np.concatenate([np.bincount(cls, big[:, w], k), np.bincount(cls, big[w], k), [big[w, w]]])
+        hit = np.flatnonzero(counts)
         width.append(len(hit))
         context += hit.tolist()
-        number += both[hit].astype(int).tolist()
+        number += counts[hit].astype(int).tolist()
     best = brown.exchange(m, cls, np.array(width, np.uint8), np.array(context), np.array(number))
-    moved = [w for w in range(words) if best[w] != cls[w]]
-    assert moved
-    for w in moved:
-        c = cls.copy()
-        c[w] = best[w]
-        assert likelihood(c)[0] > before - 1.0
+    at = np.cumsum(width) - width
+    assert sum(x == 2 and number[a] == number[a + 1] == 1 for x, a in zip(width, at)) > 90 and n == 11
+    for w in range(160):
+        value = []
+        for b in range(k):
+            c = cls.copy()
+            c[w] = b
+            value.append(brown.likelihood(bigrams(big, c, k)) if width[w] else 0.0)
+        assert value[best[w]] >= max(value) - 1e-6, w
+
+
+def test_brown_guards(spark, docs):
+    for classes in (1, 128):
+        with pytest.raises(ValueError, match="classes"):
+            brown.brown_scores(spark, docs, classes=classes)
 
 
 def subsequences(hashes, seed):
