@@ -32,7 +32,7 @@ from loomgraph.llm.common import Memo, crc_mod, slices, texts
 
 SAMPLE_ROWS = 6000
 #: At most so many bytes of text are fitted, in whole texts (a text beyond it is left out).
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 16 << 20
 BITS = 18
 EPOCHS = 30
 RATE = 0.05

@@ -28,16 +28,18 @@ from loomgraph.llm.common import slices, texts
 from loomgraph.llm.quality_classifier import FOLDS, sample
 
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 8 << 20
 BITS = 18
 DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 EPOCHS = 40  # at most
-PATIENCE = 4
+PATIENCE = 3
+#: A fall of the loss by less than this counts as none.
+FALL = 1e-3
 #: An epoch sees at least so many texts, if need be some more than once.
 EPOCH_TEXTS = 2048
-BATCH = 64
+BATCH = 128
 RATE = 0.005
 #: Share of words that are blanked while fitting.
 DROP = 0.4
@@ -264,7 +266,7 @@ def fit(some: list[bytes], toxic: list[int], epochs: int = EPOCHS, log=None) ->
         now = judged()
         if log:
             log(epoch, now)
-        if now < least - 1e-4:
+        if now < least - FALL:
             least, kept, since = now, [v.copy() for v in net.parameters()], 0
         elif (since := since + 1) >= PATIENCE:
             break
