@@ -56,7 +56,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_duplicates(spark, documents(spark, sf_dir))
-    return found.select("doc_id", "class_id", "n_links", "passages", F.transform("passages", lambda p: p["partner"]).alias("partner_ids"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies", "passages", F.transform("passages", lambda p: p["partner"]).alias("partner_ids"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

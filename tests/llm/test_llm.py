@@ -7,6 +7,7 @@ import os
 import re
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -473,7 +474,7 @@ def test_compact_windows_partition_all_subsequences():
 def test_substring_dedup(spark, docs, empty, small):
     got = {r.doc_id: r for r in substring_dedup.substring_duplicates(spark, docs).collect()}
     assert got[9].n_links == got[10].n_links == 1 and got[10].class_id == 9 and got[7].class_id == 6
-    assert [p.partner for p in got[10].passages] == [9] and (got[10].passages[0].start_word, got[10].passages[0].end_word) == (3, 3 + len(PROSE.split()))
+    assert [p.partner for p in got[10].passages] == [9] and got[6].n_copies == 0 and (got[10].passages[0].start_word, got[10].passages[0].end_word) == (3, 3 + len(PROSE.split()))
     assert got[1].n_links == 0 and got[1].class_id == 1
     assert substring_dedup.substring_duplicates(spark, empty).count() == 0
     rows = small[0].collect()
@@ -520,6 +521,45 @@ def test_fragments_hide_no_passage(spark):
     assert np.mean([x in found for x in want["similar"]]) >= 0.9
 
 
+def test_near_passages_equal_brute_force(spark):
+    """Every pair of texts with passages of similarity 0.8 or more, planted with edits, copies, shared boilerplate and repeats inside a text."""
+    rng = np.random.default_rng(12)
+    some = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    line, rows, want = some(30), [], []
+    put = lambda words: rows.append((len(rows), " ".join(words))) or len(rows) - 1
+    for g in range(60):
+        passage = some(int(rng.integers(60, 140)))
+        other = [*passage]
+        for at in rng.choice(np.arange(5, len(other) - 5), int(rng.integers(0, 1 + len(passage) // 60)), replace=False):
+            other[at] = some(1)[0]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (passage, other))
+        assert len(a & b) / len(a | b) >= 0.8
+        x, y = put(some(20) + line + passage + some(25)), put(some(10) + other + line + some(15))
+        want.append((x, y))
+        put(rows[x][1].split())  # a copy
+    clean = [put(some(150)) for _ in range(40)]
+    short = [put(["few"] * 10) for _ in range(2)]
+    twice = some(70)
+    own = put(some(30) + twice + some(40) + twice + some(9))
+    periodic = put(some(7) * 60)
+    got = {r.doc_id: r for r in substring_dedup.substring_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    partners = lambda i: {p.partner for p in got[i].passages or []}
+    met = [got[x].class_id == got[y].class_id == x and (x in partners(y) or y in partners(x)) for x, y in want]
+    assert np.mean(met) >= 0.98, np.mean(met)
+    assert all(got[x].n_copies == 1 and got[x + 2].class_id == got[x].class_id for x, _ in want)
+    assert all((got[i].class_id, got[i].n_links) == (i, 0) for i in [*clean, *short, own, periodic])
+    assert [(p.partner, p.start_word, p.end_word, p.other_start_word, p.other_end_word) for p in got[own].passages] == [(own, 140, 210, 30, 100)]
+    assert got[periodic].passages and all(p.partner == periodic and p.other_end_word <= p.start_word for p in got[periodic].passages)
+
+
+def test_confirm_is_fast_on_one_shingle():
+    began = time.time()
+    a = np.zeros(200_000, np.uint64)
+    assert substring_dedup.confirm(a, a)
+    assert time.time() - began < 20
+
+
 def test_row_numbers_outlive_a_new_file_split(spark, tmp_path, monkeypatch):
     """Between two steps the cluster changes, so that the same files are cut otherwise."""
     rows = [(i, f"{PROSE} {'copy' if i % 3 else i} " * 2, "ab"[i % 2]) for i in range(24)]
@@ -552,7 +592,7 @@ def test_row_numbers_outlive_a_new_file_split(spark, tmp_path, monkeypatch):
             fp = [fingerprint(raw(r[1])) for r in rows]
             assert sorted(r.doc_id for r in run(simhash.keep_leaders)) == sorted(set(components(fp)))
             for r in run(substring_dedup.substring_duplicates):
-                assert r.class_id == 0 and all(p.partner != r.doc_id for p in r.passages or [])
+                assert r.class_id == 0 and r.n_links >= (r.doc_id % 3 > 0) * 15
         index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
         for _ in range(2):
             change()
