@@ -603,6 +603,85 @@ def test_row_numbers_outlive_a_new_file_split(spark, tmp_path, monkeypatch):
             spark.conf.unset(f"spark.sql.files.{name}")
 
 
+CLASHING = {"__row": "7", "__times": "8", "__copy": "9", "IDS": "'x'", "Decoded": "'z'", "doc": "1", "y": "2", "fits": "true", "size": "-1", "copies": "-2", "digest": "'d'", "fp": "3", "block": "4", "score": "0.5", "n": "5"}
+
+
+def test_clashing_names_and_shuffled_input(spark, docs, small):
+    """Columns named like those that operators add pass through every stage unchanged, also if the input has been shuffled."""
+    import corpus_pipeline
+
+    table = docs.selectExpr("*", *[f"{v} AS `{k}`" for k, v in CLASHING.items()]).repartition(3, "source")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        out = apply(spark, table, DATA)
+        assert out.columns == table.columns, name
+        got = out.collect()
+        assert got and {tuple(r[k] for k in CLASHING) for r in got} == {tuple(r[k] for k in CLASHING) for r in table.limit(1).collect()}, name
+        texts = {(r.doc_id, r.text, r.source) for r in docs.collect()}
+        assert {(r.doc_id, r.text, r.source) for r in got} <= texts, name
+    out = bpe.encode_documents(table, vocabulary())
+    assert [c.lower() for c in out.columns].count("ids") == 1 and {r["__row"] for r in out.collect()} == {7}
+    net, model = toxicity.fit([b"a bad"] * 9 + [b"a good"] * 9, [1] * 9 + [0] * 9), quality_classifier.fit([b"a", b"b"] * 9, [0, 1] * 9)
+    for found in (toxicity.score_documents(table, net), quality_classifier.classify(table, model), exact_dedup.exact_dedup(spark, table), simhash.near_duplicates(spark, table), mixing.mix(spark, table), quality_rules.quality_rules(table), bpe.digest_documents(table, vocabulary()), token_counts.count_edited(spark, table, vocabulary()), substring_dedup.substring_duplicates(spark, table), brown.brown_scores(spark, table, classes=3)):
+        assert found.count() == len(ROWS)
+
+
+def test_pipeline_equals_brute_force(spark):
+    """The rows of run(), stage by stage in plain Python; only the classifier's weights are taken from its own fit."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    table, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = table.select("doc_id", "source", "text").collect()
+    model = quality_classifier.train(spark, table, labels)
+
+    def tail(text):
+        words = text.split()
+        z = sum(float(model.weights[a]) + float(model.weights[b]) for a, b in map(quality_classifier.features, words))
+        z += float(model.weights[quality_classifier.REPEAT]) * sum(a == b for a, b in zip(words, words[1:]))
+        return 1 / (1 + math.exp(model.thresholds[0] - z / (len(words) + quality_classifier.SHRINK)))
+
+    assert len(model.grades) == 3 and model.thresholds[0] < model.thresholds[1]
+    rows = [r for r in rows if tail(raw(r.text)) >= 0.5]
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[re.sub(rb"[\x20\x09-\x0D]", b"", raw(r.text))].append(r)
+    rows = [min(g, key=lambda r: (-len(r.text or ""), r.doc_id)) for g in groups.values()]
+    label = components([fingerprint(raw(r.text)) for r in rows])
+    near = collections.defaultdict(list)
+    for r, k in zip(rows, label):
+        near[k].append(r)
+    rows = [min(g, key=lambda r: r.doc_id) for g in near.values()]
+    size = {r.doc_id: len(WORD.findall(raw(r.text))) for r in rows}
+    per = collections.Counter()
+    for r in rows:
+        per[r.source] += size[r.doc_id]
+    names = sorted(per)
+    weight, target, left, open_ = {s: i % 3 + 1 for i, s in enumerate(names)}, {}, sum(per.values()), set(names)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] >= 3 * per[s] * total]
+        if not over:
+            target |= {s: left * weight[s] / total for s in open_}
+            break
+        target |= {s: 3 * per[s] for s in over}
+        open_ -= set(over)
+        left = sum(per.values()) - sum(target.values())
+    want = collections.Counter()
+    lib = Tokenizer.from_file(vocabulary())
+    lib.no_padding()
+    lib.no_truncation()
+    for r in rows:
+        rate = target[r.source] / per[r.source] if per[r.source] else 0
+        draw = int(hashlib.md5(f"{r.doc_id}:{mixing.SEED}".encode()).hexdigest()[:8], 16) / 2**32
+        times = int(rate) + (draw < rate - int(rate)) if size[r.doc_id] else 1
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        if times:
+            want[r.doc_id, r.source, tuple(ids), len(ids), lib.decode(ids, skip_special_tokens=False)] += times
+    got = collections.Counter((r.doc_id, r.source, tuple(r.ids), r.n_tokens, r.decoded) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want and len(want) > 50
+
+
 def test_pipeline(spark, tmp_path, docs, empty, small):
     import corpus_pipeline
 
