@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing", mix), ("BPE", encode)]
 
-#: SQL has neither the classifier nor XXH64; tests compare stages with brute force one by one, not the whole chain.
+#: SQL has neither the classifier nor XXH64; tests/llm compares the rows of run() with a brute-force run of all five stages.
 ORACLE_SQL = None
 
 
