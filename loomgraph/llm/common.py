@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -33,10 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are removed when the write is done, since the written table takes the place of its lineage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(spark: SparkSession, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there, so lost executors cost no recomputation of earlier steps."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    with tidy(spark):
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
