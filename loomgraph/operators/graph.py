@@ -7,31 +7,46 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import search_text
-from loomgraph.schemas import LENSES, MOST_IMPACT, MOST_SEARCH, PREFERRED, STRUCTURAL, TYPE_PRIORITY
+from loomgraph.functions.text import flattened, search_text
+from loomgraph.schemas import LENSES, MOST_AMBIGUOUS, MOST_IMPACT, MOST_RESOLVED, MOST_SEARCH, PREFERRED, STRUCTURAL, TYPE_PRIORITY
 
 
 def priority(kind: Column) -> Column:
     return F.coalesce(F.create_map(*map(F.lit, chain(*TYPE_PRIORITY.items())))[kind], F.lit(20))
 
 
+#: Metadata that is searched, and whether it is a list.
+SEARCHED = {"return_type": False, "semantic_groups": True, "ordinal": False}
+
+
+def full_text(nodes: DataFrame) -> Column:
+    """The search text of all that a node has of id, type, name, language, path, qualified name and metadata."""
+    own = [F.col(c) for c in ("id", "type", "name", "language", "path", "qualified_name") if c in nodes.columns]
+    return search_text(*own, *([flattened(F.col("metadata"), SEARCHED)] if "metadata" in nodes.columns else []))
+
+
 def search(nodes: DataFrame, term: str, most: int = MOST_SEARCH) -> DataFrame:
     """Nodes whose text holds the term, by name, then id. The sort keeps only the first rows of each task."""
-    return nodes.filter(search_text(*[F.col(c) for c in ("id", "type", "name", "language")]).contains(term.lower())).orderBy(F.lower("name"), "id").limit(most)
+    return nodes.filter(full_text(nodes).contains(term.lower())).orderBy(F.lower("name"), "id").limit(most)
 
 
 def ranked_search(nodes: DataFrame, term: str, most: int = MOST_SEARCH, **facets: str) -> DataFrame:
     """Score 0 (the name) to 5 (somewhere in the text), then type priority, name and id."""
     needle = F.lit(term.strip().lower())
     name, ident = F.lower("name"), F.lower("id")
-    score = F.when(name == needle, 0).when(ident == needle, 1).when(name.startswith(needle), 2).when(ident.startswith(needle), 4).when(search_text(*[F.col(c) for c in ("id", "type", "name", "language")]).contains(needle), 5)
+    qualified = F.lower("qualified_name") if "qualified_name" in nodes.columns else F.lit(None).cast("string")
+    score = (
+        F.when(name == needle, 0).when((ident == needle) | (F.coalesce(qualified, F.lit("")) == needle), 1).when(name.startswith(needle), 2)
+        .when(qualified.startswith(needle), 3).when(ident.startswith(needle), 4).when(full_text(nodes).contains(needle), 5)
+    )
     for column, value in facets.items():
         nodes = nodes.filter(F.col(column) == value)
     return nodes.withColumn("score", score).filter("score is not null").orderBy("score", priority(F.col("type")), name, "id").limit(most)
 
 
 def lens_edges(edges: DataFrame, nodes: DataFrame, lens: str, root: str = "") -> DataFrame:
-    """Edges that a lens shows; the architecture lens keeps declarations between structural nodes or at the root."""
+    """Edges that a lens shows; the architecture lens keeps declarations between structural nodes or at the root, the spring lens annotations of a Spring
+    group only (if nodes have metadata)."""
     if LENSES[lens] is not None:
         edges = edges.filter(F.col("type").isin(LENSES[lens]))
     if lens == "architecture":
@@ -39,21 +54,61 @@ def lens_edges(edges: DataFrame, nodes: DataFrame, lens: str, root: str = "") ->
         inner = edges.join(s.withColumnRenamed("id", "source"), "source", "left_semi").join(s.withColumnRenamed("id", "target"), "target", "left_semi")
         rest = edges.filter((F.col("type") != "DECLARES") | (F.col("source") == root) | (F.col("target") == root))
         edges = inner.filter("type = 'DECLARES'").unionByName(rest)
+    if lens == "spring" and "metadata" in nodes.columns:
+        grouped = nodes.filter(F.size("metadata.semantic_groups") > 0).select(F.col("id").alias("target"))
+        edges = edges.filter("type <> 'ANNOTATED_BY'").unionByName(edges.filter("type = 'ANNOTATED_BY'").join(grouped, "target", "left_semi"))
     return edges.select("source", "target", "type")
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    out = edges.select(F.col("source").alias("node"), F.col("target").alias("next"), "type", F.lit("outgoing").alias("direction"))
-    return out.unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("next"), "type", F.lit("incoming").alias("direction")))
+def adjacency(edges: DataFrame, directions: tuple[str, ...] = ("outgoing", "incoming")) -> DataFrame:
+    """Each edge from both of its ends (or from one), in one pass over the edges."""
+    way = lambda node, next_, direction: F.struct(F.col(node).alias("node"), F.col(next_).alias("next"), F.col("type"), F.lit(direction).alias("direction"))
+    ends = {"outgoing": way("source", "target", "outgoing"), "incoming": way("target", "source", "incoming")}
+    return edges.select(F.inline(F.array(*[ends[d] for d in directions])))
+
+
+def resolve(nodes: DataFrame, symbols: list[str], text: Column) -> DataFrame:
+    """symbol, status (ok, ambiguous, not_found), id, name, qualified_name, position. A symbol stands for the nodes that it names exactly (id, qualified name or name), else for
+    those whose text holds it; only the first MOST_RESOLVED matches by name and id are looked at, and at most MOST_AMBIGUOUS candidates are given.
+    symbols is a short list, so the nodes are read once and only matches are sorted."""
+    spark = nodes.sparkSession
+    wanted = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    needle = F.lower("symbol")
+    found = nodes.withColumn("text", text).join(F.broadcast(wanted), F.expr("contains(text, lower(symbol))"))
+    order = F.row_number().over(Window.partitionBy("symbol").orderBy(F.lower("name"), "id"))
+    exact = (F.lower("id") == needle) | (F.lower("qualified_name") == needle) | (F.lower("name") == needle)
+    found = found.withColumn("k", order).filter(F.col("k") <= MOST_RESOLVED).select("symbol", "id", "name", "qualified_name", "k", F.coalesce(exact, F.lit(False)).alias("exact"))
+    per = Window.partitionBy("symbol")
+    found = found.withColumn("any", F.max("exact").over(per)).filter("exact or not any")
+    found = found.withColumn("n", F.count("*").over(per)).withColumn("position", F.row_number().over(per.orderBy("k"))).filter(F.col("position") <= MOST_AMBIGUOUS)
+    status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("ok")
+    return wanted.join(found, "symbol", "left").select("symbol", status.alias("status"), "id", "name", "qualified_name", "position")
+
 
+def impact_of(spark: SparkSession, nodes: DataFrame, edges: DataFrame, symbol: str, text: Column, depth: int = 2, most: int = MOST_IMPACT) -> tuple[str, DataFrame]:
+    """Status of a symbol, and its impact if it names one node, else its candidates (none if nothing is found)."""
+    found = resolve(nodes, [symbol], text)
+    first = found.orderBy("position").first()
+    if first["status"] == "ok":
+        return "ok", impact(spark, nodes, edges, first["id"], depth, most)
+    return first["status"], found.filter("id is not null").select("id", "name", "qualified_name")
 
-def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 2, most: int = MOST_IMPACT) -> DataFrame:
-    """Undirected breadth-first neighbourhood: each node once, with the edge that finds it first, at most so many nodes.
+
+def presented(hops: DataFrame, most: int = MOST_IMPACT) -> DataFrame:
+    """The rows of impact() with their position in the result, by depth, name and discovery, and whether the bound was reached. At most `most` rows, so one task sorts them."""
+    whole = Window.partitionBy()
+    position = F.row_number().over(Window.orderBy("depth", F.lower("name"), "rank"))
+    return hops.select("*", position.alias("position"), (F.count("*").over(whole) >= most).alias("truncated"))
+
+
+def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 2, most: int = MOST_IMPACT, directions: tuple[str, ...] = ("outgoing", "incoming"), by_type: bool = False) -> DataFrame:
+    """Breadth-first neighbourhood, undirected or along some directions: each node once, with the edge that finds it first, at most so many nodes, in the order in which
+    they are found (rank): a parent's neighbours by id, or by relation and id if by_type.
 
     A level is a join of the frontier, which has at most `most` rows and is therefore sent to all tasks, with the edges; of a
     node's edges the one of the parent found first, then of the least relation and direction counts. Levels are at
     most `most` rows of five short values on the driver; edges and candidates are never gathered."""
-    links = adjacency(edges)
+    links = adjacency(edges, directions)
     found: list[tuple] = []
     frontier, seen = [(seed, 0)], [seed]
     for level in range(1, depth + 1):
@@ -61,15 +116,15 @@ def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed: str, d
         old = spark.createDataFrame([(x,) for x in seen], "next string")
         near = links.join(F.broadcast(at), "node").join(F.broadcast(old), "next", "left_anti")
         first = near.groupBy("next").agg(F.min(F.struct("rank", "type", "direction", "node")).alias("f"))
-        rows = first.orderBy("f.rank", "next").limit(most - len(found)).collect()
-        found += [(r["next"], level, r["f"]["node"], r["f"]["type"], r["f"]["direction"]) for r in rows]
+        rows = first.orderBy("f.rank", *(["f.type"] if by_type else []), "next").limit(most - len(found)).collect()
+        found += [(r["next"], level, r["f"]["node"], r["f"]["type"], r["f"]["direction"], len(found) + k) for k, r in enumerate(rows)]
         frontier, seen = [(r["next"], k) for k, r in enumerate(rows)], seen + [r["next"] for r in rows]
         if not rows or len(found) >= most:
             break
-    hops = spark.createDataFrame(found, "id string, depth int, via string, relation string, direction string")
+    hops = spark.createDataFrame(found, "id string, depth int, via string, relation string, direction string, rank int")
     # at most `most` rows, so the nodes are read once and not moved
     known = nodes.join(F.broadcast(hops.select("id")), "id", "left_semi").select("id", "name", "type")
-    return hops.join(known, "id", "left").select("id", F.coalesce("name", "id").alias("name"), F.coalesce("type", F.lit("Unknown")).alias("type"), "depth", "via", "relation", "direction")
+    return hops.join(known, "id", "left").select("id", F.coalesce("name", "id").alias("name"), F.coalesce("type", F.lit("Unknown")).alias("type"), "depth", "via", "relation", "direction", "rank")
 
 
 def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -85,25 +140,47 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def default_seed(nodes: DataFrame, edges: DataFrame, lens: str) -> DataFrame:
-    """The node to begin with: highest degree among the lens's preferred types, else among all that are connected."""
-    ranked = nodes.join(degrees(lens_edges(edges, nodes, lens)), "id")
-    return ranked.orderBy(F.when(F.col("type").isin(PREFERRED[lens]), 0).otherwise(1), F.desc("degree"), F.lower("name"), "id").limit(1).select("id", "type", "degree")
+    """The node to begin with: highest degree among the lens's preferred types, else among all that are connected, else the first node by id."""
+    ranked = nodes.join(degrees(lens_edges(edges, nodes, lens)), "id", "left")
+    tier = F.when(F.col("degree").isNull(), 2).when(F.col("type").isin(PREFERRED[lens]), 0).otherwise(1)
+    name = F.when(F.col("degree").isNotNull(), F.lower("name"))
+    return ranked.orderBy(tier, F.desc("degree"), name, "id").limit(1).select("id", "type", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def package_list(nodes: DataFrame, edges: DataFrame, most: int = 18) -> DataFrame:
+    """Packages and modules of highest degree."""
+    packages = nodes.filter(F.col("type").isin("Package", "Module")).select("id", "name", "type")
+    ranked = packages.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return ranked.orderBy(F.desc("degree"), F.lower("name"), "id").limit(most)
+
+
+def bounded_subgraph(members: DataFrame, edges: DataFrame, root: str, most_nodes: int = 160, most_edges: int = 480) -> tuple[DataFrame, DataFrame]:
+    """The root and the first nodes by id, and the first edges among them by key, as they are drawn."""
+    shown = members.select("id").distinct().orderBy(F.when(F.col("id") == root, 0).otherwise(1), "id").limit(most_nodes)
+    return shown, induced(edges.select("source", "target", "type"), shown).orderBy("source", "target", "type").limit(most_edges)
 
 
 def owner_trail(nodes: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     """id, trail (owners from the nearest on) along incoming declarations, the least source of each, without cycles."""
     owner = edges.filter("type = 'DECLARES'").groupBy(F.col("target").alias("at")).agg(F.min("source").alias("owner"))
-    out = nodes.select("id", F.col("id").alias("at"), F.array().cast("array<string>").alias("trail"))
-    for _ in range(hops):
-        step = out.join(owner, "at", "left")
-        fresh = F.col("owner").isNotNull() & (F.col("owner") != F.col("id")) & ~F.array_contains("trail", F.coalesce("owner", F.lit("")))
-        out = step.select("id", F.when(fresh, F.col("owner")).alias("at"), F.when(fresh, F.array_append("trail", F.col("owner"))).otherwise(F.col("trail")).alias("trail"))
-    return out.select("id", "trail")
+    # every node has one owner at most, so chains of owners are doubled: those of 1, 2, 4, ... owners are joined to the chains that begin at their last
+    chains, length = owner.select("at", F.array("owner").alias("chain")), 1
+    while length < hops:
+        more = chains.select(F.col("at").alias("last"), F.col("chain").alias("more"))
+        chains = chains.withColumn("last", F.element_at("chain", -1)).join(more, "last", "left").select("at", F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))).alias("chain"))
+        length *= 2
+    chain = F.slice("chain", 1, hops)
+    # it ends before the node itself or an owner that it has already
+    back = F.filter(F.sequence(F.lit(1), F.size(chain)), lambda k: (F.element_at(chain, k) == F.col("at")) | F.array_contains(F.slice(chain, F.lit(1), k - 1), F.element_at(chain, k)))
+    trail = F.slice(chain, F.lit(1), F.coalesce(F.get(back, F.lit(0)), F.size(chain) + 1) - 1)
+    found = chains.select(F.col("at").alias("id"), trail.alias("trail"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("trail", F.array().cast("array<string>")).alias("trail"))
 
 
 def grouped_relations(edges: DataFrame, most: int = 18) -> DataFrame:
-    """For each node, direction and relation: the first neighbours by id and how many more there are."""
-    near = adjacency(edges).distinct()
-    group = ["node", "direction", "type"]
+    """For each node, direction and relation: the first neighbours by id and how many there are. Numbers are counted with partial sums and
+    only the first of a group are kept before its rows meet, so a hub fills no task."""
+    near, group = adjacency(edges).distinct(), ["node", "direction", "type"]
     k = F.row_number().over(Window.partitionBy(*group).orderBy("next"))
-    return near.withColumn("k", k).groupBy(*group).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("k") <= most, F.col("next")))).alias("first"))
+    first = near.withColumn("k", k).filter(F.col("k") <= most).groupBy(*group).agg(F.sort_array(F.collect_list("next")).alias("first"))
+    return near.groupBy(*group).agg(F.count("*").alias("n")).join(first, group)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,15 @@ def merge_nodes(found: DataFrame, ordinal: str, fields: list[str]) -> DataFrame:
 
 
 def redirects(placeholders: DataFrame, internal: DataFrame) -> DataFrame:
-    """placeholder id -> internal id, by (language, qualified name; the last internal of a name wins), else by a simple name that only one has."""
+    """placeholder id -> internal id, by (language, qualified name; the last internal of a name wins), else by a simple name that only one has. With a type column,
+    only Java's external types fall back on the simple name."""
     exact = internal.groupBy("language", "qualified_name").agg(F.max_by("id", "ordinal").alias("by_name"))
     simple = internal.groupBy("name").agg(F.min("id").alias("by_simple"), F.count("*").alias("n")).filter("n = 1").drop("n")
     joined = placeholders.join(exact, ["language", "qualified_name"], "left").join(simple, "name", "left")
-    return joined.select("id", F.coalesce("by_name", F.when(~F.col("qualified_name").contains("."), F.col("by_simple"))).alias("to")).filter("to is not null")
+    bare = ~F.col("qualified_name").contains(".")
+    if "type" in placeholders.columns:
+        bare &= (F.col("language") == "Java") & (F.col("type") == "ExternalType")
+    return joined.select("id", F.coalesce("by_name", F.when(bare, F.col("by_simple"))).alias("to")).filter("to is not null")
 
 
 def rewrite_edges(edges: DataFrame, redirect: DataFrame) -> DataFrame:
@@ -42,13 +48,33 @@ def rewrite_edges(edges: DataFrame, redirect: DataFrame) -> DataFrame:
     return dedup_edges(moved.select(F.coalesce("s_to", "source").alias("source"), F.coalesce("t_to", "target").alias("target"), "type"))
 
 
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """The latest row of each key."""
+    rows = old.unionByName(new)
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("x")).select(key, "x.*")
+
+
 def unique_target(calls: DataFrame, declared: DataFrame, keys: list[str], target: str) -> DataFrame:
     """Calls whose key names exactly one declared target."""
     one = declared.groupBy(*keys).agg(F.min(target).alias("target"), F.max(target).alias("other")).filter("target = other").drop("other")
     return calls.join(one, keys)
 
 
-def innermost(positions: DataFrame, scopes: DataFrame, key: str, at: Column, begin: Column, end: Column, scope: str, carry: str) -> DataFrame:
-    """For each position the scope of its key that strictly contains it and begins last."""
-    hit = positions.join(scopes, key).filter((begin < at) & (at < end))
+def spread(scopes: DataFrame, begin: Column, end: Column, bucket: Callable[[Column], Column], name: str = "bucket") -> DataFrame:
+    """Scopes, once for each bucket of places that they reach into."""
+    return scopes.withColumn(name, F.explode(F.sequence(bucket(begin), F.greatest(bucket(begin), bucket(end)))))
+
+
+def innermost(positions: DataFrame, scopes: DataFrame, key: str, at: Column, begin: Column, end: Column, scope: str, carry: str, bucket: Callable[[Column], Column] = lambda x: F.lit(0)) -> DataFrame:
+    """For each position the scope of its key that strictly contains it and begins last. bucket gives a place's bucket (it must not fall where places rise): a position
+    meets the scopes of its own bucket only, so a key with many rows is no square."""
+    hit = positions.withColumn("bucket", bucket(at)).join(spread(scopes, begin, end, bucket), [key, "bucket"]).filter((begin < at) & (at < end))
     return hit.groupBy(carry).agg(F.max_by(scope, F.struct(begin, F.col(scope))).alias("scope"))
+
+
+def outside(positions: DataFrame, spans: DataFrame, key: str, at: Column, begin: Column, end: Column, bucket: Callable[[Column], Column] = lambda x: F.lit(0)) -> DataFrame:
+    """Positions that lie strictly inside no span of their key, bucket by bucket."""
+    own = spread(spans, begin, end, bucket, "span_bucket").withColumnRenamed(key, "span_key")
+    inside = (F.col("span_key") == F.col(key)) & (F.col("span_bucket") == F.col("bucket")) & (begin < at) & (at < end)
+    return positions.withColumn("bucket", bucket(at)).join(own, inside, "left_anti").drop("bucket")

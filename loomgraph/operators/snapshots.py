@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,16 +15,87 @@ def fingerprint(manifest: DataFrame) -> DataFrame:
     return groups.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("g", "d"))), ""), 256).alias("fingerprint"), F.sum("n").alias("files"))
 
 
-def publish(spark: SparkSession, root: str, snapshot_id: str, nodes: DataFrame, edges: DataFrame) -> None:
-    """Tables first, the pointer last: a failed run leaves the current snapshot as it was."""
-    nodes.write.mode("errorifexists").parquet(f"{root}/nodes/snapshot_id={snapshot_id}")
-    edges.write.mode("errorifexists").parquet(f"{root}/edges/snapshot_id={snapshot_id}")
-    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").withColumn("promoted_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/promotions")
+#: How many digits of the path's hash name a group, level by level; each level folds at most 256 groups of the one below.
+LEVELS = (6, 4, 2)
+
+
+def fingerprint_tree(manifest: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """One digest of a manifest of any size: groups of files, then groups of groups. With 16 million lowest groups, one holds about 1 000 of 10^10 files."""
+    item = F.sha2(F.concat_ws(":", "path", "sha256"), 256)
+    at = manifest.select(F.sha2("path", 256).alias("g"), item.alias("d"), F.lit(1).cast("bigint").alias("n"))
+    fold = lambda x: F.sha2(F.array_join(F.array_sort(F.collect_list(x)), ""), 256).alias("d")
+    for k, digits in enumerate(levels):
+        own = F.concat("g", "d") if k else F.col("d")
+        at = at.groupBy(F.substring("g", 1, digits).alias("g")).agg(fold(own), F.sum("n").alias("n"))
+    return at.agg(fold(F.concat("g", "d")).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
+
+
+def snapshot_id(created_at: Column, fingerprint_: Column) -> Column:
+    """UTC stamp and the first digits of the fingerprint."""
+    return F.concat(F.date_format(created_at, "yyyyMMdd'T'HHmmss'Z'"), F.lit("-"), F.substring(fingerprint_, 1, 12))
+
+
+def freshness(analyzer: Column, companion: Column, fingerprint_: Column, now_analyzer: Column, now_companion: Column, now_fingerprint: Column) -> Column:
+    """Of a snapshot against the present: stale if a version or the source differs, unknown if the source was not looked at, partial without a snapshot."""
+    same = F.coalesce((analyzer == now_analyzer) & (companion == now_companion), F.lit(False))
+    return F.when(fingerprint_.isNull(), "partial").when(~same, "stale").when(now_fingerprint.isNull(), "unknown").when(fingerprint_ == now_fingerprint, "current").otherwise("stale")
+
+
+def unchanged(analyzer: Column, companion: Column, fingerprint_: Column, now_analyzer: Column, now_companion: Column, now_fingerprint: Column) -> Column:
+    """Whether a new snapshot would be the same as the present one."""
+    return F.coalesce((fingerprint_ == now_fingerprint) & (analyzer == now_analyzer) & (companion == now_companion), F.lit(False))
+
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-def history(spark: SparkSession, root: str, most: int = 20) -> DataFrame:
+
+PROMOTIONS = "snapshot_id string, fingerprint string, promoted_at timestamp, trigger string, nodes bigint, edges bigint"
+
+
+def publish(spark: SparkSession, root: str, snapshot: str, nodes: DataFrame, edges: DataFrame, fingerprint_: str = "", fingerprint_now: Callable[[], str] | None = None, trigger: str = "manual") -> None:
+    """Tables first, the pointer last: a failed run leaves the current snapshot as it was, and running it again writes its tables anew. A snapshot that is promoted
+    stays as it is. fingerprint_now is asked again before the pointer is written, and must not have changed."""
+    if exists(spark, f"{root}/promotions") and not history(spark, root, None).filter(F.col("snapshot_id") == snapshot).isEmpty():
+        raise ValueError(f"snapshot {snapshot} is promoted already")
+    counts = []
+    for name, table in (("nodes", nodes), ("edges", edges)):
+        path = f"{root}/{name}/snapshot_id={snapshot}"
+        table.write.mode("overwrite").parquet(path)
+        counts.append(spark.read.schema(table.schema).parquet(path).count())
+    if fingerprint_now and fingerprint_now() != fingerprint_:
+        raise ValueError("the source has changed while it was read")
+    row = spark.createDataFrame([(snapshot, fingerprint_, trigger, *counts)], "snapshot_id string, fingerprint string, trigger string, nodes bigint, edges bigint")
+    row.withColumn("promoted_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/promotions")
+
+
+def history(spark: SparkSession, root: str, most: int | None = 20) -> DataFrame:
     """Promoted snapshots, the latest first."""
-    return spark.read.schema("snapshot_id string, promoted_at timestamp").json(f"{root}/promotions").orderBy(F.desc("promoted_at"), F.desc("snapshot_id")).limit(most)
+    return history_page(spark.read.schema(PROMOTIONS).json(f"{root}/promotions"), "snapshot_id", "promoted_at", most)
+
+
+def history_page(snapshots: DataFrame, ident: str, at: str, most: int | None = 20) -> DataFrame:
+    """The latest snapshots that are valid (they have an id and a time), each with the one before it, and whether the bound was reached."""
+    valid = snapshots.filter(F.col(ident).isNotNull() & F.col(at).isNotNull()).orderBy(F.desc(at), F.desc(ident))
+    if most is None:
+        return valid
+    # one row more than asked for, to name the last one's predecessor; so few rows that one task sorts them
+    few = valid.limit(most + 1)
+    w = Window.orderBy(F.desc(at), F.desc(ident))
+    few = few.select("*", F.lead(ident).over(w).alias("previous"), F.row_number().over(w).alias("position"))
+    return few.filter(F.col("position") <= most).withColumn("truncated", F.count("*").over(Window.partitionBy()) >= most)
+
+
+def alias(spark: SparkSession, root: str, name: str) -> str:
+    """current, previous or the id itself."""
+    if name not in ("current", "previous"):
+        return name
+    rows = history(spark, root, 2).collect()
+    k = ("current", "previous").index(name)
+    if k >= len(rows):
+        raise ValueError(f"no snapshot is {name}")
+    return rows[k]["snapshot_id"]
 
 
 def diff_keys(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,6 +110,25 @@ def diff_modified(before: DataFrame, after: DataFrame, key: str, fields: list[st
     return after.select(key, F.struct(*fields).alias("y")).join(a, key).filter(~F.col("x").eqNullSafe(F.col("y"))).select(key)
 
 
+def diff(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], fields: list[str], most: int = 100) -> DataFrame:
+    """Two snapshots (nodes, edges) as one table: section (nodesAdded, nodesRemoved, nodesModified, edgesAdded, edgesRemoved), position, key (id, or source, target and type
+    separated by spaces), how many there are in the section, and whether any section was cut. Sections keep their first rows by key; an empty one has a row without a key."""
+    keys = lambda df, cols: df.select(F.concat_ws(" ", *cols).alias("key"))
+    parts = []
+    for name, cols, k in (("nodes", ["id"], 0), ("edges", ["source", "target", "type"], 1)):
+        found = diff_keys(before[k], after[k], cols)
+        section = F.when(F.col("change") == "added", f"{name}Added").otherwise(f"{name}Removed")
+        parts.append(found.select(section.alias("section"), F.concat_ws(" ", *cols).alias("key")))
+    parts.append(keys(diff_modified(before[0], after[0], "id", fields), ["id"]).select(F.lit("nodesModified").alias("section"), "key"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counts = rows.groupBy("section").agg(F.count("*").alias("n"))
+    position = F.row_number().over(Window.partitionBy("section").orderBy("key"))
+    shown = rows.withColumn("position", position).filter(F.col("position") <= most)
+    sections = rows.sparkSession.createDataFrame([(s,) for s in ("nodesAdded", "nodesRemoved", "nodesModified", "edgesAdded", "edgesRemoved")], "section string")
+    counts = sections.join(counts, "section", "left").select("section", F.coalesce("n", F.lit(0)).alias("n"), (F.max("n").over(Window.partitionBy()) > most).alias("truncated"))
+    return counts.join(shown, "section", "left").select("section", "position", "key", "n", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def change_basis(fp_a: Column, fp_b: Column, analyzer_a: Column, analyzer_b: Column, companion_a: Column, companion_b: Column) -> Column:
     """Why two snapshots differ."""
     known = (F.coalesce(analyzer_a, F.lit("")) != "") & (F.coalesce(analyzer_b, F.lit("")) != "") & (F.coalesce(companion_a, F.lit("")) != "") & (F.coalesce(companion_b, F.lit("")) != "")

@@ -52,11 +52,18 @@ def query(sql: str = ""):
     return register
 
 
+def load() -> None:
+    """The queries that are registered elsewhere."""
+    from loomgraph.plans import contract  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_sql)
 
 
@@ -111,12 +118,12 @@ def node_merge_first_wins(spark, d):
 i AS (SELECT 'part:' || p_partkey AS id, p_brand AS language, p_type AS qualified_name, p_name AS name, p_partkey AS ordinal FROM part WHERE p_size <= 25),
 x AS (SELECT language, qualified_name, arg_max(id, ordinal) AS by_name FROM i GROUP BY ALL), s AS (SELECT name, min(id) AS by_simple FROM i GROUP BY name HAVING count(*) = 1),
 r AS (SELECT ph.id, coalesce(by_name, CASE WHEN ph.qualified_name NOT LIKE '%.%' THEN by_simple END) AS t FROM ph LEFT JOIN x USING (language, qualified_name) LEFT JOIN s ON s.name = ph.name),
-{EDGES}, m AS (SELECT coalesce(a.t, source) AS source, coalesce(b.t, target) AS target, type FROM edges LEFT JOIN r a ON a.id = source AND a.t IS NOT NULL LEFT JOIN r b ON b.id = target AND b.t IS NOT NULL WHERE type = 'READS_POLICY_LEAF')
+{EDGES}, m AS (SELECT coalesce(a.t, source) AS source, coalesce(b.t, target) AS target, type FROM edges LEFT JOIN r a ON a.id = source AND a.t IS NOT NULL LEFT JOIN r b ON b.id = target AND b.t IS NOT NULL)
 SELECT source, target, type, count(*) AS n FROM m WHERE source <> target GROUP BY ALL""")
 def reconcile_placeholders(spark, d):
     p = star.table(spark, d, "part").select(star.node_id("part", "p_partkey").alias("id"), F.col("p_brand").alias("language"), F.col("p_type").alias("qualified_name"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ordinal"), "p_size")
     r = merge.redirects(p.filter("p_size > 25").drop("ordinal", "p_size"), p.filter("p_size <= 25").drop("p_size"))
-    return merge.rewrite_edges(star.edges(spark, d).filter("type = 'READS_POLICY_LEAF'"), r)
+    return merge.rewrite_edges(star.edges(spark, d), r)
 
 
 @query("""WITH one AS (SELECT p_brand, p_type, p_size, min(p_partkey) AS target FROM part GROUP BY ALL HAVING count(DISTINCT p_partkey) = 1)
@@ -131,14 +138,15 @@ def unique_target_join(spark, d):
 def innermost_scope(spark, d):
     o = star.table(spark, d, "orders")
     scopes = o.select("o_custkey", F.col("o_orderkey").alias("scope_key"), F.col("o_orderdate").alias("begin"))
-    return merge.innermost(o.select("o_custkey", "o_orderkey", "o_orderdate"), scopes, "o_custkey", F.expr("o_orderdate + INTERVAL 30 DAY"), F.col("begin"), F.expr("begin + INTERVAL 90 DAY"), "scope_key", "o_orderkey").withColumnRenamed("scope_key", "scope")
+    quarter = lambda x: F.floor(F.datediff(x, F.lit("1970-01-01")) / 90)
+    return merge.innermost(o.select("o_custkey", "o_orderkey", "o_orderdate"), scopes, "o_custkey", F.expr("o_orderdate + INTERVAL 30 DAY"), F.col("begin"), F.expr("begin + INTERVAL 90 DAY"), "scope_key", "o_orderkey", quarter).withColumnRenamed("scope_key", "scope")
 
 
 @query("SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.ts < e.ts AND e.ts < x.ts + INTERVAL 1 DAY)")
 def interval_anti_join(spark, d):
     e = star.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    bad = e.filter("event_type = 'error'").select(F.col("user_id").alias("u"), F.col("ts").alias("b"))
-    return e.join(bad, (F.col("u") == F.col("user_id")) & (F.col("b") < F.col("ts")) & (F.col("ts") < F.expr("b + INTERVAL 1 DAY")), "left_anti").select("event_id")
+    bad = e.filter("event_type = 'error'").select("user_id", F.col("ts").alias("b"))
+    return merge.outside(e, bad, "user_id", F.col("ts"), F.col("b"), F.expr("b + INTERVAL 1 DAY"), lambda x: F.datediff(x, F.lit("1970-01-01"))).select("event_id")
 
 
 @query(f"WITH {NODES} SELECT id, name, type FROM nodes WHERE contains(lower(id || ' ' || type || ' ' || name || ' ' || language), 'supplier') ORDER BY lower(name), id LIMIT 200")
@@ -166,7 +174,7 @@ hops AS (SELECT * FROM l1c UNION ALL SELECT * FROM l2 WHERE rank < {most} - (SEL
 
 @query(_levels("nation:3", 2000) + " SELECT h.id, coalesce(n.name, h.id) AS name, coalesce(n.type, 'Unknown') AS type, depth, via, relation, direction FROM hops h LEFT JOIN nodes n USING (id)")
 def impact_neighbourhood(spark, d):
-    return graph.impact(spark, star.nodes(spark, d), star.edges(spark, d), "nation:3", 2)
+    return graph.impact(spark, star.nodes(spark, d), star.edges(spark, d), "nation:3", 2).drop("rank")
 
 
 @query(_levels("region:1", 240).replace("adj AS (", "raw AS (SELECT * FROM edges), lens AS (SELECT source, target, type FROM raw WHERE type = 'DECLARES'), adj AS (").replace("FROM edges UNION", "FROM lens UNION").replace("'incoming' FROM edges)", "'incoming' FROM lens)") + ", m AS (SELECT id FROM hops UNION SELECT 'region:1') SELECT DISTINCT source, target, type FROM lens SEMI JOIN m a ON a.id = source SEMI JOIN m b ON b.id = target")
@@ -237,7 +245,7 @@ def lineage_filtered(spark, d):
     return star.table(spark, d, "events").filter("event_type = 'purchase'").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "event_type", "user_id")
 
 
-ROLE = "CASE " + " ".join(f"WHEN list_has_any(t, {list(w.split())}) THEN '{r}'" for r, w in X.ROLE_TOKENS.items()) + " END"
+ROLE = "CASE " + " ".join(f"WHEN list_has_any(t, {w}) THEN '{r}'" for r, w in X.ROLE_TOKENS.items()) + " END"
 TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda z: z <> '')"
 
 
@@ -254,7 +262,7 @@ def name_tokens(spark, d):
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/?', '') AS u, url FROM pages)
-SELECT page_id, NOT (x = '' OR length(x) > 4096 OR regexp_matches(x, '[\x00-\x1F\x7F]') OR regexp_matches(x, '^[/\\]') OR regexp_matches(x, '^[A-Za-z]:[/\\]') OR list_contains(string_split(replace(x, '\', '/'), '..'), '~never') OR list_contains(string_split(replace(x, '\', '/'), '/'), '..')) AS portable FROM (SELECT page_id, u AS x FROM p)""")
+SELECT page_id, NOT (x = '' OR length(x) > 4096 OR regexp_matches(x, '[\x00-\x1F\x7F]') OR regexp_matches(x, '^[/\\]') OR regexp_matches(x, '^[A-Za-z]:[/\\]') OR list_contains(string_split(replace(x, '\', '/'), '/'), '..')) AS portable FROM (SELECT page_id, u AS x FROM p)""")
 def portable_path(spark, d):
     return star.table(spark, d, "pages").select("page_id", X.portable_path(F.regexp_replace("url", "^https?://[^/]*/?", "")).alias("portable"))
 
@@ -283,7 +291,7 @@ def greedy_batches_all(spark, d):
     return enrich.greedy_batches(star.table(spark, d, "documents"), "source", "doc_id", "n_chars")
 
 
-@query("SELECT user_id, min(event_type) AS role, min(value) AS confidence, count(*) AS n FROM events WHERE event_type IN ('signup', 'error') AND user_id % 1 = 0 GROUP BY user_id, date_trunc('day', ts) HAVING count(DISTINCT event_type) = 1")
+@query("SELECT user_id, min(event_type) AS role, min(value) AS confidence, count(*) AS n FROM events WHERE event_type IN ('signup', 'error') GROUP BY user_id, date_trunc('day', ts) HAVING count(DISTINCT event_type) = 1")
 def suggestion_merge(spark, d):
     e = star.table(spark, d, "events").filter("event_type in ('signup', 'error')").select(F.struct("user_id", F.date_trunc("day", "ts").alias("day")).alias("node"), "event_type", "value")
     return enrich.merge_suggestions(e, "node", "event_type", "value").select("node.user_id", "role", "confidence", "n")

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-EVIDENCE = "struct<rule_id:string,basis:string,runtime_status:string,path:string,line_start:int,line_end:int,limitations:array<string>>"
-METADATA = "struct<line_start:int,line_end:int,return_type:string,parameter_types:array<string>,parameter_count:int,semantic_groups:array<string>,accessor:string,control_kind:string,ordinal:int>"
-NODES = f"id string, type string, name string, language string, path string, qualified_name string, metadata {METADATA}"
-EDGES = f"source string, target string, type string, evidence array<{EVIDENCE}>"
-
 # Bounds of the data contract.
 MOST_EVIDENCE = 16
 MOST_IMPACT = 2000
@@ -25,6 +20,7 @@ LENSES = {
     "policy": ["READS_POLICY_LEAF", "DECLARES_RUNTIME_BRANCH", "GUARDS_RUNTIME_BRANCH"],
     "pipeline": ["DECORATED_BY", "CALLS", "HAS_PIPELINE_ROLE"],
 }
+# Node types that the architecture lens takes for structure, those that each lens begins at, and the order of types in ranked search.
 STRUCTURAL = ["Package", "Module", "Class", "Interface", "Enum", "Record", "ExternalType", "ExternalModule"]
 PREFERRED = {
     "architecture": ["Package", "Module", "Class", "Interface"],
@@ -37,9 +33,37 @@ TYPE_PRIORITY = {"Package": 0, "Module": 1, "Class": 2, "Interface": 3, "PolicyL
 
 # Name tokens of each pipeline role; the first role that has one of a name's tokens wins.
 ROLE_TOKENS = {
-    "Extract": "extract extractor fetch fetcher read reader ingest ingestion collect collector source",
-    "Transform": "transform transformer clean cleaner normalize normalizer enrich enricher map mapper parse parser",
-    "Load": "load loader write writer persist persistence publish publisher sink store storage",
-    "Validate": "validate validator verify verifier quality check checker",
-    "Orchestrate": "pipeline workflow orchestrate orchestrator schedule scheduler run runner",
+    "Extract": ["extract", "extractor", "fetch", "fetcher", "read", "reader", "ingest", "ingestion", "collect", "collector", "source"],
+    "Transform": ["transform", "transformer", "clean", "cleaner", "normalize", "normalizer", "enrich", "enricher", "map", "mapper", "parse", "parser"],
+    "Load": ["load", "loader", "write", "writer", "persist", "persistence", "publish", "publisher", "sink", "store", "storage"],
+    "Validate": ["validate", "validator", "verify", "verifier", "quality", "check", "checker"],
+    "Orchestrate": ["pipeline", "workflow", "orchestrate", "orchestrator", "schedule", "scheduler", "run", "runner"],
 }
+
+# Enumerations and further bounds of the data contract.
+BASES = ["direct_syntax", "resolved_static", "framework_semantic", "name_heuristic"]
+RUNTIME_STATUSES = ["not_applicable", "runtime_unknown"]
+CODE_TYPES = ["Class", "Function", "AsyncFunction", "Method", "AsyncMethod"]
+CANDIDATE_RELATIONS = ["ANNOTATED_BY", "CALLS", "DECORATED_BY", "EXTENDS", "IMPLEMENTS", "IMPORTS", "INJECTS", "MANAGED_AS", "MAY_BE_PROXIED_BY"]
+RUNTIME_SENSITIVE = ["INJECTS", "MANAGED_AS", "MAY_BE_PROXIED_BY", "DECLARES_BEAN", "GUARDS_RUNTIME_BRANCH"]
+EVENT_KINDS = ["decision", "change", "validation", "activation", "observation", "outcome", "rollback", "note"]
+EVIDENCE_TYPES = ["observed", "declared", "inferred", "validated", "approved"]
+NOT_OBSERVED = "runtime.activation_not_observed"
+MOST_RESOLVED = 1000
+MOST_AMBIGUOUS = 20
+MOST_LIMITATIONS = 16
+MOST_SUMMARY = 1000
+MOST_SUBJECT = 300
+RULE_ID = "[a-z][a-z0-9_.-]{2,79}"
+
+# Directories that a source scan never enters (compared exactly, with their case).
+EXCLUDED_DIRECTORIES = [
+    ".git", ".hg", ".svn", ".idea", ".vscode", ".gradle", ".venv", "venv", "env", "node_modules", "target", "build", "dist", "out",
+    ".next", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", "coverage",
+]
+# File names, suffixes and stems that may hold secrets (compared in lower case; in stems - and . count as _).
+SENSITIVE_NAMES = [".env", ".env.local", ".env.production", "credentials", "credentials.json", "secrets.json", "id_rsa", "id_ed25519"]
+SENSITIVE_SUFFIXES = [".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".kdbx"]
+SENSITIVE_STEMS = ["api_key", "access_token", "auth_token", "credential", "credentials", "id_ed25519", "id_rsa", "key", "private_key", "secret", "secrets", "token"]
+SENSITIVE_ENDS = ["_token", "_secret", "_key", "_credentials"]
+SENSITIVE_PARTS = ["credential", "secret"]

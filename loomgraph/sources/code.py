@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Directories that a scan never enters, and names of files that may hold secrets.
-EXCLUDED = [".git", ".hg", ".svn", ".idea", ".vscode", ".venv", "venv", "node_modules", "build", "dist", "target", "out", "__pycache__"]
-SECRET_WORDS = ["credential", "secret"]
-SECRET_ENDS = ["_token", "_secret", "_key", "_credentials"]
+from loomgraph.schemas import EXCLUDED_DIRECTORIES, SENSITIVE_ENDS, SENSITIVE_NAMES, SENSITIVE_PARTS, SENSITIVE_STEMS, SENSITIVE_SUFFIXES
+
 MOST_BYTES = 2 * 1024 * 1024
 
 
+def either(checks: list[Column]) -> Column:
+    return reduce(Column.__or__, checks)
+
+
 def sensitive(name: Column) -> Column:
-    stem = F.translate(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "-.", "__")
-    out = F.lower(name).startswith(".env")
-    for w in SECRET_WORDS:
-        out = out | stem.contains(w)
-    for w in SECRET_ENDS:
-        out = out | stem.endswith(w)
-    return out
+    """Whether a file's name says that it may hold a secret: by whole name, by suffix, by a part, or by its stem. A leading dot begins no suffix."""
+    low = F.lower(name)
+    stem = F.translate(F.regexp_replace(low, r"(?<=.)\.[^.]*$", ""), "-.", "__")
+    suffix = F.regexp_extract(low, r"^.+(\.[^.]+)$", 1)
+    return either([
+        low.isin(SENSITIVE_NAMES), suffix.isin(SENSITIVE_SUFFIXES), low.startswith(".env."), stem.isin(SENSITIVE_STEMS),
+        *[low.contains(x) for x in SENSITIVE_PARTS], *[stem.endswith(x) for x in SENSITIVE_ENDS],
+    ])
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -28,9 +33,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     path, folder = F.col("path"), root.rstrip("/")
     relative = F.regexp_replace(F.substring_index(path, f"{folder.split('://')[-1]}/", -1), "^/+", "")
     name = F.substring_index(relative, "/", -1)
+    parts = F.split(relative, "/")
+    parents = F.slice(parts, F.lit(1), F.size(parts) - 1)  # the file's own name is no directory
     suffix = F.lower(F.substring_index(name, ".", -1))
     why = (
-        F.when(F.arrays_overlap(F.split(relative, "/"), F.array(*[F.lit(x) for x in EXCLUDED])), "excluded_directory")
+        F.when(F.arrays_overlap(parents, F.array(*[F.lit(x) for x in EXCLUDED_DIRECTORIES])), "excluded_directory")
         .when(sensitive(name), "sensitive_name").when(F.col("length") > MOST_BYTES, "too_large")
     )
     language = F.when(suffix == "java", "Java").when(suffix == "py", "Python")

@@ -1,16 +1,50 @@
-"""Watching a folder of documents: each micro-batch's changed paths, by digest, update a state of one row per path."""
+"""Watching a folder of documents: new files as a stream, or everything that has changed since the last look, by digest, against a state of one row per path."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+STATE = "path string, sha256 string, look bigint"
+
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, on_change: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Call on_change with path and sha256 of new files, batch by batch, until all present files are processed. Batches are replayed after a failure, so on_change must be idempotent."""
+    """Call on_change with path and sha256 of files that have appeared, batch by batch, until all present files are processed. Spark's file stream knows files by
+    their path: one that is written anew under its old name is not seen again (poll sees it). Batches are replayed after a failure, so on_change must be idempotent."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(folder)
     found = files.select("path", F.sha2("content", 256).alias("sha256"))
     return found.writeStream.foreachBatch(on_change).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def state(spark: SparkSession, folder: str) -> DataFrame:
+    """path, sha256 of the files as they were at the last look."""
+    try:
+        rows = spark.read.schema(STATE).parquet(f"{folder}/look=*").select("path", "sha256", "look")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, sha256 string")
+    latest = rows.groupBy("path").agg(F.max_by(F.struct("sha256"), "look").alias("x"))
+    return latest.select("path", "x.sha256").filter("sha256 is not null")
+
+
+def poll(spark: SparkSession, folder: str, states: str, on_change: Callable[[DataFrame], None]) -> None:
+    """One look: on_change gets path, sha256 and change (added, changed, removed) of what differs from the state; then the state takes it over. If it fails before that, the next look
+    finds the same changes again, so on_change must be idempotent."""
+    old = state(spark, states).withColumnRenamed("sha256", "old")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("sha256").isNull(), "removed").otherwise("changed")
+    found = files.join(old, "path", "full").filter(~F.col("sha256").eqNullSafe(F.col("old"))).select("path", "sha256", change.alias("change"))
+    # written first, so that on_change and the state see the same look
+    new = f"{states}/look={uuid.uuid4().hex}"
+    stamp = spark.range(1).select((F.unix_micros(F.current_timestamp())).alias("t")).first()["t"]
+    pending = new.replace("/look=", "/pending=")
+    found.withColumn("look", F.lit(stamp).cast("bigint")).write.parquet(pending)
+    written = spark.read.schema(f"{STATE}, change string").parquet(pending)
+    on_change(written.select("path", "sha256", "change"))
+    written.select("path", "sha256", "look").write.parquet(new)

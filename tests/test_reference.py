@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import enrich, graph, merge, snapshots
+from loomgraph.operators import enrich, graph, journal, merge, projections, snapshots
 from loomgraph.plans import registry
 from loomgraph.sources import code
+from loomgraph.streaming.watch import state as watch_state
+from loomgraph.streaming.watch import poll, watch
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -103,22 +105,42 @@ def test_suggestions(spark):
     assert [tuple(r) for r in enrich.merge_suggestions(df, "node", "role", "confidence").collect()] == [("n", "Load", 0.4, 2)]
 
 
-def test_scan_and_history(spark, tmp_path):
-    for name, body in (("src/a.py", "x = 1\n"), ("src/B.JAVA", "class B {}"), ("node_modules/c.py", "x"), ("secrets.txt", "x"), ("d.md", "")):
+@pytest.mark.parametrize(("name", "hidden"), [(".env", True), (".env.staging", True), ("id_rsa", True), ("a.PEM", True), ("token", True), ("api-key.txt", True), ("my_token.json", True), ("secrets.txt", True), ("notes.md", False), ("keys.py", False), (".pem", False), ("monkey.java", False), ("tokenizer.py", False)])
+def test_sensitive(spark, name, hidden):
+    assert spark.createDataFrame([(name,)], "n string").select(code.sensitive(F.col("n"))).first()[0] is hidden
+
+
+def test_scan(spark, tmp_path):
+    for name, body in (("src/a.py", "x = 1\n"), ("src/B.JAVA", "class B {}"), ("node_modules/c.py", "x"), ("coverage/d.py", "x"), ("Build/e.py", "x"), ("src/out", "x"), ("secrets.txt", "x"), ("d.md", ""), ("src/f.py", "a\udcffb")):
         p = tmp_path / "repo" / name
         os.makedirs(p.parent, exist_ok=True)
-        p.write_text(body)
-    found = {r.path: (r.language, r.skipped) for r in code.scan(spark, str(tmp_path / "repo")).collect()}
-    assert found == {"src/a.py": ("Python", None), "src/B.JAVA": ("Java", None), "node_modules/c.py": ("Python", "excluded_directory"), "secrets.txt": (None, "sensitive_name")}
-    nodes = spark.createDataFrame([("a",)], "id string")
-    for k in ("1", "2"):
-        snapshots.publish(spark, str(tmp_path / "store"), k, nodes, nodes)
-    assert [r.snapshot_id for r in snapshots.history(spark, str(tmp_path / "store"), 1).collect()] == ["2"]
+        p.write_text(body, errors="surrogateescape")
+    rows = code.scan(spark, str(tmp_path / "repo"))
+    found = {r.path: (r.language, r.skipped) for r in rows.collect()}
+    skipped = ("Python", "excluded_directory")
+    assert found == {"src/a.py": ("Python", None), "src/B.JAVA": ("Java", None), "node_modules/c.py": skipped, "coverage/d.py": skipped, "Build/e.py": ("Python", None), "src/f.py": ("Python", None), "secrets.txt": (None, "sensitive_name")}
+    assert rows.filter("path = 'src/f.py'").first().content == "a\ufffdb"
+    assert {(r.language, r.skipped): r.files for r in code.preflight(rows).collect()} == {("Python", None): 3, ("Java", None): 1, ("Python", "excluded_directory"): 2, (None, "sensitive_name"): 1}
+
+
+def test_snapshots(spark, tmp_path):
+    store, nodes = str(tmp_path / "store"), spark.createDataFrame([("a",)], "id string")
+    for k in ("1", "2", "3"):
+        snapshots.publish(spark, store, k, nodes, nodes, f"f{k}")
+    got = snapshots.history(spark, store, 2).collect()
+    assert [(r.snapshot_id, r.previous, r.position, r.truncated, r.nodes) for r in got] == [("3", "2", 1, True, 1), ("2", "1", 2, True, 1)]
+    assert [snapshots.alias(spark, store, x) for x in ("current", "previous", "1")] == ["3", "2", "1"]
+    nodes.write.parquet(f"{store}/nodes/snapshot_id=4")  # a run that died after its nodes
+    with pytest.raises(ValueError, match="changed"):
+        snapshots.publish(spark, store, "4", nodes, nodes, "f4", lambda: "f5")
+    assert snapshots.alias(spark, store, "current") == "3"
+    snapshots.publish(spark, store, "4", nodes, nodes, "f4", lambda: "f4")
+    assert snapshots.alias(spark, store, "current") == "4"
+    with pytest.raises(ValueError, match="already"):
+        snapshots.publish(spark, store, "4", nodes, nodes)
 
 
 def test_watch_sees_each_file_once(spark, tmp_path):
-    from loomgraph.streaming.watch import watch
-
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.py").write_text("a")
     seen = []
@@ -127,6 +149,102 @@ def test_watch_sees_each_file_once(spark, tmp_path):
     assert len(seen) == 1
 
 
+def test_poll_sees_each_content_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    file, other, states, seen = tmp_path / "in" / "a.py", tmp_path / "in" / "b.py", str(tmp_path / "state"), []
+    other.write_text("x")
+    for body in ("a", "a", "b", "b", None):
+        file.write_text(body) if body else file.unlink()
+        poll(spark, str(tmp_path / "in"), states, lambda df: seen.append(sorted((r.path[-4:], r.change) for r in df.collect())))
+    assert seen == [[("a.py", "added"), ("b.py", "added")], [], [("a.py", "changed")], [], [("a.py", "removed")]]
+    with pytest.raises(ZeroDivisionError):
+        other.unlink()
+        poll(spark, str(tmp_path / "in"), states, lambda df: 1 / 0)
+    poll(spark, str(tmp_path / "in"), states, lambda df: seen.append([r.change for r in df.collect()]))
+    assert seen[-1] == ["removed"] and watch_state(spark, states).count() == 0
+
+
+def test_journal(spark, tmp_path):
+    folder = str(tmp_path / "journal")
+    for k in range(3):
+        journal.record(spark, folder, "decision", f" said {k} ", "declared" if k else "observed", snapshot="s1")
+    for bad in (("rumour", "x", "declared"), ("note", " ", "declared"), ("note", "x" * 1001, "declared"), ("note", "x", "heard")):
+        with pytest.raises(ValueError):
+            journal.record(spark, folder, *bad)
+    got = journal.page(journal.read(spark, folder), ["recorded_at"], 1, "declared").collect()
+    assert [(r.summary, r.truncated, r.position) for r in got] == [("said 2", True, 1)]
+    assert journal.turtle(journal.read(spark, folder), F.lit("t")).count() == 3 * 6
+    (tmp_path / "journal" / "part-x.json").write_text("{broken")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        journal.read(spark, folder).collect()
+
+
+@pytest.mark.parametrize(("text", "bad"), [("plain text", False), ("see http://host/path and https://x", False), ("see /etc/passwd", True), ("//host/x", True), ("a/b and c/d", False), ("C:\\x", True), ("D:/x y", True), ("abcC:\\x", True), ("abcC:/x", True), ("abc.x/y", False), ("\\\\host\\share", True), ("a \\dir", True), ("file:///x", True), ("FILE://x", True), ("profile:x", False), ("ftp:/x", True), ("1/2", False), ("tab\there", True), ("z\u200dz", True), (". / .", False)])
+def test_unsafe_text(spark, text, bad):
+    assert spark.createDataFrame([(text,)], "x string").select(X.unsafe_text(F.col("x"))).first()[0] is bad
+
+
+NODE = "id string, type string, name string, language string, qualified_name string"
+
+
+def test_ambiguous_symbol(spark):
+    nodes = spark.createDataFrame([("a", "Class", "Shared", "Java", "x.Shared"), ("b", "Class", "Shared", "Java", "y.Shared"), ("c", "Class", "SharedMore", "Java", "y.SharedMore")], NODE)
+    edges = spark.createDataFrame([("c", "a", "CALLS")], "source string, target string, type string")
+    status = lambda s: graph.impact_of(spark, nodes, edges, s, graph.full_text(nodes))
+    assert status("shared")[0] == "ambiguous" and sorted(r.id for r in status("shared")[1].collect()) == ["a", "b"]
+    assert status("nothing")[0] == "not_found" and status("nothing")[1].count() == 0
+    assert status("SharedMore")[0] == "ok" and [r.id for r in status("y.sharedmore")[1].collect()] == ["a"]
+    many = spark.createDataFrame([(f"n{i:02d}", "Class", "Same", "Java", None) for i in range(30)], NODE)
+    assert [r.position for r in graph.resolve(many, ["same"], graph.full_text(many)).orderBy("position").collect()] == list(range(1, 21))
+
+
+def test_candidates(spark):
+    rows = [(f"n{i:03d}", "Function", f"f{i}", "Python", f"m.f{i}") for i in range(99, -1, -1)] + [("a" * 1001, "Function", "x", "Python", "m.x"), ("b\u202e", "Function", "x", "Python", "m.x"), ("c", "Package", "x", "Python", "m")]
+    nodes = spark.createDataFrame(rows, NODE)
+    edges = spark.createDataFrame([("n001", f"n{i:03d}", "CALLS") for i in range(99, 1, -1)] + [("n000", "role", "HAS_PIPELINE_ROLE"), ("n001", "n002", "DECLARES")], "source string, target string, type string")
+    found = enrich.candidates(nodes, edges)
+    assert sorted(r.id for r in found.collect()) == [f"n{i:03d}" for i in range(1, 81)]
+    got = enrich.candidate_relations(found, nodes, edges).orderBy("k").collect()
+    assert [r.target_qualified_name for r in got] == sorted(f"m.f{i}" for i in range(2, 100))[:12]
+    asked = spark.createDataFrame([("n001", "Load"), ("zz", "Load")], "node string, role string")
+    assert [r.node for r in enrich.unknown_suggestions(asked, found, "node").collect()] == ["zz"]
+
+
+def test_suggestion_counters(spark):
+    said = [("n", r) for r in ["Load", "Load", "Odd", "Extract", "Load"]] + [("m", r) for r in ["Load", "Load", "Load"]]
+    df = spark.createDataFrame([(*x, k) for k, x in enumerate(said)], "node string, role string, k int")
+    assert tuple(enrich.suggestion_counters(df, "node", "role", "k").first()) == (1, 3, 3)
+
+
+def test_required_limitation(spark):
+    none = spark.createDataFrame([(["z.limit", "a.limit", "z.limit", "No"], "runtime_unknown"), (["z.limit"], "not_applicable"), ([f"a{i:02d}" for i in range(40)], "runtime_unknown"), (None, "runtime_unknown")], "l array<string>, s string")
+    got = [r[0] for r in none.select(projections.with_required_limitation(F.col("l"), F.col("s"))).collect()]
+    want = "runtime.activation_not_observed"
+    assert got == [["a.limit", want, "z.limit"], ["z.limit"], [f"a{i:02d}" for i in range(15)] + [want], [want]]
+
+
+def test_owner_cycles(spark):
+    edges = spark.createDataFrame([(a, b, "DECLARES") for a, b in ["ab", "bc", "ca", "cd", "de", "ef", "fg", "gh", "hi", "ij", "jk"]], "source string, target string, type string")
+    nodes = spark.createDataFrame([(x, "Class", x, "Java") for x in "abcdefghijkz"], "id string, type string, name string, language string")
+    owner = dict((b, a) for a, b in ["ab", "bc", "ca", "cd", "de", "ef", "fg", "gh", "hi", "ij", "jk"])
+    for r in graph.owner_trail(nodes, edges).collect():
+        want, at = [], r.id
+        while len(want) < 6 and (at := owner.get(at)) and at != r.id and at not in want:
+            want.append(at)
+        assert r.trail == want, r.id
+
+
+@pytest.mark.parametrize(("name", "ok"), [("library/model:7b", True), ("a/../b", False), ("a//b", False), ("", False), ("-x", False), ("a:b:c", False)])
+def test_model_name(spark, name, ok):
+    assert spark.createDataFrame([(name,)], "x string").select(X.model_name(F.col("x"))).first()[0] is ok
+
+
+def test_small_scalars(spark):
+    row = spark.createDataFrame([("sha256:" + "a" * 64, "b" * 63, "a.b.c", "abc", float("nan"), 7.126, -1.0)], "d string, e string, s string, t string, n double, v double, w double")
+    got = row.select(X.model_digest(F.col("d")), X.model_digest(F.col("e")), X.last_segment(F.col("s")), X.last_segment(F.col("t")), *[X.bounded_number(F.col(c), 5.0) for c in "nvw"], X.bounded_text(F.lit("  x y "), 2), X.bounded_text(F.lit(" \n "), 9)).first()
+    assert tuple(got) == ("sha256:" + "a" * 64, None, "c", "abc", 0.0, 5.0, 0.0, "x ", None)
+
+
 def test_empty_tables(spark):
     n = spark.createDataFrame([], "id string, type string, name string, language string")
     e = spark.createDataFrame([], "source string, target string, type string")
