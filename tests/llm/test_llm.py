@@ -512,7 +512,7 @@ def test_fragments_hide_no_passage(spark):
             assert len(a & b) / len(a | b) == 0.8
         want["exact" if exact else "similar"].append((first, put(other)))
     docs = spark.createDataFrame(rows, "__row bigint, text string").repartition(3)
-    found = {(r.other, r.row) for r in substring_dedup.passages(spark, docs).select("row", "other").collect()}
+    found = {(r.other, r.row) for r in substring_dedup.passages(spark, docs)[0].select("row", "other").collect()}
     words = [x.split() for _, x in rows]
     grams = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in words]
     brute = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if grams[i] & grams[j]}
