@@ -98,6 +98,25 @@ def alias(spark: SparkSession, root: str, name: str) -> str:
     return rows[k]["snapshot_id"]
 
 
+def load(spark: SparkSession, root: str, name: str = "current") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a promoted snapshot, by alias or id."""
+    ident = alias(spark, root, name)
+    if history(spark, root, None).filter(F.col("snapshot_id") == ident).isEmpty():
+        raise ValueError(f"snapshot {ident} is not promoted")
+    nodes, edges = (spark.read.parquet(f"{root}/{x}/snapshot_id={ident}") for x in ("nodes", "edges"))
+    for table, needed in ((nodes, {"id"}), (edges, {"source", "target", "type"})):
+        if missing := needed - set(table.columns):
+            raise ValueError(f"snapshot {ident} lacks {sorted(missing)}")
+    return nodes, edges
+
+
+def workspaces(spark: SparkSession, registry: DataFrame, most: int = 1000) -> DataFrame:
+    """The latest entry (id, label, root, seq) of each workspace, by label and id, with whether its folder is there. A registry is a short list: at most so many entries."""
+    latest = registry.groupBy("id").agg(F.max_by(F.struct("label", "root"), "seq").alias("x")).select("id", "x.*").orderBy(F.lower("label"), "id").limit(most)
+    rows = [(r["id"], r["label"], r["root"], "available" if exists(spark, r["root"]) else "stale") for r in latest.collect()]
+    return spark.createDataFrame(rows, "id string, label string, root string, status string")
+
+
 def diff_keys(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by key that only one side has."""
     a, b = before.select(*keys).distinct(), after.select(*keys).distinct()

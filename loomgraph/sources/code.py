@@ -28,7 +28,8 @@ def sensitive(name: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path, language, bytes, sha256, content and skipped (null: the file is read). Empty files hold nothing and are not listed. Runs on the executors, with any store that Spark reads."""
+    """path, language, bytes, sha256, content and skipped (null: the file is read). Empty files hold nothing and are not listed; nor are names
+    that begin with a dot or an underscore, which Spark's file listing hides. Runs on the executors, with any store that Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path, folder = F.col("path"), root.rstrip("/")
     relative = F.regexp_replace(F.substring_index(path, f"{folder.split('://')[-1]}/", -1), "^/+", "")

@@ -138,6 +138,14 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.alias(spark, store, "current") == "4"
     with pytest.raises(ValueError, match="already"):
         snapshots.publish(spark, store, "4", nodes, nodes)
+    edges = spark.createDataFrame([("a", "b", "CALLS")], "source string, target string, type string")
+    snapshots.publish(spark, store, "5", nodes, edges)
+    assert [t.count() for t in snapshots.load(spark, store)] == [1, 1]
+    for bad, why in (("4", "lacks"), ("9", "not promoted")):
+        with pytest.raises(ValueError, match=why):
+            snapshots.load(spark, store, bad)
+    registry = spark.createDataFrame([("w1", "b", store, 1), ("w1", "Z", store, 2), ("w2", "a", "/nowhere", 1)], "id string, label string, root string, seq int")
+    assert [tuple(r)[:2] + (r.status,) for r in snapshots.workspaces(spark, registry).collect()] == [("w2", "a", "stale"), ("w1", "Z", "available")]
 
 
 def test_watch_sees_each_file_once(spark, tmp_path):
