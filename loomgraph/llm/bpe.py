@@ -16,6 +16,7 @@ named ids and decoded, which are replaced; digest_documents does not read them.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import hashlib
 import json
@@ -229,10 +230,20 @@ class Bpe:
 
 @lru_cache(2)
 def bpe(path: str) -> Bpe:
-    """One per Python worker. The vocabulary's many small objects live as long as the worker, so the garbage collector need not walk them again and again."""
-    made = Bpe(path)
-    gc.freeze()
-    return made
+    """One per Python worker."""
+    return Bpe(path)
+
+
+@contextlib.contextmanager
+def uncollected() -> Iterator[None]:
+    """The garbage collector rests while a task fills its caches: they hold many small objects without cycles, which it would only walk again and again."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, decoded: bool = True) -> DataFrame:
@@ -242,11 +253,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, decoded: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         for batch in slices(batches):
-            ids = coder.encode(texts(batch))
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            more = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), flat)]
-            if decoded:
-                more.append(pa.array([coder.decode(x) for x in ids], pa.string()))
+            with uncollected():
+                ids = coder.encode(texts(batch))
+                more = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+                if decoded:
+                    more.append(pa.array([coder.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "ids", "decoded"][: batch.num_columns + len(more)])
 
     kinds = T.StructType([*keep.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -262,9 +273,10 @@ def digest_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocabulary)
         for batch in slices(batches):
-            ids = coder.encode(texts(batch))
-            sha = [hashlib.sha256(x).hexdigest() for x in ids]
-            back = [hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in ids]
+            with uncollected():
+                ids = coder.encode(texts(batch))
+                sha = [hashlib.sha256(x).hexdigest() for x in ids]
+                back = [hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in ids]
             doc = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=[x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
 

@@ -19,6 +19,7 @@ can't clash.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.bpe import ASCII_PRE_TOKEN, MOST_CACHED, PRE_TOKEN, Bpe, bpe
+from loomgraph.llm.bpe import ASCII_PRE_TOKEN, MOST_CACHED, PRE_TOKEN, Bpe, bpe, uncollected
 from loomgraph.llm.common import SPACE_BYTES, slices, stage, texts
 
 Edit = tuple[int, int, bytes]
@@ -88,7 +89,16 @@ def cut_plain(text: str) -> list[tuple[int, list[str]]]:
     """(bytes, pre-tokens) of the leaves of a text without special tokens."""
     if text.isascii():
         return [(len(x), [x]) for x in ASCII_PRE_TOKEN.findall(text.lower())]
-    parts = [*text] if unicodedata.is_normalized("NFC", text) else atoms(text)
+    composed = unicodedata.is_normalized("NFC", text)
+    if composed:
+        low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+        if len(low) == len(text):  # letter by letter the same places
+            begins = [m.start() for m in PRE_TOKEN.finditer(low)]
+            if len(begins) < 2:
+                return [(len(text.encode()), PRE_TOKEN.findall(low))]
+            cuts = [0, *begins[1:], len(low)]
+            return [(len(text[a:b].encode()), [w]) for a, b, w in zip(cuts, cuts[1:], PRE_TOKEN.findall(low))]
+    parts = [*text] if composed else atoms(text)
     norm = ["".join(map(str.lower, unicodedata.normalize("NFC", x))) for x in parts]
     at, where, size = 0, {}, 0  # place in the normalised text -> bytes of the text before it
     for x, y in zip(parts, norm):
@@ -115,26 +125,33 @@ class LeafCoder:
         missing = set().union(*cut).difference(self.known)
         if not missing:
             return
-        coder, found = self.coder, {}
+        coder, whole, found = self.coder, {}, {}  # pieces that are one pre-token, and the others
         if len(coder.words) > MOST_CACHED:
             coder.words.clear()
         for raw in missing:
+            if raw.isalpha():  # ASCII letters only
+                whole[raw] = raw.lower().decode()
+                continue
             piece = raw.decode()
             if b"<|" in raw:
                 found[raw] = [y for x in coder.at_special.split(piece) if x for y in ([(len(x), [x])] if x in coder.special else cut_plain(x))]
-            elif raw.isalpha():  # ASCII letters only: one pre-token
-                found[raw] = [(len(raw), [piece.lower()])]
+                continue
+            leaves = cut_plain(piece)
+            if len(leaves) == 1 and len(leaves[0][1]) == 1:
+                whole[raw] = leaves[0][1][0]
             else:
-                found[raw] = cut_plain(piece)
-        words = set()
+                found[raw] = leaves
+        words = set(whole.values())
         for leaves in found.values():
             for _, own in leaves:
                 words.update(own)
         if unknown := words.difference(coder.words, coder.special):
             coder.merge([*unknown])
-        size = lambda x: 1 if x in coder.special else len(coder.words[x]) // 4
+        size = {x: 1 if x in coder.special else len(coder.words[x]) // 4 for x in words}
+        pair, many = struct.Struct("<2I").pack, size.__getitem__
+        self.known.update((raw, pair(len(raw), size[word])) for raw, word in whole.items())
         for raw, leaves in found.items():
-            self.known[raw] = np.array([(n, sum(map(size, own))) for n, own in leaves], "<u4").tobytes()
+            self.known[raw] = b"".join([pair(n, size[own[0]] if len(own) == 1 else sum(map(many, own))) for n, own in leaves])
 
     def leaves(self, some: list[bytes]) -> list[np.ndarray]:
         """Per text: begins, ends and counts of its leaves, as rows of one array."""
@@ -279,8 +296,10 @@ def build_trees(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = LeafCoder(bpe(vocabulary))
         for batch in slices(batches):
-            trees = coder.leaves(texts(batch))
-            yield named(TREES, [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(map(keep, trees), pa.binary()), pa.array([int(x[2].sum()) for x in trees], pa.int64())])
+            with uncollected():
+                trees = coder.leaves(texts(batch))
+                columns = [pa.array(map(keep, trees), pa.binary()), pa.array([int(x[2].sum()) for x in trees], pa.int64())]
+            yield named(TREES, [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), *columns])
 
     return docs.select("doc_id", "text").mapInArrow(run, TREES)
 
@@ -298,7 +317,8 @@ def edit_trees(trees: DataFrame, vocabulary: str, find_edits: Callable[[bytes],
                 edits = [[(e["start"], e["end"], (e["replacement"] or "").encode()) for e in x or []] for x in batch.column(4).to_pylist()]
             else:
                 edits = [*map(find_edits, some)]
-            done = [apply_edits(coder, text, kept(tree), e) for text, tree, e in zip(some, batch.column(2).to_pylist(), edits)]
+            with uncollected():
+                done = [apply_edits(coder, text, kept(tree), e) for text, tree, e in zip(some, batch.column(2).to_pylist(), edits)]
             ids, total = batch.column(0), pa.array([x[2] for x in done], pa.int64())
             if counts_only:
                 yield named(COUNTS, [ids, batch.column(3), pa.array([*map(len, edits)], pa.int32()), total, pa.array([*map(len, some)], pa.int64()), pa.array([x[3] for x in done], pa.int64())])
