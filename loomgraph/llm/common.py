@@ -76,7 +76,7 @@ def stage_numbered(spark: SparkSession, df: DataFrame, *columns: str, codec: str
 def stage_whole(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Rows (doc, __row), written once: doc is a struct of all columns of df, so none of their names can clash with those that an operator adds.
     Its fields are read one by one (doc.text), and opened() gives the columns back."""
-    return stage(spark, df.select(F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("doc"), F.monotonically_increasing_id().alias("__row")), "numbered")
+    return stage(spark, df.select(F.struct(*[F.col(f"`{x}`") for x in df.columns]).alias("doc"), F.monotonically_increasing_id().alias("__row")), "numbered", "zstd")
 
 
 def opened(rows: DataFrame) -> DataFrame:
