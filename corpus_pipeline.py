@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, exact_dedup, mixing, quality_classifier, simhash
-from loomgraph.llm.common import documents, stage
+from loomgraph.llm.common import documents, stage, unstage
 from loomgraph.llm.queries import labels, vocabulary
 
 
@@ -51,5 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, apply) in enumerate(STAGES):
-        docs = stage(spark, apply(spark, docs, sf_dir), f"pipeline-{k}")
+        before, docs = docs, stage(spark, apply(spark, docs, sf_dir), f"pipeline-{k}")
+        if k:
+            unstage(spark, before)
     return docs
