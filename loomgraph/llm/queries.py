@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, brown, exact_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, toxicity
+from loomgraph.llm import bpe, brown, exact_dedup, mixing, periodic_runs, private_data, quality_classifier, quality_rules, resampling, simhash, substring_dedup, token_counts, toxicity
 from loomgraph.llm.common import crc_mod, documents
 
 
@@ -75,8 +75,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.brown_scores(spark, documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.planted(documents(spark, sf_dir))).withColumn("best", periodic_runs.longest(F.col("runs")))
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    hashed = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, hashed(periodic_runs.listed(F.col("runs"))).alias("runs_sha256"), hashed(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.importance_resample(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.private_data(documents(spark, sf_dir))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    counts = [private_data.counted(spans, k, True).alias(f"n_{k}") for k in private_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(private_data.told(base).cast("binary"), 256).alias("base_sha256"), private_data.told(spans).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_bpe, op5_quality_classifier, op6_substring_dedup, op7_mixing, op8_quality_rules, op9_token_counts, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_simhash, op4_bpe, op5_quality_classifier, op6_substring_dedup, op7_mixing, op8_quality_rules, op9_token_counts, op10_lm_scoring, op11_periodic_runs, op12_importance_resampling, op13_private_data)}
 
 
 OP2_SQL = r"""
