@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.schemas import MOST_PATH, ROLE_TOKENS, RULE_ID
+from loomgraph.schemas import ABSOLUTE_PATHS, MOST_PATH, ROLE_TOKENS, RULE_ID
+
+#: Line comments, block comments, text blocks, strings and characters, each to its end or the text's; else a run of plain code, or one sign.
+MASKED = r"""//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?|\"{3}(?:[^"]++|"(?!""))*+(?:\"{3})?|"(?:[^"\\]++|\\[\s\S]?)*+"?|'(?:[^'\\]++|\\[\s\S]?)*+'?|[^/"']++|/"""
 
 
 def last_segment(x: Column, by: str = ".") -> Column:
@@ -35,31 +38,28 @@ def portable_path(x: Column) -> Column:
     return F.coalesce(~(bad | up), F.lit(False))
 
 
-#: How an absolute path can begin, and the characters before it that make it a part of something else. "\\w" would mean other characters in other engines.
-_word = r"\p{L}\p{N}_"
-ABSOLUTE = {
-    "root": (rf"{_word}./\\-", r"/{1,2}[^\s/]"),
-    "drive": (rf"{_word}.", r"[A-Za-z]:[\\/]\S"),
-    "share": (rf"{_word}.\\", r"\\\\[^\\\s]+\\"),
-    "root of a drive": (rf"{_word}.\\", r"\\[^\\\s]"),
-    "file address": (_word, r"(?i:file):(/{2,}|\\{2,})\S"),
-}
-WEB = r"(?i:(https?):)/"
-
-
-def absolute_patterns() -> list[str]:
-    return [f"(^|[^{no}]){begin}" for no, begin in ABSOLUTE.values()]
+def in_java(pattern: str) -> str:
+    """A pattern whose word characters are letters and digits of all scripts, in the engine's own words for them."""
+    return pattern.replace(r"\w", r"\p{L}\p{N}_")
 
 
 def unsafe_text(x: Column) -> Column:
-    """Holds a control, format or surrogate character, or what looks like an absolute path. Web addresses are no paths: their scheme's colon is left out before looking."""
-    plain = F.regexp_replace(x, WEB, "$1/")
+    """Holds a control, format or surrogate character, or what looks like an absolute path."""
     out = x.rlike(r"[\p{Cc}\p{Cf}\p{Cs}]")
-    for p in absolute_patterns():
-        out = out | plain.rlike(p)
+    for p in ABSOLUTE_PATHS:
+        out = out | x.rlike(in_java(p))
     return F.coalesce(out, F.lit(False))
 
 
+def masked(x: Column) -> Column:
+    """Code with its comments and the insides of its string, character and text-block literals, their marks included, as spaces; lengths and line breaks stay, so every place keeps its line and column. The
+    pattern cuts the text from left to right into pieces that begin in code, as a transducer with the states code, line comment, block comment, text block, string and
+    character would; what is not closed runs to the end, and a backslash takes the next character with it."""
+    pieces = F.regexp_extract_all(x, F.lit(MASKED), F.lit(0))
+    hidden = lambda p: p.startswith("//") | p.startswith("/*") | p.startswith('"') | p.startswith("'")
+    return F.array_join(F.transform(pieces, lambda p: F.when(hidden(p), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+
+
 def api_path(x: Column, most: int = 1000) -> Column:
     """A relative path with forward slashes only, else null: safe text, no drive, and no empty or dotted part."""
     text = bounded_text(x, most)

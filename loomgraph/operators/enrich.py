@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
+from loomgraph.operators.folds import SEGMENT_BITS, segmented
 from loomgraph.schemas import CANDIDATE_RELATIONS, CODE_TYPES, MOST_CANDIDATES, MOST_PER_REQUEST, MOST_RELATIONS, MOST_REQUEST_BYTES, ROLE_TOKENS
 
 
@@ -24,27 +23,56 @@ def first_candidates(items: DataFrame, group: str, key: str, most: int = MOST_CA
     return items.withColumn("k", k).filter(F.col("k") <= most).drop("k")
 
 
-def greedy_batches(items: DataFrame, group: str, key: str, size: str) -> DataFrame:
-    """Batches of all items of each group by key: a new one begins when count or bytes would overflow. A group's sorted rows are folded
-    as a stream that carries the open batch from one Arrow batch to the next, so memory is bounded; a group's rows pass through one task.
-    A null size counts as 0."""
-    rows = items.select(F.col(group).alias("g"), F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")).repartition("g").sortWithinPartitions("g", "key")
-    kind = rows.select("g", "key").schema
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, group, batch, n, used = False, None, 0, 0, 0
-        for some in batches:
-            out = []
-            for g, x in zip(some.column(0).to_pylist(), some.column(2).to_pylist()):
-                if not begun or g != group:
-                    begun, group, batch, n, used = True, g, 0, 0, 0
-                if n >= MOST_PER_REQUEST or (n and used + x > MOST_REQUEST_BYTES):
-                    batch, n, used = batch + 1, 0, 0
-                n, used = n + 1, used + x
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.int32())], names=["g", "key", "batch"])
-
-    return rows.mapInArrow(fold, kind.add("batch", IntegerType())).select(F.col("g").alias(group), F.col("key").alias(key), "batch")
+def _opens(n: int, used: int, size: int) -> bool:
+    """Whether a new batch begins with a row of this size."""
+    return n >= MOST_PER_REQUEST or (n > 0 and used + size > MOST_REQUEST_BYTES)
+
+
+def _batch_from(sizes: list[int], at: int) -> tuple[int, int, int]:
+    """Where the batch that begins with this row ends (or the segment does), with its rows and bytes until then."""
+    n = used = 0
+    while at < len(sizes) and not _opens(n, used, sizes[at]):
+        n, used, at = n + 1, used + sizes[at], at + 1
+    return at, n, used
+
+
+def _batch_summary(rows: list[tuple]) -> dict:
+    """The first sizes of a segment, and for each of the places where its first batch can begin, how many begin and what is open at the end. The batch that is open
+    before a segment ends within its first MOST_PER_REQUEST rows, so there are few such places."""
+    sizes = [x for _, x in rows]
+    behind: list[tuple] = [(0, 0, 0)] * len(sizes)
+    for at in range(len(sizes) - 1, -1, -1):
+        stop, n, used = _batch_from(sizes, at)
+        more = behind[stop] if stop < len(sizes) else (0, n, used)
+        behind[at] = (1 + more[0], *more[1:])
+    return {"sizes": sizes[: MOST_PER_REQUEST + 1], "behind": behind[: MOST_PER_REQUEST + 1]}
+
+
+def _batch_behind(state: list, done: dict) -> list:
+    batch, n, used = state
+    for size, (begun, n_open, used_open) in zip(done["sizes"], done["behind"]):
+        if _opens(n, used, size):
+            return [batch + begun, n_open, used_open]
+        n, used = n + 1, used + size
+    return [batch, n, used]
+
+
+def _batch_rows(state: list, rows: list[tuple]) -> Iterator[tuple]:
+    batch, n, used = state
+    for key, size in rows:
+        if _opens(n, used, size):
+            batch, n, used = batch + 1, 0, 0
+        n, used = n + 1, used + size
+        yield key, batch
+
+
+def greedy_batches(items: DataFrame, group: str, key: str, size: str, bits: int = SEGMENT_BITS) -> DataFrame:
+    """Batches of all items of each group by key: a new one begins when count or bytes would overflow. A group's sorted rows are cut freely into segments; what a segment does to
+    the batch that is open before it is summed up, and segments are replayed from there, so the batches are those of one pass, however large a group is. A null size counts as 0. Rows
+    that are equal in group and key are batched one by one."""
+    rows = items.select(F.col(group), F.col(key), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"))
+    kind = items.schema[key].dataType.simpleString()
+    return segmented(items.sparkSession, rows, group, [key, "__size"], [key, "__size"], _batch_summary, _batch_behind, _batch_rows, f"{key} {kind}, batch int", start=[0, 0, 0], bits=bits)
 
 
 def candidates(nodes: DataFrame, edges: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:

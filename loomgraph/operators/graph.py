@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import flattened, search_text
+from loomgraph.operators.nesting import chains
 from loomgraph.schemas import LENSES, MOST_AMBIGUOUS, MOST_IMPACT, MOST_RESOLVED, MOST_SEARCH, PREFERRED, STRUCTURAL, TYPE_PRIORITY
+from loomgraph.tables import remove, tidy
+
+ADJACENT = "node string, next string, type string, direction string"
 
 
 def priority(kind: Column) -> Column:
@@ -50,10 +56,12 @@ def lens_edges(edges: DataFrame, nodes: DataFrame, lens: str, root: str = "") ->
     if LENSES[lens] is not None:
         edges = edges.filter(F.col("type").isin(LENSES[lens]))
     if lens == "architecture":
+        # whether both ends of a declaration are structural, in one pass over the edges for each end
         s = nodes.filter(F.col("type").isin(STRUCTURAL)).select("id")
-        inner = edges.join(s.withColumnRenamed("id", "source"), "source", "left_semi").join(s.withColumnRenamed("id", "target"), "target", "left_semi")
-        rest = edges.filter((F.col("type") != "DECLARES") | (F.col("source") == root) | (F.col("target") == root))
-        edges = inner.filter("type = 'DECLARES'").unionByName(rest)
+        end = lambda c: s.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_kept"))
+        both = edges.join(end("source"), "source", "left").join(end("target"), "target", "left")
+        rooted = F.col("source").eqNullSafe(root) | F.col("target").eqNullSafe(root)
+        edges = both.filter((F.col("type") != "DECLARES") | rooted | (F.col("source_kept") & F.col("target_kept")))
     if lens == "spring" and "metadata" in nodes.columns:
         grouped = nodes.filter(F.size("metadata.semantic_groups") > 0).select(F.col("id").alias("target"))
         edges = edges.filter("type <> 'ANNOTATED_BY'").unionByName(edges.filter("type = 'ANNOTATED_BY'").join(grouped, "target", "left_semi"))
@@ -101,20 +109,53 @@ def presented(hops: DataFrame, most: int = MOST_IMPACT) -> DataFrame:
     return hops.select("*", position.alias("position"), (F.count("*").over(whole) >= most).alias("truncated"))
 
 
-def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 2, most: int = MOST_IMPACT, directions: tuple[str, ...] = ("outgoing", "incoming"), by_type: bool = False) -> DataFrame:
+class Adjacency:
+    """Each edge from both of its ends, written once into buckets by node and sorted by it, in a folder that later sessions open again. A level of a search reads only the
+    buckets that its frontier falls into, and in them the row groups that can hold its nodes."""
+
+    def __init__(self, spark: SparkSession, folder: str, edges: DataFrame | None = None, buckets: int | None = None):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.table = f"adjacency_{hashlib.md5(self.folder.encode()).hexdigest()}"
+        if edges is not None:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            rows = adjacency(edges).repartition(self.buckets, "node")
+            with tidy(spark):
+                rows.write.format("parquet").mode("overwrite").bucketBy(self.buckets, "node").sortBy("node").option("path", f"{self.folder}/rows").saveAsTable(self.table)
+            spark.createDataFrame([(self.buckets,)], "buckets int").write.mode("overwrite").json(f"{self.folder}/made")
+        else:
+            self.buckets = spark.read.schema("buckets int").json(f"{self.folder}/made").first()["buckets"]
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({ADJACENT}) USING parquet CLUSTERED BY (node) SORTED BY (node) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/rows'")
+
+    def near(self, nodes: list[str], directions: tuple[str, ...]) -> DataFrame:
+        rows = self.spark.table(self.table).filter(F.col("node").isin(nodes))
+        return rows if len(directions) == 2 else rows.filter(F.col("direction").isin(*directions))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.folder)
+
+
+def near_edges(edges: DataFrame, nodes: list[str], directions: tuple[str, ...]) -> DataFrame:
+    """The same from edges as they are: one scan, of which only edges at these nodes are turned."""
+    ends = {"outgoing": F.col("source").isin(nodes), "incoming": F.col("target").isin(nodes)}
+    met = edges.filter(reduce(Column.__or__, [ends[d] for d in directions]))
+    return adjacency(met, directions).filter(F.col("node").isin(nodes))
+
+
+def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame | Adjacency, seed: str, depth: int = 2, most: int = MOST_IMPACT, directions: tuple[str, ...] = ("outgoing", "incoming"), by_type: bool = False) -> DataFrame:
     """Breadth-first neighbourhood, undirected or along some directions: each node once, with the edge that finds it first, at most so many nodes, in the order in which
     they are found (rank): a parent's neighbours by id, or by relation and id if by_type.
 
-    A level is a join of the frontier, which has at most `most` rows and is therefore sent to all tasks, with the edges; of a
+    A level is one look at the edges of the frontier, which has at most `most` nodes: in edges as they are it is a scan, in an Adjacency it reads the frontier's buckets only. Of a
     node's edges the one of the parent found first, then of the least relation and direction counts. Levels are at
     most `most` rows of five short values on the driver; edges and candidates are never gathered."""
-    links = adjacency(edges, directions)
     found: list[tuple] = []
     frontier, seen = [(seed, 0)], [seed]
     for level in range(1, depth + 1):
         at = spark.createDataFrame(frontier, "node string, rank int")
-        old = spark.createDataFrame([(x,) for x in seen], "next string")
-        near = links.join(F.broadcast(at), "node").join(F.broadcast(old), "next", "left_anti")
+        names = [x for x, _ in frontier]
+        links = edges.near(names, directions) if isinstance(edges, Adjacency) else near_edges(edges, names, directions)
+        near = links.filter(~F.col("next").isin(seen)).join(F.broadcast(at), "node")
         first = near.groupBy("next").agg(F.min(F.struct("rank", "type", "direction", "node")).alias("f"))
         rows = first.orderBy("f.rank", *(["f.type"] if by_type else []), "next").limit(most - len(found)).collect()
         found += [(r["next"], level, r["f"]["node"], r["f"]["type"], r["f"]["direction"], len(found) + k) for k, r in enumerate(rows)]
@@ -123,7 +164,7 @@ def impact(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed: str, d
             break
     hops = spark.createDataFrame(found, "id string, depth int, via string, relation string, direction string, rank int")
     # at most `most` rows, so the nodes are read once and not moved
-    known = nodes.join(F.broadcast(hops.select("id")), "id", "left_semi").select("id", "name", "type")
+    known = nodes.filter(F.col("id").isin(seen)).select("id", "name", "type")
     return hops.join(known, "id", "left").select("id", F.coalesce("name", "id").alias("name"), F.coalesce("type", F.lit("Unknown")).alias("type"), "depth", "via", "relation", "direction", "rank")
 
 
@@ -161,20 +202,15 @@ def bounded_subgraph(members: DataFrame, edges: DataFrame, root: str, most_nodes
 
 
 def owner_trail(nodes: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
-    """id, trail (owners from the nearest on) along incoming declarations, the least source of each, without cycles."""
-    owner = edges.filter("type = 'DECLARES'").groupBy(F.col("target").alias("at")).agg(F.min("source").alias("owner"))
-    # every node has one owner at most, so chains of owners are doubled: those of 1, 2, 4, ... owners are joined to the chains that begin at their last
-    chains, length = owner.select("at", F.array("owner").alias("chain")), 1
-    while length < hops:
-        more = chains.select(F.col("at").alias("last"), F.col("chain").alias("more"))
-        chains = chains.withColumn("last", F.element_at("chain", -1)).join(more, "last", "left").select("at", F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))).alias("chain"))
-        length *= 2
+    """id, trail (owners from the nearest on) along incoming declarations, the least source of each, without cycles. Every node has one owner at most, so chains of owners are doubled, and each doubling is written once."""
+    owner = edges.filter("type = 'DECLARES'").groupBy(F.col("target").alias("at")).agg(F.min("source").alias("parent"))
+    found = chains(nodes.sparkSession, owner, hops)
     chain = F.slice("chain", 1, hops)
     # it ends before the node itself or an owner that it has already
     back = F.filter(F.sequence(F.lit(1), F.size(chain)), lambda k: (F.element_at(chain, k) == F.col("at")) | F.array_contains(F.slice(chain, F.lit(1), k - 1), F.element_at(chain, k)))
     trail = F.slice(chain, F.lit(1), F.coalesce(F.get(back, F.lit(0)), F.size(chain) + 1) - 1)
-    found = chains.select(F.col("at").alias("id"), trail.alias("trail"))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("trail", F.array().cast("array<string>")).alias("trail"))
+    trails = found.select(F.col("at").alias("id"), trail.alias("trail"))
+    return nodes.select("id").join(trails, "id", "left").select("id", F.coalesce("trail", F.array().cast("array<string>")).alias("trail"))
 
 
 def grouped_relations(edges: DataFrame, most: int = 18) -> DataFrame:

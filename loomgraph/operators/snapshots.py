@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.tables import create, names, stage
 
-def fingerprint(manifest: DataFrame) -> DataFrame:
-    """One digest of a manifest (path, sha256): digests of digests by the first byte of the path's hash, so no task holds the whole."""
+
+def fingerprint_flat(manifest: DataFrame) -> DataFrame:
+    """One digest of a small manifest (path, sha256): digests of digests by the first byte of the path's hash, 256 groups at any size. fingerprint() is for manifests of any size."""
     item = F.sha2(F.concat_ws(":", "path", "sha256"), 256)
     groups = manifest.select(F.substring(F.sha2("path", 256), 1, 2).alias("g"), item.alias("i")).groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("i")), ""), 256).alias("d"), F.count("*").alias("n"))
     return groups.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("g", "d"))), ""), 256).alias("fingerprint"), F.sum("n").alias("files"))
@@ -19,7 +23,7 @@ def fingerprint(manifest: DataFrame) -> DataFrame:
 LEVELS = (6, 4, 2)
 
 
-def fingerprint_tree(manifest: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def fingerprint(manifest: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """One digest of a manifest of any size: groups of files, then groups of groups. With 16 million lowest groups, one holds about 1 000 of 10^10 files."""
     item = F.sha2(F.concat_ws(":", "path", "sha256"), 256)
     at = manifest.select(F.sha2("path", 256).alias("g"), item.alias("d"), F.lit(1).cast("bigint").alias("n"))
@@ -51,23 +55,54 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-PROMOTIONS = "snapshot_id string, fingerprint string, promoted_at timestamp, trigger string, nodes bigint, edges bigint"
+PROMOTIONS = "snapshot_id string, fingerprint string, promoted_at timestamp, trigger string, nodes bigint, edges bigint, after string, run string"
+
+
+class Conflict(ValueError):
+    """Another writer has promoted a snapshot since this one began."""
+
+
+def _entry(number: int) -> str:
+    return f"{number:012d}.json"
+
 
+def head(spark: SparkSession, root: str) -> int:
+    """The number of the last promotion; 0 before the first."""
+    found = [n for n in names(spark, f"{root}/promotions") if n.endswith(".json") and n[:12].isdigit()]
+    return int(found[-1][:12]) if found else 0
 
-def publish(spark: SparkSession, root: str, snapshot: str, nodes: DataFrame, edges: DataFrame, fingerprint_: str = "", fingerprint_now: Callable[[], str] | None = None, trigger: str = "manual") -> None:
-    """Tables first, the pointer last: a failed run leaves the current snapshot as it was, and running it again writes its tables anew. A snapshot that is promoted
-    stays as it is. fingerprint_now is asked again before the pointer is written, and must not have changed."""
-    if exists(spark, f"{root}/promotions") and not history(spark, root, None).filter(F.col("snapshot_id") == snapshot).isEmpty():
-        raise ValueError(f"snapshot {snapshot} is promoted already")
+
+def publish(
+    spark: SparkSession, root: str, snapshot: str, nodes: DataFrame, edges: DataFrame, fingerprint_: str = "", fingerprint_now: Callable[[], str] | None = None, trigger: str = "manual", base: int | None = None,
+) -> str:
+    """Tables first, the pointer last: a failed run leaves the current snapshot as it was, and running it again writes its tables anew. Returns the snapshot's id: a name that a
+    promoted snapshot has gets a suffix, so what is promoted stays as it is. fingerprint_now is asked again before the pointer is written, and must not have changed.
+
+    The pointer is the last of numbered entries, each made only if its number is free. base is the number that the writer began from (head(), by default as it is on entry): if another writer has
+    promoted since, this one gets a Conflict, nothing of it is seen, and it may begin again from the new head."""
+    base = head(spark, root) if base is None else base
+    promoted = base > 0 and not history(spark, root, None).filter(F.col("snapshot_id") == snapshot).isEmpty()
+    if promoted:
+        snapshot = f"{snapshot}-{uuid.uuid4().hex[:8]}"
+    # writers that began at the same head have tables of their own until one of them is promoted
+    run = uuid.uuid4().hex
     counts = []
     for name, table in (("nodes", nodes), ("edges", edges)):
-        path = f"{root}/{name}/snapshot_id={snapshot}"
-        table.write.mode("overwrite").parquet(path)
+        path = f"{root}/{name}/snapshot_id={snapshot}/run={run}"
+        table.write.parquet(path)
         counts.append(spark.read.schema(table.schema).parquet(path).count())
     if fingerprint_now and fingerprint_now() != fingerprint_:
         raise ValueError("the source has changed while it was read")
-    row = spark.createDataFrame([(snapshot, fingerprint_, trigger, *counts)], "snapshot_id string, fingerprint string, trigger string, nodes bigint, edges bigint")
-    row.withColumn("promoted_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/promotions")
+    before = "" if not base else json.loads(_text(spark, f"{root}/promotions/{_entry(base)}"))["snapshot_id"]
+    at = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("t")).first()["t"]
+    row = {"snapshot_id": snapshot, "fingerprint": fingerprint_, "promoted_at": at, "trigger": trigger, "nodes": counts[0], "edges": counts[1], "after": before, "run": run}
+    if not create(spark, f"{root}/promotions/{_entry(base + 1)}", json.dumps(row) + "\n"):
+        raise Conflict(f"another snapshot was promoted after number {base}")
+    return snapshot
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
 
 
 def history(spark: SparkSession, root: str, most: int | None = 20) -> DataFrame:
@@ -101,9 +136,10 @@ def alias(spark: SparkSession, root: str, name: str) -> str:
 def load(spark: SparkSession, root: str, name: str = "current") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a promoted snapshot, by alias or id."""
     ident = alias(spark, root, name)
-    if history(spark, root, None).filter(F.col("snapshot_id") == ident).isEmpty():
+    found = history(spark, root, None).filter(F.col("snapshot_id") == ident).first()
+    if not found:
         raise ValueError(f"snapshot {ident} is not promoted")
-    nodes, edges = (spark.read.parquet(f"{root}/{x}/snapshot_id={ident}") for x in ("nodes", "edges"))
+    nodes, edges = (spark.read.parquet(f"{root}/{x}/snapshot_id={ident}/run={found['run']}") for x in ("nodes", "edges"))
     for table, needed in ((nodes, {"id"}), (edges, {"source", "target", "type"})):
         if missing := needed - set(table.columns):
             raise ValueError(f"snapshot {ident} lacks {sorted(missing)}")
@@ -117,33 +153,39 @@ def workspaces(spark: SparkSession, registry: DataFrame, most: int = 1000) -> Da
     return spark.createDataFrame(rows, "id string, label string, root string, status string")
 
 
+def sides(before: DataFrame, after: DataFrame, keys: list[str], fields: list[str] = ()) -> DataFrame:
+    """keys, sides (1: before only, 2: after only, 3: both), and what the fields were and are: both tables as one, grouped once by key, so each side is read once. Null keys are equal."""
+    some = lambda df, k: df.select(*keys, F.lit(k).alias("side"), F.struct(F.lit(0).alias("_"), *fields).alias("x"))
+    one = lambda k, name: F.max(F.when(F.col("side") == k, F.col("x"))).alias(name)
+    return some(before, 1).unionByName(some(after, 2)).groupBy(*keys).agg(F.bit_or("side").alias("sides"), *([one(1, "was"), one(2, "now")] if fields else []))
+
+
 def diff_keys(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Rows by key that only one side has."""
-    a, b = before.select(*keys).distinct(), after.select(*keys).distinct()
-    return b.join(a, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, keys, "left_anti").withColumn("change", F.lit("removed")))
+    return sides(before, after, keys).filter("sides < 3").select(*keys, F.when(F.col("sides") == 2, "added").otherwise("removed").alias("change"))
 
 
 def diff_modified(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Keys on both sides of which a field differs; null equals null."""
-    a = before.select(key, F.struct(*fields).alias("x"))
-    return after.select(key, F.struct(*fields).alias("y")).join(a, key).filter(~F.col("x").eqNullSafe(F.col("y"))).select(key)
+    return sides(before, after, [key], fields).filter((F.col("sides") == 3) & ~F.col("was").eqNullSafe(F.col("now"))).select(key)
 
 
 def diff(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], fields: list[str], most: int = 100) -> DataFrame:
     """Two snapshots (nodes, edges) as one table: section (nodesAdded, nodesRemoved, nodesModified, edgesAdded, edgesRemoved), position, key (id, or source, target and type
-    separated by spaces), how many there are in the section, and whether any section was cut. Sections keep their first rows by key; an empty one has a row without a key."""
-    keys = lambda df, cols: df.select(F.concat_ws(" ", *cols).alias("key"))
+    separated by spaces), how many there are in the section, and whether any section was cut. Sections keep their first rows by key; an empty one has a row without a key.
+    Nodes are grouped once and edges once; what differs is written, and counts and pages are read from there."""
+    spark = before[0].sparkSession
     parts = []
-    for name, cols, k in (("nodes", ["id"], 0), ("edges", ["source", "target", "type"], 1)):
-        found = diff_keys(before[k], after[k], cols)
-        section = F.when(F.col("change") == "added", f"{name}Added").otherwise(f"{name}Removed")
-        parts.append(found.select(section.alias("section"), F.concat_ws(" ", *cols).alias("key")))
-    parts.append(keys(diff_modified(before[0], after[0], "id", fields), ["id"]).select(F.lit("nodesModified").alias("section"), "key"))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for name, cols, own, k in (("nodes", ["id"], fields, 0), ("edges", ["source", "target", "type"], [], 1)):
+        found = sides(before[k], after[k], cols, own)
+        section = F.when(F.col("sides") == 2, f"{name}Added").when(F.col("sides") == 1, f"{name}Removed")
+        section = section.when(~F.col("was").eqNullSafe(F.col("now")), f"{name}Modified") if own else section
+        parts.append(found.select(section.alias("section"), F.concat_ws(" ", *cols).alias("key")).filter("section is not null"))
+    rows = stage(spark, parts[0].unionByName(parts[1]), "differences")
     counts = rows.groupBy("section").agg(F.count("*").alias("n"))
     position = F.row_number().over(Window.partitionBy("section").orderBy("key"))
     shown = rows.withColumn("position", position).filter(F.col("position") <= most)
-    sections = rows.sparkSession.createDataFrame([(s,) for s in ("nodesAdded", "nodesRemoved", "nodesModified", "edgesAdded", "edgesRemoved")], "section string")
+    sections = spark.createDataFrame([(s,) for s in ("nodesAdded", "nodesRemoved", "nodesModified", "edgesAdded", "edgesRemoved")], "section string")
     counts = sections.join(counts, "section", "left").select("section", F.coalesce("n", F.lit(0)).alias("n"), (F.max("n").over(Window.partitionBy()) > most).alias("truncated"))
     return counts.join(shown, "section", "left").select("section", "position", "key", "n", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import enrich, graph, journal, merge, projections, snapshots
-from loomgraph.plans.registry import EDGES, NODES, _levels, query
+from loomgraph.plans.registry import EDGES, NODES, _levels, query, unsafe_sql
 from loomgraph.schemas import CANDIDATE_RELATIONS
 from loomgraph.sources import star
 
@@ -122,8 +122,8 @@ def lineage_page(spark, d):
 
 
 @query(r"""WITH %s, q AS (SELECT *, '<urn:lineage:event-' || replace(event_id, '-', '') || '>' AS s, '"' || replace(replace(summary, '\', '\\'), '"', '\"') || '"' AS label, strftime(ts, '%%Y-%%m-%%dT%%H:%%M:%%S') || '+00:00' AS made FROM e)
-SELECT s || ' a prov:Activity .' AS line FROM q UNION ALL SELECT s || ' rdfs:label ' || label || ' .' FROM q UNION ALL SELECT s || ' coc:eventKind "' || kind || '" .' FROM q UNION ALL SELECT s || ' coc:evidenceType "' || evidence_type || '" .' FROM q
-UNION ALL SELECT s || ' prov:generatedAtTime "' || made || '" .' FROM q UNION ALL SELECT s || ' coc:subject "' || subject || '" .' FROM q WHERE subject IS NOT NULL UNION ALL SELECT s || ' coc:snapshotId "' || snapshot_id || '" .' FROM q WHERE snapshot_id IS NOT NULL""" % EVENT)
+SELECT s || ' a prov:Activity .' AS line FROM q UNION ALL SELECT s || ' rdfs:label ' || label || ' .' FROM q UNION ALL SELECT s || ' lin:eventKind "' || kind || '" .' FROM q UNION ALL SELECT s || ' lin:evidenceType "' || evidence_type || '" .' FROM q
+UNION ALL SELECT s || ' prov:generatedAtTime "' || made || '" .' FROM q UNION ALL SELECT s || ' lin:subject "' || subject || '" .' FROM q WHERE subject IS NOT NULL UNION ALL SELECT s || ' lin:snapshotId "' || snapshot_id || '" .' FROM q WHERE snapshot_id IS NOT NULL""" % EVENT)
 def lineage_turtle(spark, d):
     return journal.turtle(_events(spark, d), X.utc_text(F.col("ts")))
 
@@ -149,7 +149,7 @@ def snapshot_status(spark, d):
 c AS (SELECT substr(g, 1, 4) AS g, sha256(string_agg(g || d, '' ORDER BY g || d)) AS d, sum(n) AS n FROM b GROUP BY 1), x AS (SELECT substr(g, 1, 2) AS g, sha256(string_agg(g || d, '' ORDER BY g || d)) AS d, sum(n) AS n FROM c GROUP BY 1)
 SELECT sha256(string_agg(g || d, '' ORDER BY g || d)) AS fingerprint, CAST(sum(n) AS BIGINT) AS files FROM x""")
 def manifest_tree(spark, d):
-    return snapshots.fingerprint_tree(star.table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256")))
+    return snapshots.fingerprint(star.table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256")))
 
 
 @query(f"WITH {FULL} SELECT id, name, type, language, path, qualified_name AS \"qualifiedName\" FROM full_nodes")
@@ -284,9 +284,7 @@ def scalar_texts(spark, d):
     return t.select("doc_id", (F.col("text").rlike(r"^[ \t-\r]*$") | F.col("text").rlike(r"[\p{Cc}\p{Cf}]")).alias("control"), X.html_escape(F.col("text")).alias("escaped"), X.clamp(F.col("n_chars") - 500, 1000).alias("clamped"))
 
 
-@query(r"""WITH p AS (SELECT page_id, url, regexp_replace(html, '(?i)(https?):/', '\1/', 'g') AS h, html FROM pages)
-SELECT page_id, regexp_matches(html, '[\p{Cc}\p{Cf}]') OR regexp_matches(h, '(^|[^\p{L}\p{N}_./\\-])/{1,2}[^\s/]') OR regexp_matches(h, '(^|[^\p{L}\p{N}_.])[A-Za-z]:[\\/]\S') OR regexp_matches(h, '(^|[^\p{L}\p{N}_.\\])\\\\[^\\\s]+\\')
- OR regexp_matches(h, '(^|[^\p{L}\p{N}_.\\])\\[^\\\s]') OR regexp_matches(h, '(^|[^\p{L}\p{N}_])(?i:file):(/{2,}|\\{2,})\S') AS unsafe, regexp_matches(url, '^[a-z][a-z0-9_.-]{2,79}$') AS rule FROM p""")
+@query(f"SELECT page_id, {unsafe_sql('html')} AS unsafe, regexp_matches(url, '^[a-z][a-z0-9_.-]{{2,79}}$') AS rule FROM pages")
 def unsafe_pages(spark, d):
     return star.table(spark, d, "pages").select("page_id", X.unsafe_text(F.col("html")).alias("unsafe"), X.rule_id(F.col("url")).alias("rule"))
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.functions.text import in_java
 from loomgraph.operators import enrich, graph, merge, snapshots
+from loomgraph.schemas import ABSOLUTE_PATHS
 from loomgraph.sources import star
+from loomgraph.tables import stage
 
 FLAGSHIP = "impact_neighbourhood"
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,7 +58,7 @@ def query(sql: str = ""):
 
 def load() -> None:
     """The queries that are registered elsewhere."""
-    from loomgraph.plans import contract  # noqa: F401
+    from loomgraph.plans import contract, lexical  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -166,7 +170,7 @@ def _levels(seed: str, most: int) -> str:
     return f"""WITH {NODES}, {EDGES}, {ADJACENT},
 c1 AS (SELECT next, type, direction, node, row_number() OVER (PARTITION BY next ORDER BY type, direction) AS k FROM adj WHERE node = '{seed}' AND next <> '{seed}'),
 l1 AS (SELECT next AS id, 1 AS depth, node AS via, type AS relation, direction, row_number() OVER (ORDER BY next) - 1 AS rank FROM c1 WHERE k = 1),
-l1c AS (SELECT * FROM l1 WHERE rank < {most}),
+l1c AS MATERIALIZED (SELECT * FROM l1 WHERE rank < {most}),
 c2 AS (SELECT a.next, a.type, a.direction, a.node, p.rank, row_number() OVER (PARTITION BY a.next ORDER BY p.rank, a.type, a.direction) AS k FROM adj a JOIN l1c p ON a.node = p.id WHERE a.next <> '{seed}' AND a.next NOT IN (SELECT id FROM l1c)),
 l2 AS (SELECT next AS id, 2 AS depth, node AS via, type AS relation, direction, row_number() OVER (ORDER BY rank, next) - 1 AS rank FROM c2 WHERE k = 1),
 hops AS (SELECT * FROM l1c UNION ALL SELECT * FROM l2 WHERE rank < {most} - (SELECT count(*) FROM l1c))"""
@@ -180,7 +184,8 @@ def impact_neighbourhood(spark, d):
 @query(_levels("region:1", 240).replace("adj AS (", "raw AS (SELECT * FROM edges), lens AS (SELECT source, target, type FROM raw WHERE type = 'DECLARES'), adj AS (").replace("FROM edges UNION", "FROM lens UNION").replace("'incoming' FROM edges)", "'incoming' FROM lens)") + ", m AS (SELECT id FROM hops UNION SELECT 'region:1') SELECT DISTINCT source, target, type FROM lens SEMI JOIN m a ON a.id = source SEMI JOIN m b ON b.id = target")
 def lens_neighbourhood(spark, d):
     nodes = star.nodes(spark, d)
-    edges = graph.lens_edges(star.edges(spark, d), nodes, "architecture", "region:1")
+    # written once: each level and the edges in between read it
+    edges = stage(spark, graph.lens_edges(star.edges(spark, d), nodes, "architecture", "region:1"), "lens")
     hops = graph.impact(spark, nodes, edges, "region:1", 2, 240)
     return graph.induced(edges, hops.select("id").union(spark.createDataFrame([("region:1",)], "id string")))
 
@@ -267,7 +272,18 @@ def portable_path(spark, d):
     return star.table(spark, d, "pages").select("page_id", X.portable_path(F.regexp_replace("url", "^https?://[^/]*/?", "")).alias("portable"))
 
 
-@query()
+def unsafe_sql(column: str) -> str:
+    """SQL of unsafe_text. DuckDB's patterns look at nothing before or behind a match, so what must not stand there is matched; web addresses lose their colon before."""
+    plain = f"regexp_replace({column}, '(?i)(https?):/', '\\1/', 'g')"
+    tests = []
+    for p in ABSOLUTE_PATHS:
+        p = p.replace("(?<!http:)(?<!https:)", "").replace(r"(?!\\)(?=\S)", r"[^\\\s]")
+        p = re.sub(r"\(\?<!\[((?:\\.|[^\]])*)\]\)", lambda m: f"(^|[^{m[1]}])", p)
+        tests.append(f"regexp_matches({plain}, '{re.sub(r'[(][?]=(.*)[)]$', lambda m: m[1], in_java(p))}')")
+    return f"(regexp_matches({column}, '[\\p{{Cc}}\\p{{Cf}}]') OR " + " OR ".join(tests) + ")"
+
+
+@query(f"SELECT doc_id, coalesce({unsafe_sql('text')}, false) AS unsafe FROM documents")
 def unsafe_text(spark, d):
     return star.table(spark, d, "documents").select("doc_id", X.unsafe_text(F.col("text")).alias("unsafe"))
 
@@ -286,7 +302,11 @@ def greedy_batches(spark, d):
     return enrich.greedy_batches(enrich.first_candidates(star.table(spark, d, "documents"), "source", "doc_id"), "source", "doc_id", "n_chars")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT source, doc_id, k, 0 AS batch, 1 AS n, n_chars AS bytes FROM f WHERE k = 1
+ UNION ALL SELECT f.source, f.doc_id, f.k, r.batch + CASE WHEN r.n >= 20 OR r.bytes + f.n_chars > 16384 THEN 1 ELSE 0 END, CASE WHEN r.n >= 20 OR r.bytes + f.n_chars > 16384 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 20 OR r.bytes + f.n_chars > 16384 THEN f.n_chars ELSE r.bytes + f.n_chars END
+ FROM r JOIN f ON f.source IS NOT DISTINCT FROM r.source AND f.k = r.k + 1)
+SELECT source, doc_id, batch FROM r""")
 def greedy_batches_all(spark, d):
     return enrich.greedy_batches(star.table(spark, d, "documents"), "source", "doc_id", "n_chars")
 
@@ -309,7 +329,7 @@ def quality_metrics(spark, d):
 @query("""WITH m AS (SELECT source || '/' || doc_id AS path, sha256(text) AS sha256 FROM documents), i AS (SELECT substr(sha256(path), 1, 2) AS g, sha256(path || ':' || sha256) AS i FROM m), x AS (SELECT g, sha256(string_agg(i, '' ORDER BY i)) AS d, count(*) AS n FROM i GROUP BY g)
 SELECT sha256(string_agg(g || d, '' ORDER BY g || d)) AS fingerprint, CAST(sum(n) AS BIGINT) AS files FROM x""")
 def manifest_digest(spark, d):
-    return snapshots.fingerprint(star.table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256")))
+    return snapshots.fingerprint_flat(star.table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256")))
 
 
 @query(f"""WITH {EDGES} SELECT DISTINCT '<urn:node:' || replace(source, ':', '%3A') || '> <urn:graph:' || CASE type WHEN 'DECLARES' THEN 'Declares' WHEN 'CALLS' THEN 'Calls' WHEN 'INJECTS' THEN 'Injects' ELSE 'ReadsPolicyLeaf' END || '> <urn:node:' || replace(target, ':', '%3A') || '> .' AS line FROM edges""")

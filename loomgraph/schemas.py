@@ -67,3 +67,12 @@ SENSITIVE_SUFFIXES = [".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".kdb
 SENSITIVE_STEMS = ["api_key", "access_token", "auth_token", "credential", "credentials", "id_ed25519", "id_rsa", "key", "private_key", "secret", "secrets", "token"]
 SENSITIVE_ENDS = ["_token", "_secret", "_key", "_credentials"]
 SENSITIVE_PARTS = ["credential", "secret"]
+
+# Patterns of absolute paths inside a text: from the root, on a drive, of a share, from a drive's root, and file addresses.
+ABSOLUTE_PATHS = [
+    r"(?i)(?<!http:)(?<!https:)(?<![\w./\\-])/{1,2}(?=[^\s/])",
+    r"(?<![\w.])[A-Za-z]:[\\/](?=\S)",
+    r"(?<![\w.\\])\\\\(?=[^\\\s]+\\)",
+    r"(?<![\w.\\])\\(?!\\)(?=\S)",
+    r"(?i)(?<![\w])file:(?:/{2,}|\\{2,})(?=\S)",
+]
