@@ -26,7 +26,6 @@ read, so their names can't clash.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Memo, numbered, slices, stage, texts, unstage
+from loomgraph.llm.common import Memo, bucketed, numbered, slices, stage, texts, unstage
 
 CLASSES = 24
 #: A round that gains less (log10 of the likelihood per training token) is the last.
@@ -453,10 +452,13 @@ def brown_scores(spark: SparkSession, docs: DataFrame, classes: int = CLASSES, t
     if not 2 <= classes <= 127:
         raise ValueError("class and context numbers are bytes: classes must be from 2 to 127")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"brown_blocks_{uuid.uuid4().hex}"
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make_blocks, BLOCKS)
-    made.write.format("parquet").bucketBy(ranges, "block").sortBy("block").saveAsTable(name)
-    blocks = spark.table(name)
+    with bucketed(spark, made, ranges, "block", "brown_blocks", "snappy") as blocks:
+        return scores_of(spark, blocks, ranges, classes, tolerance, log)
+
+
+def scores_of(spark: SparkSession, blocks: DataFrame, ranges: int, classes: int, tolerance: float, log) -> DataFrame:
+    """The scores of the documents in these blocks, written."""
     fields = blocks.select("block", "lengths", "held", "tokens")
     words = blocks.select("block", "words", "counts").mapInArrow(to_ranges(ranges), ROWS)
     vocabulary = stage(spark, streamed(words, ranges, Vocabulary), "brown-words")
@@ -503,7 +505,6 @@ def brown_scores(spark: SparkSession, docs: DataFrame, classes: int = CLASSES, t
     out = stage(spark, out, "brown-scores")
     for x in (news, state, vocabulary, places, facts):
         unstage(spark, x)
-    spark.sql(f"DROP TABLE {name}")
     return out
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,45 +11,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.tables import create, remove, shared_dir, stage, tidy, unstage  # noqa: F401
+
 #: The white space of every contract: the six ASCII white-space characters. bytes.split() splits at exactly these.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that all executors see. Only a local master may do without that setting; it gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.fullmatch(r"local(\[.*\])?", master):
-        raise ValueError(f"spark.checkpoint.dir is not set: on {master}, intermediate tables need a folder that all executors see")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="loomgraph-"))
-    return f"file://{_own_dir[0]}"
-
 
 @contextlib.contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside are removed when the write is done, since the written table takes the place of its lineage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def bucketed(spark: SparkSession, rows: DataFrame, buckets: int, column: str, name: str, codec: str = "zstd") -> Iterator[DataFrame]:
+    """The rows as a table bucketed and sorted by a column, in the shared folder; table and files go at the end, also where what is done with it fails."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
     try:
-        yield
+        with tidy(spark):
+            rows.write.format("parquet").option("compression", codec).option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+        yield spark.table(table)
     finally:
-        spark.conf.set(key, before)
-
-
-def stage(spark: SparkSession, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
-    """Write a table into the shared folder and read it back: the lineage ends there, so lost executors cost no recomputation of earlier steps."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with tidy(spark):
-        (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,15 +96,3 @@ class Memo(dict):
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in any store that Spark writes to."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def unstage(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(spark, path)

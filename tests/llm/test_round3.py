@@ -257,3 +257,65 @@ def test_given_texts_hold_no_disguise(spark):
 @pytest.mark.parametrize("query", [op11_periodic_runs, op12_importance_resampling, op13_private_data])
 def test_empty_tables(spark, tmp_path, query):
     assert query(spark, folder(spark, tmp_path, [], ())).count() == 0
+
+
+# substring dedup
+
+
+def test_many_pairs_equal_one_by_one():
+    """Pairs verified at once, with shifts, gaps, repeated shingles, nothing in common and empty sides."""
+    from loomgraph.llm.substring_dedup import confirm, confirm_many
+
+    rng = np.random.default_rng(3)
+    pairs = [(np.empty(0, np.uint64), np.arange(60, dtype=np.uint64))]
+    for _ in range(1500):
+        n, kinds = int(rng.integers(0, 300)), int(rng.choice([20, 1 << 39]))
+        a = rng.integers(0, kinds, n).astype(np.uint64)
+        b = a.copy()
+        for _ in range(int(rng.integers(0, 6))):
+            if len(b) > 5:
+                k, m = int(rng.integers(0, len(b))), int(rng.integers(1, 40))
+                new = rng.integers(0, 1 << 39, m).astype(np.uint64)
+                b = np.concatenate([b[:k], *([new] if rng.random() < 0.7 else []), b[k + (m if rng.random() < 0.7 else 0) :]])
+        pairs.append((a, b))
+    want = [confirm(a, b) for a, b in pairs]
+    assert confirm_many(pairs) == want and sum(map(len, want)) > 100 and confirm_many([]) == []
+
+
+def test_word_hashes_equal_words(monkeypatch):
+    from loomgraph.llm import substring_dedup
+
+    some = [b"", b" \t", b"One two\x0bTHREE four\nfive six", b"one two three four five", "é \xa0ß x y z five".encode(), b"a" * 5000, b"one two three four five"]
+    whole = substring_dedup.sequences(some)
+    monkeypatch.setattr(substring_dedup, "PIECE", 16)  # cut into pieces, never inside a word
+    cut = substring_dedup.sequences(some)
+    assert all((a == b).all() for a, b in zip(whole, cut))
+    hashes, begins, ends = whole
+    first = [hashes[b] if e > b else None for b, e in zip(begins, ends)]
+    assert first[2] == first[3] == first[6] is not None and first[4] not in (None, first[2]) and first[0] is first[1] is first[5] is None
+    words = [w for x in some for w in x.lower().split()]
+    flat = np.concatenate([substring_dedup.word_hashes(x.lower())[0] for x in some])
+    assert len({*zip(words, flat.tolist())}) == len(set(words)) == len(set(flat.tolist()))
+
+
+def test_near_passages_beside_frequent_ones(spark):
+    """Passages half of which are boilerplate that 60 other texts have as well, so that their signatures have many surroundings: all pairs at 0.84 and above are found, clean texts are not linked."""
+    from loomgraph.llm.substring_dedup import substring_duplicates
+
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    boiler = [word() for _ in range(45)]
+    rows = [(k, " ".join([word() for _ in range(80)] + boiler + [word() for _ in range(80)])) for k in range(60)]
+    pairs = []
+    for k in range(30):
+        passage = boiler[:30] + [word() for _ in range(60)]
+        other = passage[:]
+        other[60] = word()  # five shingles differ of 86
+        a, b = 1000 + 2 * k, 1001 + 2 * k
+        rows += [(d, " ".join([word() for _ in range(70)] + p + [word() for _ in range(70)])) for d, p in ((a, passage), (b, other))]
+        pairs.append((a, b))
+    rows += [(5000 + k, " ".join(word() for _ in range(200))) for k in range(20)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in substring_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()}
+    assert all(got[a].class_id == got[b].class_id == a for a, b in pairs)
+    assert all(got[d].n_links == 0 and got[d].class_id == d for d, _ in rows if d >= 5000)
