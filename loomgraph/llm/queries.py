@@ -36,7 +36,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(spark, documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.dedup_in_batches(spark, documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

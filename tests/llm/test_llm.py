@@ -71,14 +71,28 @@ def test_index_persists(spark, docs, tmp_path):
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
     first = exact_dedup.exact_dedup(spark, docs.filter("doc_id < 5"), index, "one").collect()
     known = {r.text_sha256 for r in first}
-    for _ in range(2):  # a batch that is repeated adds nothing and decides alike
-        second = exact_dedup.exact_dedup(spark, docs, index, "two").collect()
+    for k in range(2):  # a batch that is repeated adds nothing and decides alike
+        second = exact_dedup.exact_dedup(spark, docs, index, "two", retry=k > 0).collect()
         assert all(r.known == (r.text_sha256 in known) and not (r.known and r.kept) for r in second)
         assert index.rows().count() == len({r.text_sha256 for r in second})
         assert sum(r.kept for r in second) == len({r.text_sha256 for r in second} - known)
+    # other rows under a name that is taken are no retry, and a batch without a name goes into no index
+    for name in ("two", None):
+        with pytest.raises(ValueError, match="batch"):
+            exact_dedup.keep_first_copies(spark, docs, index, name)
+    assert exact_dedup.keep_first_copies(spark, docs, index, "three").count() == 0
     index.drop()
 
 
+def test_batches_decide_as_one(spark, docs, empty):
+    """Copies in several batches, the better one before or behind: as all rows at once."""
+    whole = sorted(map(str, exact_dedup.exact_dedup(spark, docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()))
+    for n in (1, 2, 5):
+        got = exact_dedup.dedup_in_batches(spark, docs, n).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+        assert sorted(map(str, got)) == whole
+    assert exact_dedup.dedup_in_batches(spark, empty).count() == 0
+
+
 SESSION = """
 import sys
 from pyspark.sql import SparkSession
