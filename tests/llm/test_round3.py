@@ -319,3 +319,104 @@ def test_near_passages_beside_frequent_ones(spark):
     got = {r.doc_id: r for r in substring_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()}
     assert all(got[a].class_id == got[b].class_id == a for a, b in pairs)
     assert all(got[d].n_links == 0 and got[d].class_id == d for d, _ in rows if d >= 5000)
+
+
+# quality rules and LM scores, whole tables against a plain recount
+
+
+def kept_by_definition(text):
+    import zstandard
+
+    size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x))
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else {g for g, n in __import__("collections").Counter(grams).items() if n > 1}
+    inside = {i + k for i, g in enumerate(grams) if g in twice for k in range(3)}
+    if len(words) < 50 or 100 * len(inside) > 50 * len(words):
+        return False
+    limits = {0: (0.90, 3.0), 512: (1.15, 3.2), 2048: (1.35, 3.5), 8192: (1.5, 3.8), 32768: (1.55, 4.2)}
+    low, high = limits[max(k for k in limits if len(raw) >= k)]
+    if not low <= len(raw) / size(raw) <= high:
+        return False
+    if len(raw) <= 4096:
+        return True
+    places = list(range(0, len(raw) - 4096, 4096)) + [len(raw) - 4096]
+    odd = sum(not 1.25 <= 4096 / size(raw[i : i + 4096]) <= 4.0 for i in places)
+    return odd <= 0.25 * len(places)
+
+
+def test_all_quality_verdicts_equal_a_recount(spark):
+    from loomgraph.llm.quality_rules import quality_rules
+
+    rng = random.Random(8)
+    prose = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    junk = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") + (" " if rng.random() < 0.1 else "") for _ in range(n))
+    words = " ".join(prose).split()
+    made = [" ".join(rng.choice(words) for _ in range(rng.choice([60, 400, 1500, 6000]))) for _ in range(40)]
+    made += [a[: rng.randrange(8000)] + " " + junk(rng.choice([300, 4000, 9000])) for a in made[:25]] + [junk(6000), "same line here\n" * 900 + made[0], "", None]
+    rows = list(enumerate(prose + made))
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    want = {d: kept_by_definition(t) for d, t in rows}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_lm_scores_equal_a_plain_sum(spark, tmp_path, monkeypatch):
+    """The classes that the clustering ended with are taken from its tasks; transitions, counts and every token's probability are counted again from the texts."""
+    import pickle
+    from collections import Counter
+
+    from loomgraph.llm import brown
+
+    seen = str(tmp_path / "seen")
+    tmp_path.joinpath("seen").mkdir()
+    original, given = brown.score, []
+
+    def spy(matrix, n, v, once):
+        given.append(matrix)
+        run = original(matrix, n, v, once)
+
+        def also(blocks, news):
+            for block in blocks.to_pylist():
+                lengths, cls, _ = brown.unpack(block, news.to_pylist())
+                with open(f"{seen}/{block['block']}", "wb") as f:
+                    pickle.dump((block["doc_ids"], lengths.tolist(), np.frombuffer(block["tokens"], "<i4").tolist(), np.asarray(cls).tolist()), f)
+            return run(blocks, news)
+
+        return also
+
+    monkeypatch.setattr(brown, "score", spy)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = {r.doc_id: r.score for r in brown.brown_scores(spark, docs, classes=7).collect()}
+    text = {r.doc_id: r.text.encode().lower().split() + [None] for r in docs.collect()}
+    cls = {}
+    for f in (tmp_path / "seen").iterdir():
+        ids, lengths, tokens, classes = pickle.loads(f.read_bytes())
+        at = 0
+        for d, n in zip(ids, lengths):
+            assert n == len(text[d])
+            for w, t in zip(text[d], tokens[at : at + n]):
+                assert cls.setdefault(w, classes[t]) == classes[t] or brown.held_out(d)
+            at += n
+    train = {d: w for d, w in text.items() if not brown.held_out(d)}
+    count = Counter(w for ws in train.values() for w in ws)
+    pairs = Counter((cls[a], cls[b]) for ws in train.values() for a, b in zip([None, *ws], ws))
+    matrix = np.zeros((7, 7))
+    for (a, b), k in pairs.items():
+        matrix[a, b] = k
+    assert (given[0] == matrix).all()
+    n, v = sum(count.values()), len(count)
+    in_class = Counter()
+    for w, k in count.items():
+        in_class[cls[w]] += k
+    miss = min(max(sum(k == 1 for k in count.values()) / n, 1 / (n + v + 1)), 0.5)
+    for d, ws in text.items():
+        total = 0.0
+        for a, b in zip([None, *ws], ws):
+            if not count[b]:
+                total += math.log10(miss)
+                continue
+            share = in_class[cls[b]] / n
+            step = (pairs[cls[a], cls[b]] + brown.SMOOTH * share) / (sum(pairs[cls[a], k] for k in range(7)) + brown.SMOOTH) if count[a] else share
+            total += math.log10((1 - miss) * (brown.MIX * step * count[b] / in_class[cls[b]] + (1 - brown.MIX) * count[b] / n))
+        assert math.isclose(total, got[d], rel_tol=1e-9), d
