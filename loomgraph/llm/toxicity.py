@@ -34,9 +34,9 @@ DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 16
 EPOCHS = 40  # at most
-PATIENCE = 3
+PATIENCE = 4
 #: A fall of the loss by less than this counts as none.
-FALL = 1e-3
+FALL = 1e-4
 #: An epoch sees at least so many texts, if need be some more than once.
 EPOCH_TEXTS = 2048
 BATCH = 128
@@ -48,7 +48,7 @@ CALIBRATE = 4
 FEWEST_TOXIC = 15
 GRAM = 4
 PAD = 0  # the index of the word that pads texts; its embedding is zero
-BLOCK = 1 << 15
+BLOCK = 1 << 12
 MOST_WORDS = 400_000
 
 #: Function words by which a text's language is guessed.
@@ -130,16 +130,20 @@ class Cnn:
         """Each filter's maximum over each text, block by block."""
         n = len(begins) - 1
         pooled = np.full((n, len(self.out)), -np.inf, self.table.dtype)
+        # all widths and shifts in one product; a shift of a filter is added one place further
+        whole = np.concatenate([step for f in self.filters for step in f], 1)
         for a in range(0, len(ids), BLOCK):
             b = min(a + BLOCK, len(ids))
-            x = embeddings[ids[a : min(b + max(WIDTHS) - 1, len(ids))]]
+            z = embeddings[ids[a : min(b + max(WIDTHS) - 1, len(ids))]] @ whole
             first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b, "left")
             at = np.maximum(begins[first:last], a) - a
+            column = 0
             for k, f in enumerate(self.filters):
-                y = x[: b - a] @ f[0]
+                y = z[: b - a, column : column + FILTERS]
                 for s in range(1, len(f)):
-                    more = x[s : b - a + s] @ f[s]
+                    more = z[s : b - a + s, column + s * FILTERS : column + (s + 1) * FILTERS]
                     y[: len(more)] += more
+                column += len(f) * FILTERS
                 part = pooled[first:last, k * FILTERS : (k + 1) * FILTERS]
                 np.maximum(part, np.maximum.reduceat(y, at, 0), out=part)
         return pooled
