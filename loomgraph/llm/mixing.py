@@ -7,7 +7,7 @@ below the fraction. The draw depends on doc_id alone, so reruns and retried task
 Defined results: null text has size 0; the null source is a source of its own, ordered last; a null doc_id draws as
 the text "null"; repeated rows draw alike. A source of size 0 has target 0. Sources with equal cap per weight are capped in the order of
 their names. An empty table gives an empty result. Other columns of docs are not read by mix; repeat_to_mix returns them unchanged,
-whatever their names. Targets are found in one task, on one row per source: that suits up to some millions of sources.
+whatever their names. Long texts are counted whole, in the JVM. Targets are found in one task, on one row per source: that suits up to some millions of sources.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ clean). Documents of grade 1 and above are selected; the ordered thresholds give
 
 Defined results: null counts as empty, which has z = 0; rows whose quality is null are not learned from; of several
 labels of a document all count. With no labelled rows every text has the expected grade 0 and is selected. Fitting is
-deterministic; rows of equal CRC-32 are taken by id. A tail probability equal to SELECT_TAIL selects. Repeated rows score alike; an empty table
+deterministic; rows of equal CRC-32 are taken by id. A tail probability equal to SELECT_TAIL selects. Long texts are hashed and scored whole. Repeated rows score alike; an empty table
 gives an empty result. Other columns of docs are not read by classify; keep_selected returns them unchanged, whatever their names.
 """
 

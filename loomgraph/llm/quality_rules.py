@@ -6,7 +6,7 @@ words, symbols, lines and repeated windows are counted beside it. Every row is j
 
 Defined results: null counts as an empty text, which fails the base rules; repeated rows are judged alike; an empty
 table gives an empty result. The last chunk ends at the text's end and may overlap the one before it, so every byte is in one. A ratio
-equal to a limit is inside the band. Other columns are not read, so their names can't clash.
+equal to a limit is inside the band. Long texts are compressed and counted whole, chunk by chunk. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ can be cut.
 
 Defined results: null counts as empty; a text without tokens has a tree without leaves. Edits are byte spans [start, end) of
 the original text, at boundaries of characters, with a replacement; they are applied as if at once; overlapping ones are refused; insertions at one place keep the order in
-which they are given. Repeated rows have trees of their own. An empty table gives an empty result. Other columns are not read, so their names
+which they are given. A long text is one tree, whole. Repeated rows have trees of their own. An empty table gives an empty result. Other columns are not read, so their names
 can't clash.
 """
 
