@@ -4,7 +4,7 @@ Each stage is one of the operators of loomgraph.llm, applied to all that the sta
 Parquet to the shared folder and read again, so a lost executor costs no more than its tasks of the current stage.
 
 Defined results: null texts count as empty; an empty table passes through all stages; repeated rows are copies (stage 2 keeps
-one); extra columns pass through unchanged, whatever their names, up to the last stage, which replaces columns named ids and decoded.
+one); of equal texts and of linked fingerprints the ties go as in the operators, and repeated rows draw alike in the mix; long texts pass whole; extra columns pass through unchanged, whatever their names, up to the last stage, which replaces columns named ids and decoded.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, exact_dedup, mixing, quality_classifier, simhash
-from loomgraph.llm.common import documents, stage, unstage
+from loomgraph.llm.common import documents, stage
 from loomgraph.llm.queries import labels, vocabulary
+from loomgraph.tables import unstage_read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, apply) in enumerate(STAGES):
-        before, docs = docs, stage(spark, apply(spark, docs, sf_dir), f"pipeline-{k}")
-        if k:
-            unstage(spark, before)
+        made = apply(spark, docs, sf_dir)
+        docs = stage(spark, made, f"pipeline-{k}")
+        unstage_read(spark, made)  # the table of the stage before, and what this one kept of its rows
     return docs

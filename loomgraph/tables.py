@@ -59,6 +59,14 @@ def unstage(spark: SparkSession, df: DataFrame) -> None:
         remove(spark, path)
 
 
+def unstage_read(spark: SparkSession, df: DataFrame) -> None:
+    """Delete all staged tables that a result is read from, once it is written elsewhere; files outside the shared folder stay."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath().rstrip("/") + "/"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().startswith(own):
+            remove(spark, path)
+
+
 def create(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file if there is none at that path, and say whether this call has made it. It is written under a hidden name and then given the path, which never replaces
     a file, so of several writers one gets the path and nobody sees half a file. On the driver's own disks that is a hard link; elsewhere a rename, so the store must refuse
