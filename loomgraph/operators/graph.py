@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import flattened, search_text
 from loomgraph.operators.nesting import chains
-from loomgraph.schemas import LENSES, MOST_AMBIGUOUS, MOST_IMPACT, MOST_RESOLVED, MOST_SEARCH, PREFERRED, STRUCTURAL, TYPE_PRIORITY
+from loomgraph.schemas import LENSES, MOST_AMBIGUOUS, MOST_IMPACT, MOST_RESOLVED, MOST_SEARCH, MOST_SYMBOLS, PREFERRED, STRUCTURAL, TYPE_PRIORITY
 from loomgraph.tables import remove, tidy
 
 ADJACENT = "node string, next string, type string, direction string"
@@ -78,7 +78,9 @@ def adjacency(edges: DataFrame, directions: tuple[str, ...] = ("outgoing", "inco
 def resolve(nodes: DataFrame, symbols: list[str], text: Column) -> DataFrame:
     """symbol, status (ok, ambiguous, not_found), id, name, qualified_name, position. A symbol stands for the nodes that it names exactly (id, qualified name or name), else for
     those whose text holds it; only the first MOST_RESOLVED matches by name and id are looked at, and at most MOST_AMBIGUOUS candidates are given.
-    symbols is a short list, so the nodes are read once and only matches are sorted."""
+    symbols are at most MOST_SYMBOLS, so the nodes are read once and only matches are sorted."""
+    if len(symbols) > MOST_SYMBOLS:
+        raise ValueError(f"at most {MOST_SYMBOLS} symbols are resolved at once")
     spark = nodes.sparkSession
     wanted = spark.createDataFrame([(s,) for s in symbols], "symbol string")
     needle = F.lower("symbol")

@@ -66,13 +66,6 @@ def spread(scopes: DataFrame, begin: Column, end: Column, bucket: Callable[[Colu
     return scopes.withColumn(name, F.explode(F.sequence(bucket(begin), F.greatest(bucket(begin), bucket(end)))))
 
 
-def innermost(positions: DataFrame, scopes: DataFrame, key: str, at: Column, begin: Column, end: Column, scope: str, carry: str, bucket: Callable[[Column], Column] = lambda x: F.lit(0)) -> DataFrame:
-    """For each position the scope of its key that strictly contains it and begins last. bucket gives a place's bucket (it must not fall where places rise): a position
-    meets the scopes of its own bucket only, so a key with many rows is no square."""
-    hit = positions.withColumn("bucket", bucket(at)).join(spread(scopes, begin, end, bucket), [key, "bucket"]).filter((begin < at) & (at < end))
-    return hit.groupBy(carry).agg(F.max_by(scope, F.struct(begin, F.col(scope))).alias("scope"))
-
-
 def outside(positions: DataFrame, spans: DataFrame, key: str, at: Column, begin: Column, end: Column, bucket: Callable[[Column], Column] = lambda x: F.lit(0)) -> DataFrame:
     """Positions that lie strictly inside no span of their key, bucket by bucket."""
     own = spread(spans, begin, end, bucket, "span_bucket").withColumnRenamed(key, "span_key")

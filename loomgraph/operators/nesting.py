@@ -51,6 +51,34 @@ def nested(spark: SparkSession, intervals: DataFrame, key: str, ident: str, begi
     return segmented(spark, rows, key, ["__b", "__l", ident], [ident, "__e"], _open, _behind, _parents, f"{ident} {kind}, parent {kind}, depth int", start=[], bits=bits)
 
 
+def _scopes_open(rows: list[tuple]) -> list:
+    """As _open, of rows (ident, end) that begin scopes; positions, whose end is null, open nothing."""
+    return _open([r for r in rows if r[1] is not None])
+
+
+def _innermost(stack: list, rows: list[tuple]) -> Iterator[tuple]:
+    stack = [tuple(x) for x in stack]
+    for ident, end, at in rows:
+        if end is None:
+            while stack and stack[-1][1] <= at:
+                stack.pop()
+            if stack:
+                yield ident, stack[-1][0]
+        else:
+            _push(stack, ident, end)
+
+
+def innermost(spark: SparkSession, positions: DataFrame, scopes: DataFrame, key: str, carry: str, at: Column, scope: str, begin: Column, end: Column, bits: int = SEGMENT_BITS) -> DataFrame:
+    """key, carry, scope: for each position the scope of its key that strictly contains it (begin < at < end) and begins last (of those that begin at once, the last by ident that contains it); positions in no scope
+    are left out. One sweep over positions and scopes together, with a stack of the scopes that can still contain something, so a key with many of both is no square. Places are longs; carry and scope have one type."""
+    kind = scopes.schema[scope].dataType.simpleString()
+    p = positions.select(F.col(key), at.cast("long").alias("__at"), F.lit(0).alias("__tag"), F.col(carry).cast(kind).alias("__id"), F.lit(None).cast("long").alias("__end")).filter("__at is not null")
+    s = scopes.select(F.col(key), begin.cast("long").alias("__at"), F.lit(1).alias("__tag"), F.col(scope).alias("__id"), end.cast("long").alias("__end")).filter("__at is not null and __end is not null")
+    # at one place positions come before scopes that begin there, as those don't contain them; scopes come by ident
+    found = segmented(spark, p.unionByName(s), key, ["__at", "__tag", "__id"], ["__id", "__end", "__at"], lambda rows: _scopes_open([(i, e) for i, e, _ in rows]), _behind, _innermost, f"{carry} {kind}, scope {kind}", start=[], bits=bits)
+    return found
+
+
 # brackets
 
 

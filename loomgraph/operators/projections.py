@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import api_path, bounded_text, clamp, percent_encode, portable_path, predicate_name, rule_id, turtle_literal
-from loomgraph.schemas import BASES, MOST_EVIDENCE, MOST_LIMITATIONS, MOST_PATH, NOT_OBSERVED, RUNTIME_STATUSES
+from loomgraph.functions.text import api_path, bounded_number, bounded_text, clamp, percent_encode, portable_path, predicate_name, rule_id, turtle_literal
+from loomgraph.schemas import BASES, CAPABILITIES, EDGE_RULES, MOST_EVIDENCE, MOST_LIMITATIONS, MOST_PATH, MOST_UNSUPPORTED, NOT_OBSERVED, RUNTIME_SENSITIVE, RUNTIME_STATUSES, SUPPORT
 
 MOST_LINE = 10_000_000
 LANGUAGES = ["Java", "Python"]
@@ -178,3 +178,67 @@ def evaluate_case(found: DataFrame, required: DataFrame, forbidden: DataFrame, k
     parts = [mark(found, "f"), mark(required, "r"), mark(forbidden, "x")]
     tagged = parts[0].unionByName(parts[1], True).unionByName(parts[2], True).groupBy(*keys).agg(*[F.max(c).isNotNull().alias(c) for c in "frx"])
     return tagged.agg(F.count_if(F.col("r") & F.col("f")).alias("tp"), F.count_if(F.col("x") & F.col("f")).alias("fp"), F.count_if(F.col("r") & ~F.col("f")).alias("fn"))
+
+
+def with_rules(edges: DataFrame) -> DataFrame:
+    """Edges (type, rule_id, basis, runtime_status; each may be null) with what the rule catalogue says where they say nothing. The catalogue is a table of a row for each relation, at most as many as
+    there are relations, so it is sent to all tasks. Relations that it doesn't hold get the rule core.<type> and direct syntax; the status depends on whether the relation is sensitive to run time."""
+    catalogue = edges.sparkSession.createDataFrame([(t, r, b, t in RUNTIME_SENSITIVE) for t, (r, b) in EDGE_RULES.items()], "type string, __rule string, __basis string, __sensitive boolean")
+    joined = edges.join(F.broadcast(catalogue), "type", "left")
+    said = {
+        "rule_id": F.coalesce(F.nullif("rule_id", F.lit("")), "__rule", F.concat(F.lit("core."), F.lower("type"))), "basis": F.coalesce(F.nullif("basis", F.lit("")), "__basis", F.lit("direct_syntax")),
+        "runtime_status": F.coalesce(F.nullif("runtime_status", F.lit("")), F.when(F.coalesce("__sensitive", F.lit(False)), "runtime_unknown").otherwise("not_applicable")),
+    }
+    return joined.withColumns(said).select(*edges.columns)
+
+
+def api_adapters(adapters: DataFrame) -> DataFrame:
+    """Adapters (language, status, detected, capabilities as a map, unsupported_runtime as a list) as the API gives them: the known languages with a known status, known capabilities with a
+    known status, and the well-formed of the first MOST_UNSUPPORTED things that they don't support. An adapter that says nothing of detected was not detected."""
+    status = bounded_text(F.col("status"), 30)
+    known = F.map_filter("capabilities", lambda k, v: k.isin(CAPABILITIES) & F.coalesce(bounded_text(v, 30).isin(SUPPORT), F.lit(False)))
+    odd = F.filter(F.transform(F.slice("unsupported_runtime", 1, MOST_UNSUPPORTED), lambda x: bounded_text(x, 80)), lambda x: rule_id(x))
+    none = F.create_map().cast("map<string,string>")
+    own = [c for c in adapters.columns if c not in ("language", "status", "detected", "capabilities", "unsupported_runtime")]
+    return adapters.filter(F.col("language").isin(LANGUAGES)).select(
+        *own, "language", status.alias("status"), F.coalesce("detected", F.lit(False)).alias("detected"), F.coalesce(known, none).alias("capabilities"), F.coalesce(odd, F.array().cast("array<string>")).alias("unsupportedRuntime"),
+    ).filter(F.col("status").isin(SUPPORT))
+
+
+def api_quality(raw: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Quality reports as the API gives them. Fields may come in either spelling (contractVersion before contract_version, totalEdges before relationship_evidence.total_edges, and so on); counts lie between 0 and most
+    and those of edges never above the total, the share between 0 and 100; a report that says nothing of its contract is a legacy one."""
+    has = lambda c: F.col(c) if c in raw.columns else F.lit(None)
+    nested = lambda c: F.col(f"relationship_evidence.{c}") if "relationship_evidence" in raw.columns else F.lit(None)
+    count = lambda camel, snake: clamp(F.coalesce(has(camel), nested(snake)).cast("bigint"), most)
+    contract = F.coalesce(has("contractVersion"), has("contract_version")).cast("string")
+    status = F.when(has("status").isin("documented", "legacy_unknown"), has("status")).when(contract.isNotNull(), "documented").otherwise("legacy_unknown")
+    total = count("totalEdges", "total_edges")
+    own = [c for c in raw.columns if c not in ("contractVersion", "contract_version", "status", "totalEdges", "documentedEdges", "missingEvidence", "coveragePercent", "relationship_evidence")]
+    return raw.select(
+        *own, status.alias("status"), F.coalesce(bounded_text(contract, 50), F.when(status == "legacy_unknown", "legacy_unknown").otherwise("unknown")).alias("contractVersion"), total.alias("totalEdges"),
+        F.least(count("documentedEdges", "documented_edges"), total).alias("documentedEdges"), F.least(count("missingEvidence", "missing_evidence"), total).alias("missingEvidence"),
+        bounded_number(F.coalesce(has("coveragePercent"), nested("coverage_percent")).cast("double"), 100.0).alias("coveragePercent"),
+    )
+
+
+def quality_triples(quality: DataFrame, adapters: DataFrame, space: str = "urn:graph:") -> DataFrame:
+    """Lines of Turtle for reports (scope, contractVersion, documentedEdges, missingEvidence, coveragePercent) and for the adapters (scope, and the columns of api_adapters) that belong to them. A report is
+    named by the digest of its scope and numbers, an adapter by that and its language."""
+    digest = F.sha2(F.to_json(F.struct(F.col("scope").cast("string").alias("scope"), "contractVersion", "documentedEdges", "missingEvidence", "coveragePercent")), 256)
+    q = quality.withColumn("digest", digest)
+    iri = lambda kind, x: F.concat(F.lit(f"<{space}{kind}:"), x, F.lit(">"))
+    typed = lambda x, kind: F.concat(F.lit('"'), x.cast("string"), F.lit(f'"^^xsd:{kind}'))
+    line = lambda s, p, o: F.concat_ws(" ", s, F.lit(p), o, F.lit("."))
+    own = iri("quality", F.col("digest"))
+    about = [("a", F.lit(f"<{space}OntologyQuality>")), (f"<{space}contractVersion>", turtle_literal(F.col("contractVersion"))), (f"<{space}documentedEdges>", typed(F.col("documentedEdges"), "integer")), (f"<{space}missingEvidence>", typed(F.col("missingEvidence"), "integer")), (f"<{space}coveragePercent>", typed(F.col("coveragePercent"), "decimal"))]
+    reports = q.select(F.explode(F.array(*[line(own, p, o) for p, o in about])).alias("line"))
+    a = adapters.join(q.select("scope", "digest"), "scope")
+    adapter = iri("adapter-quality", F.concat("digest", F.lit(":"), percent_encode(F.col("language"))))
+    said = [("a", F.lit(f"<{space}AdapterQuality>")), (f"<{space}language>", turtle_literal(F.col("language"))), (f"<{space}supportStatus>", turtle_literal(F.col("status"))), (f"<{space}detected>", typed(F.col("detected"), "boolean"))]
+    names = F.array_sort(F.map_keys("capabilities"))
+    lines = F.concat(
+        F.array(*[line(adapter, p, o) for p, o in said]), F.transform(names, lambda k: line(adapter, f"<{space}capability>", turtle_literal(F.concat(k, F.lit("="), F.element_at("capabilities", k))))),
+        F.transform("unsupportedRuntime", lambda x: line(adapter, f"<{space}unsupportedRuntime>", turtle_literal(x))), F.array(line(own, f"<{space}hasAdapterQuality>", adapter)),
+    )
+    return reports.unionByName(a.select(F.explode(lines).alias("line"))).distinct()

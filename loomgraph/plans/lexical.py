@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import flow, folds, graph, merge, nesting
-from loomgraph.plans.registry import _levels, query
+from loomgraph.operators import flow, folds, graph, merge, nesting, projections
+from loomgraph.plans.registry import EDGES, _levels, query
+from loomgraph.schemas import EDGE_RULES, RUNTIME_SENSITIVE
 from loomgraph.sources import code, star
 from loomgraph.tables import shared_dir
 
@@ -184,3 +185,62 @@ def impact_stored(spark, d):
     found = graph.impact(spark, star.nodes(spark, d), stored, "nation:3", 2).drop("rank")
     stored.drop()  # the result holds its hops; a search service would keep the folder
     return found
+
+
+_RULES = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{r}', '{b}', {str(t in RUNTIME_SENSITIVE).lower()})" for t, (r, b) in EDGE_RULES.items()) + ") AS x(type, rule, base, sensitive))"
+
+
+@query(f"""WITH {EDGES}, {_RULES}, e AS (SELECT CASE WHEN type = 'CALLS' AND length(source) % 2 = 0 THEN 'NEW_KIND' ELSE type END AS type, CASE WHEN length(target) % 3 = 0 THEN 'own.rule' WHEN length(target) % 3 = 1 THEN '' END AS rule_id, CASE WHEN length(source) % 3 = 0 THEN 'name_heuristic' END AS basis FROM edges)
+SELECT e.type, coalesce(nullif(rule_id, ''), rule, 'core.' || lower(e.type)) AS rule_id, coalesce(basis, base, 'direct_syntax') AS basis, CASE WHEN sensitive THEN 'runtime_unknown' ELSE 'not_applicable' END AS runtime_status, count(*) AS n FROM e LEFT JOIN r ON r.type = e.type GROUP BY ALL""")
+def edge_rules(spark, d):
+    size = lambda c, k: F.char_length(c) % k
+    e = star.edges(spark, d).select(
+        F.when((F.col("type") == "CALLS") & (size("source", 2) == 0), "NEW_KIND").otherwise(F.col("type")).alias("type"), F.when(size("target", 3) == 0, "own.rule").when(size("target", 3) == 1, "").alias("rule_id"),
+        F.when(size("source", 3) == 0, "name_heuristic").alias("basis"), F.lit(None).cast("string").alias("runtime_status"),
+    )
+    return projections.with_rules(e).groupBy("type", "rule_id", "basis", "runtime_status").agg(F.count("*").alias("n"))
+
+
+_ADAPTERS = """a AS (SELECT p_partkey AS scope, ['Java', 'Python', 'Rust'][p_size % 3 + 1] AS language, ['supported', 'partial', 'odd', ' unsupported '][p_partkey % 4 + 1] AS status, CASE WHEN p_size % 2 = 0 THEN true END AS detected, p_size, p_partkey FROM part),
+g AS (SELECT scope, language, trim(status) AS status, coalesce(detected, false) AS detected, CASE WHEN p_size % 5 = 0 THEN [] WHEN p_partkey % 2 = 0 THEN ['calls=partial', 'imports=supported'] ELSE ['calls=partial'] END AS caps, CASE WHEN p_partkey % 7 = 0 THEN [] ELSE ['runtime.k' || (p_partkey % 9), 'java.proxy'] END AS odd FROM a WHERE language <> 'Rust' AND status <> 'odd')"""
+
+
+def _adapters(spark, d):
+    pick = lambda values, key, k: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % k + 1).cast("int"))
+    imports = F.when(F.col("p_partkey") % 2 == 0, "supported").otherwise("maybe")
+    caps = F.when(F.col("p_size") % 5 != 0, F.create_map(F.lit("imports"), imports, F.lit("calls"), F.lit("partial"), F.lit("telepathy"), F.lit("supported")))
+    odd = F.when(F.col("p_partkey") % 7 != 0, F.array(F.concat(F.lit("runtime.k"), F.col("p_partkey") % 9), F.lit("Bad Rule"), F.lit("java.proxy"), F.lit("/etc/passwd")))
+    return star.table(spark, d, "part").select(F.col("p_partkey").alias("scope"), pick(("Java", "Python", "Rust"), "p_size", 3).alias("language"), pick(("supported", "partial", "odd", " unsupported "), "p_partkey", 4).alias("status"), F.when(F.col("p_size") % 2 == 0, True).alias("detected"), caps.alias("capabilities"), odd.alias("unsupported_runtime"))
+
+
+@query(f"WITH {_ADAPTERS} SELECT scope, language, status, detected, array_to_string(caps, ',') AS capabilities, array_to_string(odd, ',') AS unsupported FROM g")
+def adapter_projection(spark, d):
+    caps = F.array_sort(F.transform(F.map_entries("capabilities"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return projections.api_adapters(_adapters(spark, d)).select("scope", "language", "status", "detected", F.array_join(caps, ",").alias("capabilities"), F.array_join("unsupportedRuntime", ",").alias("unsupported"))
+
+
+_REPORTS = """q AS (SELECT p_partkey AS scope, CASE WHEN p_size % 3 = 0 THEN '1.0' END AS c, CASE WHEN p_size % 4 = 0 THEN 'documented' WHEN p_size % 4 = 1 THEN 'odd' END AS s, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 7000 END AS t1, p_partkey * 3 AS t2, p_partkey * 5000 AS dd, p_size - 10 AS m, p_retailprice / 7 AS p FROM part),
+k AS (SELECT scope, CASE WHEN s = 'documented' OR c IS NOT NULL THEN 'documented' ELSE 'legacy_unknown' END AS status, c, CAST(least(greatest(coalesce(t1, t2), 0), 1000000) AS BIGINT) AS t, dd, m, p FROM q),
+z AS (SELECT scope, status, coalesce(c, CASE WHEN status = 'legacy_unknown' THEN 'legacy_unknown' ELSE 'unknown' END) AS contractVersion, t AS totalEdges, least(least(dd, 1000000), t) AS documentedEdges, CAST(least(greatest(m, 0), t) AS BIGINT) AS missingEvidence, round(least(greatest(p, 0), 100), 2) AS coveragePercent FROM k)"""
+
+
+def _reports(spark, d):
+    p = star.table(spark, d, "part")
+    legacy = F.struct((F.col("p_partkey") * 3).alias("total_edges"), (F.col("p_partkey") * 5000).alias("documented_edges"), (F.col("p_size") - 10).cast("bigint").alias("missing_evidence"), (F.col("p_retailprice") / 7).alias("coverage_percent"))
+    raw = p.select(F.col("p_partkey").alias("scope"), F.when(F.col("p_size") % 3 == 0, "1.0").alias("contract_version"), F.when(F.col("p_size") % 4 == 0, "documented").when(F.col("p_size") % 4 == 1, "odd").alias("status"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") * 7000).alias("totalEdges"), legacy.alias("relationship_evidence"))
+    return projections.api_quality(raw)
+
+
+@query(f"WITH {_REPORTS} SELECT * FROM z")
+def quality_projection(spark, d):
+    return _reports(spark, d)
+
+
+@query(f"""WITH {_REPORTS}, {_ADAPTERS}, n AS (SELECT scope, '<urn:graph:quality:' || sha256('{{"scope":"' || scope || '","contractVersion":"' || contractVersion || '","documentedEdges":' || documentedEdges || ',"missingEvidence":' || missingEvidence || ',"coveragePercent":' || coveragePercent || '}}') AS i, contractVersion AS c, documentedEdges AS dd, missingEvidence AS m, coveragePercent AS p FROM z),
+b AS (SELECT g.*, i || '>' AS q, replace(i, 'quality:', 'adapter-quality:') || ':' || language || '>' AS x FROM g JOIN n USING (scope)),
+l AS (SELECT i || '> a <urn:graph:OntologyQuality> .' AS line FROM n UNION ALL SELECT i || '> <urn:graph:contractVersion> "' || c || '" .' FROM n UNION ALL SELECT i || '> <urn:graph:documentedEdges> "' || dd || '"^^xsd:integer .' FROM n UNION ALL SELECT i || '> <urn:graph:missingEvidence> "' || m || '"^^xsd:integer .' FROM n
+ UNION ALL SELECT i || '> <urn:graph:coveragePercent> "' || p || '"^^xsd:decimal .' FROM n UNION ALL SELECT x || ' a <urn:graph:AdapterQuality> .' FROM b UNION ALL SELECT x || ' <urn:graph:language> "' || language || '" .' FROM b UNION ALL SELECT x || ' <urn:graph:supportStatus> "' || status || '" .' FROM b
+ UNION ALL SELECT x || ' <urn:graph:detected> "' || detected || '"^^xsd:boolean .' FROM b UNION ALL SELECT x || ' <urn:graph:capability> "' || unnest(caps) || '" .' FROM b UNION ALL SELECT x || ' <urn:graph:unsupportedRuntime> "' || unnest(odd) || '" .' FROM b UNION ALL SELECT q || ' <urn:graph:hasAdapterQuality> ' || x || ' .' FROM b)
+SELECT DISTINCT line FROM l""")
+def turtle_quality(spark, d):
+    return projections.quality_triples(_reports(spark, d), projections.api_adapters(_adapters(spark, d)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.text import in_java
-from loomgraph.operators import enrich, graph, merge, snapshots
+from loomgraph.operators import enrich, graph, merge, nesting, snapshots
 from loomgraph.schemas import ABSOLUTE_PATHS
 from loomgraph.sources import star
 from loomgraph.tables import stage
@@ -140,10 +140,9 @@ def unique_target_join(spark, d):
 
 @query("""SELECT p.o_orderkey, arg_max(s.o_orderkey, (s.o_orderdate, s.o_orderkey)) AS scope FROM orders p JOIN orders s ON p.o_custkey = s.o_custkey AND s.o_orderdate < p.o_orderdate + INTERVAL 30 DAY AND p.o_orderdate + INTERVAL 30 DAY < s.o_orderdate + INTERVAL 90 DAY GROUP BY p.o_orderkey""")
 def innermost_scope(spark, d):
-    o = star.table(spark, d, "orders")
-    scopes = o.select("o_custkey", F.col("o_orderkey").alias("scope_key"), F.col("o_orderdate").alias("begin"))
-    quarter = lambda x: F.floor(F.datediff(x, F.lit("1970-01-01")) / 90)
-    return merge.innermost(o.select("o_custkey", "o_orderkey", "o_orderdate"), scopes, "o_custkey", F.expr("o_orderdate + INTERVAL 30 DAY"), F.col("begin"), F.expr("begin + INTERVAL 90 DAY"), "scope_key", "o_orderkey", quarter).withColumnRenamed("scope_key", "scope")
+    o = star.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01', o_orderdate)").alias("begin"))
+    day, begin = 86_400, F.col("begin")
+    return nesting.innermost(spark, o, o.withColumnRenamed("o_orderkey", "scope"), "o_custkey", "o_orderkey", begin + 30 * day, "scope", begin, begin + 90 * day).select("o_orderkey", "scope")
 
 
 @query("SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.ts < e.ts AND e.ts < x.ts + INTERVAL 1 DAY)")

@@ -76,3 +76,28 @@ ABSOLUTE_PATHS = [
     r"(?<![\w.\\])\\(?!\\)(?=\S)",
     r"(?i)(?<![\w])file:(?:/{2,}|\\{2,})(?=\S)",
 ]
+
+# For each relation the rule and the basis of evidence that names neither.
+EDGE_RULES = {
+    "DECLARES": ("core.declares", "direct_syntax"),
+    "IMPORTS": ("core.imports", "direct_syntax"),
+    "EXTENDS": ("core.extends", "resolved_static"),
+    "IMPLEMENTS": ("java.implements", "resolved_static"),
+    "ANNOTATED_BY": ("java.annotation", "direct_syntax"),
+    "DECORATED_BY": ("python.decorator", "direct_syntax"),
+    "INJECTS": ("java.spring.injection", "framework_semantic"),
+    "DECLARES_BEAN": ("java.spring.bean_factory", "framework_semantic"),
+    "MANAGED_AS": ("java.spring.managed", "framework_semantic"),
+    "MAY_BE_PROXIED_BY": ("java.spring.proxy_signal", "framework_semantic"),
+    "CALLS": ("core.calls", "resolved_static"),
+    "HAS_PIPELINE_ROLE": ("python.pipeline_role", "name_heuristic"),
+    "READS_POLICY_LEAF": ("java.policy.read", "direct_syntax"),
+    "DECLARES_RUNTIME_BRANCH": ("java.policy.branch", "direct_syntax"),
+    "GUARDS_RUNTIME_BRANCH": ("java.policy.guard", "resolved_static"),
+}
+# What an adapter can say about itself, and how.
+SUPPORT = ["supported", "partial", "unsupported"]
+CAPABILITIES = ["annotations", "calls", "declarations", "decorators", "dependency_injection", "explicit_type_imports", "imports", "inheritance", "pipeline_roles", "runtime_activation", "runtime_dispatch", "runtime_imports"]
+MOST_UNSUPPORTED = 32
+#: Symbols that one resolution looks for; they are compared with every node.
+MOST_SYMBOLS = 100

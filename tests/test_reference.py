@@ -484,3 +484,39 @@ def test_capped_query_equals_sql_on_more_rows(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{more}/{t}.parquet'")
     ours, theirs = registry.queries()[name](spark, more), con.execute(registry.oracle_sql()[name])
     assert canon(ours.select(*[c[0] for c in theirs.description]).collect()) == canon(theirs.fetchall())
+
+
+@pytest.mark.parametrize("bits", [2, 16])
+def test_innermost_equals_brute_force(spark, bits):
+    rng = random.Random(4)
+    scopes = [(rng.choice(["a", "a", None]), k, b := rng.randrange(80), b + rng.choice([0, 1, 2, 5, 20, 60])) for k in range(200)]
+    places = [(rng.choice(["a", "a", None]), k, rng.randrange(90)) for k in range(300)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = nesting.innermost(spark, df(places, "k string, p int, at int"), df(scopes, "k string, s int, b int, e int"), "k", "p", F.col("at"), "s", F.col("b"), F.col("e"), bits).collect()
+    want = {}
+    for k, p, at in places:
+        around = [(b, s) for k2, s, b, e in scopes if k2 == k and b < at < e]
+        if around:
+            want[p] = max(around)[1]
+    assert {r.p: r.scope for r in got} == want and len(got) == len(want)
+
+
+def test_rules_fill_what_evidence_leaves_out(spark):
+    rows = [("CALLS", None, None, None), ("INJECTS", "", "resolved_static", None), ("ODD_KIND", None, "", "runtime_unknown"), ("DECLARES", "own.rule", None, None)]
+    got = projections.with_rules(spark.createDataFrame(rows, "type string, rule_id string, basis string, runtime_status string")).collect()
+    assert sorted(map(tuple, got)) == [
+        ("CALLS", "core.calls", "resolved_static", "not_applicable"), ("DECLARES", "own.rule", "direct_syntax", "not_applicable"), ("INJECTS", "java.spring.injection", "resolved_static", "runtime_unknown"), ("ODD_KIND", "core.odd_kind", "direct_syntax", "runtime_unknown"),
+    ]
+
+
+def test_quality_reports_of_both_spellings(spark):
+    rows = [(1, None, "1.0", 10, None, (7, 20, -4, 250.0)), (2, "legacy_unknown", None, None, None, (7, 3, 9, float("nan"))), (3, "odd", None, None, 5, None), (4, "documented", None, 2_000_000, 3, None)]
+    schema = "scope int, status string, contract_version string, totalEdges bigint, documentedEdges bigint, relationship_evidence struct<total_edges:bigint,documented_edges:bigint,missing_evidence:bigint,coverage_percent:double>"
+    got = projections.api_quality(spark.createDataFrame(rows, schema)).orderBy("scope").collect()
+    assert [tuple(r)[1:] for r in got] == [("documented", "1.0", 10, 10, 0, 100.0), ("legacy_unknown", "legacy_unknown", 7, 3, 7, 0.0), ("legacy_unknown", "legacy_unknown", 0, 0, 0, 0.0), ("documented", "unknown", 1_000_000, 3, 0, 0.0)]
+
+
+def test_too_many_symbols(spark):
+    nodes = spark.createDataFrame([("a", "Class", "A", "Java", "x.A")], NODE)
+    with pytest.raises(ValueError, match="at most"):
+        graph.resolve(nodes, [str(k) for k in range(101)], graph.full_text(nodes))
