@@ -35,7 +35,7 @@ SCHEMA = "doc_id bigint, spans array<struct<kind:string,start:int,end:int,base:b
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("value", pa.string())])
 
 # Letters that look like Latin ones, by alphabet, each with the letter it looks like.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЬаеорсухіјѕһԁԛԝӏґɡ", "ABESIJKMHOPCTYXbaeopcyxijshdqwlrg", strict=True))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЬаеорсухіјѕһԁԛԝӏґɡ", "ABESIJKMHOPCTYXbaeopcyxijshdqwlrg", strict=True)) | {"З": "3", "б": "6"}
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορτυχιϲϳ", "ABEZHIKMNOPTYXavoptuxicj", strict=True))
 OTHER = dict(zip("ıȷɑɩʏʟɴʀᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢꜰꜱ", "ijaiylnracdejkmoptuvwzfs", strict=True))
 ARMENIAN = dict(zip("օսցոհ", "ougnh", strict=True))
@@ -51,7 +51,7 @@ SPELLED = {w: str(k) for words in NUMBERS for k, w in enumerate(words)} | {"oh":
 TIMES = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
 # Ends of host names that count behind an at in plain words.
 ENDS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv eu uk us ca de fr es it nl ch at be pl ru cn jp br in au se no dk fi pt mx ar cl nz ie example test invalid".split())
-LOOKALIKE = str.maketrans("OoQDIl|ZSB", "0000111258")
+LOOKALIKE = str.maketrans("OoQDIil|ZSB", "00001111258")
 #: Spelled digits that a chain has at least, unless its dots make it an address.
 FEWEST_SPELLED = 3
 
@@ -112,8 +112,8 @@ PIECE = re.compile(rf"(?P<times>{REPEAT})[ -](?P<many>{NUMBER})(?![^\W_])|(?P<nu
 SPELT = re.compile(rf"[ \t(),-]{NUMBER}{GAP}(?:(?:{REPEAT}[ -])?{NUMBER}(?![^\W_])|[0-9])")
 DOTTED = re.compile(rf"(?:[\[({{<][ \t]{{0,4}}(?:{DOT_WORD}|\.)[ \t]{{0,4}}[\])}}>]|&#46;|&#x2e;|&period;|[ \t]\.[ \t]|[ \t_-]{DOT_WORD}[ \t_-])[ \t]{{0,4}}(?:[0-9]|{NUMBER})")
 LAST_DIGIT = re.compile(rf"(?:[0-9]|{NUMBER})[ \t]{{0,4}}\Z")
-MIXED = re.compile(r"(?<![^\W_])(?=[0-9OoQDIl|ZSB]*[0-9])[0-9OoQDIl|ZSB]++(?![^\W_])")
-MIX = re.compile(r"[0-9][OoQDIl|ZSB]|[OoQDIl|ZSB][0-9]")
+MIXED = re.compile(r"(?<![^\W_])(?=[0-9OoQDIil|ZSB]*[0-9])[0-9OoQDIil|ZSB]++(?![^\W_])")
+MIX = re.compile(r"[0-9][OoQDIil|ZSB]|[OoQDIil|ZSB][0-9]")
 
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
