@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.folds import SEGMENT_BITS, segmented
-from loomgraph.tables import stage, unstage
+from loomgraph.tables import stage, unstage_read
 
 # intervals
 
@@ -111,18 +111,25 @@ def matched(tokens: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 # scopes
 
+#: Chains of at most so many ancestors are read from the written parents without being written between; the plan scans them so many times.
+LAZY = 8
+
 
 def chains(spark: SparkSession, parents: DataFrame, most: int | None = None) -> DataFrame:
     """at, chain: the ancestors of each node of (at, parent), the nearest first, by doubling: chains of 1, 2, 4, ... ancestors are joined to those that begin at their last, so a
-    tree of depth d takes log d rounds. Each round is written once. Without most, rounds go on until no chain grows; the parents must form trees then."""
+    tree of depth d takes log d rounds. Parents are written once, and so is each round beyond LAZY. Without most, rounds go on until no chain grows; the parents must form trees then."""
     now, length = stage(spark, parents.filter("parent is not null").select("at", F.array("parent").alias("chain")), "chains"), 1
     while most is None or length < most:
         more = now.select(F.col("at").alias("last"), F.col("chain").alias("more"))
         longer = now.withColumn("last", F.element_at("chain", -1)).join(more, "last", "left")
-        new = stage(spark, longer.select("at", F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))).alias("chain"), F.col("more").isNotNull().alias("grown")), "chains")
+        longer, length = longer.select("at", F.concat("chain", F.coalesce("more", F.array().cast("array<string>"))).alias("chain"), F.col("more").isNotNull().alias("grown")), 2 * length
+        if most is not None and length <= LAZY:
+            now = longer.select("at", "chain")
+            continue
+        new = stage(spark, longer, "chains")
         grown = most is not None or not new.filter("grown").isEmpty()
-        unstage(spark, now)
-        now, length = new.select("at", "chain"), 2 * length
+        unstage_read(spark, now)
+        now = new.select("at", "chain")
         if not grown:
             break
     return now
