@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Memo, bucketed, numbered, slices, stage, texts, unstage
+from loomgraph.llm.common import Memo, bucketed, numbered, slices, small_batches, stage, texts, unstage
 
 CLASSES = 24
 #: A round that gains less (log10 of the likelihood per training token) is the last.
@@ -57,6 +57,8 @@ ROWS = "range int, block bigint, kind int, at binary, count binary, class binary
 COLUMNS = [x.split()[0] for x in ROWS.split(", ")]
 #: A range adds up what blocks have sent whenever so many counts are waiting.
 WAITING = 2_000_000
+#: Rows that go to Python at once; one holds what a block and a range tell each other, tens of kilobytes.
+ROWS_AT_ONCE = 500
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -453,7 +455,7 @@ def brown_scores(spark: SparkSession, docs: DataFrame, classes: int = CLASSES, t
         raise ValueError("class and context numbers are bytes: classes must be from 2 to 127")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make_blocks, BLOCKS)
-    with bucketed(spark, made, ranges, "block", "brown_blocks", "snappy") as blocks:
+    with small_batches(spark, ROWS_AT_ONCE), bucketed(spark, made, ranges, "block", "brown_blocks", "snappy") as blocks:
         return scores_of(spark, blocks, ranges, classes, tolerance, log)
 
 

@@ -33,6 +33,18 @@ def bucketed(spark: SparkSession, rows: DataFrame, buckets: int, column: str, na
         remove(spark, path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands at most so many rows at once to Python: for rows of many kilobytes, whose batches would else hold 10 000 of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
