@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Memo, bucketed, numbered, slices, small_batches, stage, texts, unstage
+from loomgraph.llm.common import Memo, bucketed, slices, small_batches, stage, texts, unstage
 
 CLASSES = 24
 #: A round that gains less (log10 of the likelihood per training token) is the last.
