@@ -118,19 +118,25 @@ def contract_errors(edges: DataFrame, required: bool = True) -> DataFrame:
     return edges.select("source", "target", "type", F.explode(found).alias("error"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A number that is not negative, rounded as SQL engines round doubles: halves of its binary value go up. (Spark's round takes the halves of its decimal text: 1.005 gives 1.01 there.)"""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def evidence_statistics(edges: DataFrame) -> DataFrame:
     """One row: edges, documented ones, those without, those with a span of lines, and both shares in per cent (100 without edges)."""
     spans = F.exists("evidence", lambda e: e["line_start"].isNotNull())
     c = edges.select((F.size("evidence") > 0).alias("has"), F.coalesce(spans, F.lit(False)).alias("span")).agg(F.count("*").alias("total_edges"), F.count_if("has").alias("documented_edges"), F.count_if(F.coalesce(~F.col("has"), F.lit(True))).alias("missing_evidence"), F.count_if("span").alias("source_span_edges"))
-    share = lambda x: F.when(F.col("total_edges") == 0, 100.0).otherwise(F.round(100.0 * F.col(x) / F.col("total_edges"), 3))
+    share = lambda x: F.when(F.col("total_edges") == 0, 100.0).otherwise(rounded(100.0 * F.col(x) / F.col("total_edges"), 3))
     return c.select("*", share("documented_edges").alias("coverage_percent"), share("source_span_edges").alias("source_span_coverage_percent"))
 
 
-def quality_summary(statistics: DataFrame, most_edges: int = 1_000_000) -> DataFrame:
-    """Statistics and their compact summary: counts clamped, documented ones never above the total, and shares from 0 to 100."""
-    total = clamp(F.col("total_edges"), most_edges)
-    documented = F.least(clamp(F.col("documented_edges"), most_edges), total)
-    return statistics.select("*", F.lit("1.0").alias("contractVersion"), total.alias("totalEdges"), documented.alias("documentedEdges"), (total - documented).alias("missingEvidence"), F.round(F.greatest(F.lit(0.0), F.least("coverage_percent", F.lit(100.0))), 2).alias("coveragePercent"))
+def quality_summary(statistics: DataFrame, most_edges: int | None = 1_000_000) -> DataFrame:
+    """Statistics and their compact summary: counts clamped (from below only, without most_edges), documented ones never above the total, and shares from 0 to 100."""
+    count = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0))) if most_edges is None else clamp(F.col(c), most_edges)
+    total = count("total_edges")
+    documented = F.least(count("documented_edges"), total)
+    return statistics.select("*", F.lit("1.0").alias("contractVersion"), total.alias("totalEdges"), documented.alias("documentedEdges"), (total - documented).alias("missingEvidence"), rounded(F.greatest(F.lit(0.0), F.least("coverage_percent", F.lit(100.0))), 2).alias("coveragePercent"))
 
 
 def mapping_total(x: Column, allowed: list[str], most: int) -> Column:
