@@ -231,21 +231,24 @@ def api_quality(raw: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def quality_triples(quality: DataFrame, adapters: DataFrame, space: str = "urn:graph:") -> DataFrame:
     """Lines of Turtle for reports (scope, contractVersion, documentedEdges, missingEvidence, coveragePercent) and for the adapters (scope, and the columns of api_adapters) that belong to them. A report is
-    named by the digest of its scope and numbers, an adapter by that and its language."""
-    digest = F.sha2(F.to_json(F.struct(F.col("scope").cast("string").alias("scope"), "contractVersion", "documentedEdges", "missingEvidence", "coveragePercent")), 256)
-    q = quality.withColumn("digest", digest)
+    named by the digest of its scope and numbers, an adapter by that and its language. Both are dealt by scope and made distinct as short columns; lines are written last, differ then, and are not moved."""
+    numbers = ["contractVersion", "documentedEdges", "missingEvidence", "coveragePercent"]
+    digest = F.sha2(F.to_json(F.struct(F.col("scope").cast("string").alias("scope"), *numbers)), 256)
+    q = quality.select("scope", *numbers).repartition("scope").distinct().withColumn("digest", digest)
     iri = lambda kind, x: F.concat(F.lit(f"<{space}{kind}:"), x, F.lit(">"))
     typed = lambda x, kind: F.concat(F.lit('"'), x.cast("string"), F.lit(f'"^^xsd:{kind}'))
-    line = lambda s, p, o: F.concat_ws(" ", s, F.lit(p), o, F.lit("."))
+    line = lambda s, p, o: F.concat_ws(" ", s, p, o, F.lit("."))
     own = iri("quality", F.col("digest"))
     about = [("a", F.lit(f"<{space}OntologyQuality>")), (f"<{space}contractVersion>", turtle_literal(F.col("contractVersion"))), (f"<{space}documentedEdges>", typed(F.col("documentedEdges"), "integer")), (f"<{space}missingEvidence>", typed(F.col("missingEvidence"), "integer")), (f"<{space}coveragePercent>", typed(F.col("coveragePercent"), "decimal"))]
-    reports = q.select(F.explode(F.array(*[line(own, p, o) for p, o in about])).alias("line"))
-    a = adapters.join(q.select("scope", "digest"), "scope")
+    reports = q.select(F.explode(F.array(*[line(own, F.lit(p), o) for p, o in about])).alias("line"))
+    say = lambda p, o: F.struct(F.lit(p).alias("p"), o.alias("o"))
+    said = [say("a", F.lit(f"<{space}AdapterQuality>")), say(f"<{space}language>", turtle_literal(F.col("language"))), say(f"<{space}supportStatus>", turtle_literal(F.col("status"))), say(f"<{space}detected>", typed(F.col("detected"), "boolean"))]
+    able = F.transform(F.map_entries("capabilities"), lambda e: say(f"<{space}capability>", turtle_literal(F.concat_ws("=", e["key"], e["value"]))))
+    odd = F.transform("unsupportedRuntime", lambda x: say(f"<{space}unsupportedRuntime>", turtle_literal(x)))
+    # the line that ties an adapter to its report begins with the report, so it has no predicate of its own here
+    facts = F.concat(F.array(*said), able, odd, F.array(F.struct(F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("o"))))
+    a = adapters.repartition("scope").select("scope", "language", F.inline(facts)).distinct()
     adapter = iri("adapter-quality", F.concat("digest", F.lit(":"), percent_encode(F.col("language"))))
-    said = [("a", F.lit(f"<{space}AdapterQuality>")), (f"<{space}language>", turtle_literal(F.col("language"))), (f"<{space}supportStatus>", turtle_literal(F.col("status"))), (f"<{space}detected>", typed(F.col("detected"), "boolean"))]
-    names = F.array_sort(F.map_keys("capabilities"))
-    lines = F.concat(
-        F.array(*[line(adapter, p, o) for p, o in said]), F.transform(names, lambda k: line(adapter, f"<{space}capability>", turtle_literal(F.concat(k, F.lit("="), F.element_at("capabilities", k))))),
-        F.transform("unsupportedRuntime", lambda x: line(adapter, f"<{space}unsupportedRuntime>", turtle_literal(x))), F.array(line(own, f"<{space}hasAdapterQuality>", adapter)),
-    )
-    return reports.unionByName(a.select(F.explode(lines).alias("line"))).distinct()
+    tie = line(own, F.lit(f"<{space}hasAdapterQuality>"), adapter)
+    lines = a.join(q.select("scope", "digest"), "scope").select(F.when(F.col("p").isNull(), tie).otherwise(line(adapter, F.col("p"), F.col("o"))).alias("line"))
+    return reports.unionByName(lines)
