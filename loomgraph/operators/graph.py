@@ -215,10 +215,29 @@ def owner_trail(nodes: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     return nodes.select("id").join(trails, "id", "left").select("id", F.coalesce("trail", F.array().cast("array<string>")).alias("trail"))
 
 
+#: Hash buckets in which groups are counted to find the large ones, the share of rows that is counted, and the parts that a large group is dealt into.
+COUNTED, SEEN, PARTS = 1 << 16, 0.02, 64
+
+
 def grouped_relations(edges: DataFrame, most: int = 18) -> DataFrame:
-    """For each node, direction and relation: the first neighbours by id and how many there are. Numbers are counted with partial sums and
-    only the first of a group are kept before its rows meet, so a hub fills no task."""
-    near, group = adjacency(edges).distinct(), ["node", "direction", "type"]
-    k = F.row_number().over(Window.partitionBy(*group).orderBy("next"))
-    first = near.withColumn("k", k).filter(F.col("k") <= most).groupBy(*group).agg(F.sort_array(F.collect_list("next")).alias("first"))
-    return near.groupBy(*group).agg(F.count("*").alias("n")).join(first, group)
+    """For each node, direction and relation: the first neighbours by id and how many there are. Rows are moved once, by group, and counted in the order of their neighbours. Groups in buckets that hold more
+    than a fourth of a task's share are dealt into PARTS by neighbour, each with its own first ones, so a hub fills no task. Some rows tell which groups those are, as with ranges; it changes where rows go and no result."""
+    near, group = adjacency(edges), ["node", "direction", "type"]
+    bucket = F.pmod(F.xxhash64(*group), F.lit(COUNTED))
+    counts = adjacency(edges.sample(SEEN, 42)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()  # COUNTED rows at most
+    share = sum(r["n"] for r in counts) / (4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    large = [r["b"] for r in counts if r["n"] > max(share, most)]  # fewer than four for each task
+
+    def first(rows: DataFrame, by: list[str]) -> DataFrame:
+        # the hash goes first in the sort, as ids of one kind begin alike; the nth neighbour is the greatest of those at place n, so ranked rows are folded as they come
+        dealt = rows.repartition(*by).withColumn("__h", F.xxhash64(*by))
+        ranked = dealt.select("__h", *by, "next", F.dense_rank().over(Window.partitionBy("__h", *by).orderBy("next")).alias("k"))
+        nth = F.array(*[F.max(F.when(F.col("k") == i, F.col("next"))) for i in range(1, most + 1)])
+        return ranked.groupBy("__h", *by).agg(F.max("k").cast("long").alias("n"), F.array_compact(nth).alias("first")).drop("__h")
+
+    if not large:
+        return first(near, group)
+    hot = bucket.isin(large)
+    parts = first(near.filter(hot).withColumn("__part", F.pmod(F.xxhash64("next"), F.lit(PARTS))), [*group, "__part"])
+    whole = parts.groupBy(*group).agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, most).alias("first"))
+    return first(near.filter(~hot), group).unionByName(whole)
