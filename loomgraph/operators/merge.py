@@ -77,19 +77,24 @@ def resolved_types(uses: DataFrame, files: DataFrame, imports: DataFrame, wildca
     """repo, file, name, qualified, known: what simple type names mean. uses: repo, file, name; files: repo, file, package, failed; imports: repo, file, name, target; wildcards: repo, file, package; declared:
     repo, package, name; accepted: name, qualified (the types that count as known).
 
-    An import of the name decides. Else the one package that the file imports as a whole does, if it has an accepted type of that name, unless a type of that name is declared in the file's own package, which goes before: an
-    anti-join of candidates with declarations. If any file of a repository could not be read, nobody knows what it declares, so no name of that repository is taken from a wildcard (bool_or over
-    its files). What is left is a type of the file's own package."""
+    An import of the name decides. Else the one package that the file imports as a whole does, if it has an accepted type of that name, unless a type of that name is declared in the file's own package, which goes before.
+    If any file of a repository could not be read, nobody knows what it declares, so no name of that repository is taken from a wildcard (bool_or over
+    its files). What is left is a type of the file's own package.
+
+    Uses are read once and meet all of that in left joins. Keys that few values have (repository; name and accepted type) are not dealt by: a row for each repository and the list of accepted types are
+    sent to all tasks. Declarations are made distinct before they are joined."""
     own = files.groupBy("repo", "file").agg(F.min("package").alias("package"))
-    off = files.groupBy("repo").agg(F.bool_or("failed").alias("off"))
+    readable = files.groupBy("repo").agg(F.bool_or("failed").alias("off")).filter("not coalesce(off, false)").select("repo", F.lit(True).alias("readable"))
     named = imports.groupBy("repo", "file", "name").agg(F.min("target").alias("target"))
     one = wildcards.groupBy("repo", "file").agg(F.min("package").alias("wild"), F.max("package").alias("other")).filter("wild = other").drop("other")
     known = accepted.select("name", "qualified").distinct()
-    asked = uses.select("repo", "file", "name").distinct().join(named, ["repo", "file", "name"], "left").join(own, ["repo", "file"], "left")
-    candidates = asked.filter("target is null").join(one, ["repo", "file"]).join(off.filter("not coalesce(off, false)").select("repo"), "repo", "left_semi")
-    candidates = candidates.join(declared.select("repo", "package", "name"), ["repo", "package", "name"], "left_anti")
-    found = candidates.withColumn("qualified", F.concat_ws(".", "wild", "name")).join(known, ["name", "qualified"], "left_semi").select("repo", "file", "name", F.col("qualified").alias("by_wildcard"))
-    out = asked.join(found, ["repo", "file", "name"], "left")
-    qualified = F.coalesce("target", "by_wildcard", F.when(F.col("package") != "", F.concat_ws(".", "package", "name")), F.col("name"))
-    exact = known.select(F.col("name").alias("name"), F.col("qualified").alias("target"), F.lit(True).alias("listed"))
-    return out.join(exact, ["name", "target"], "left").select("repo", "file", "name", qualified.alias("qualified"), (F.col("by_wildcard").isNotNull() | F.coalesce("listed", F.lit(False))).alias("known"))
+    declares = declared.select("repo", "package", "name").distinct().withColumn("declares", F.lit(True))
+    taken = known.select("name", F.col("qualified").alias("candidate"), F.lit(True).alias("accepted"))
+    exact = known.select("name", F.col("qualified").alias("target"), F.lit(True).alias("listed"))
+    per_file = own.join(one, ["repo", "file"], "full")
+    asked = uses.select("repo", "file", "name").distinct().join(named, ["repo", "file", "name"], "left").join(per_file, ["repo", "file"], "left")
+    asked = asked.join(F.broadcast(readable), "repo", "left").withColumn("candidate", F.when(F.col("target").isNull() & F.col("readable"), F.concat_ws(".", "wild", "name")))
+    asked = asked.join(F.broadcast(taken), ["name", "candidate"], "left").join(declares, ["repo", "package", "name"], "left").join(F.broadcast(exact), ["name", "target"], "left")
+    by_wildcard = F.when(F.col("accepted") & F.col("wild").isNotNull() & F.col("declares").isNull(), F.col("candidate"))
+    qualified = F.coalesce("target", by_wildcard, F.when(F.col("package") != "", F.concat_ws(".", "package", "name")), F.col("name"))
+    return asked.select("repo", "file", "name", qualified.alias("qualified"), (by_wildcard.isNotNull() | F.coalesce("listed", F.lit(False))).alias("known"))
