@@ -234,7 +234,8 @@ def quality_triples(quality: DataFrame, adapters: DataFrame, space: str = "urn:g
     named by the digest of its scope and numbers, an adapter by that and its language. Both are dealt by scope and made distinct as short columns; lines are written last, differ then, and are not moved."""
     numbers = ["contractVersion", "documentedEdges", "missingEvidence", "coveragePercent"]
     digest = F.sha2(F.to_json(F.struct(F.col("scope").cast("string").alias("scope"), *numbers)), 256)
-    q = quality.select("scope", *numbers).repartition("scope").distinct().withColumn("digest", digest)
+    dealt = int(quality.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said here, as small partitions joined up would make large tasks of short rows
+    q = quality.select("scope", *numbers).repartition(dealt, "scope").distinct().withColumn("digest", digest)
     iri = lambda kind, x: F.concat(F.lit(f"<{space}{kind}:"), x, F.lit(">"))
     typed = lambda x, kind: F.concat(F.lit('"'), x.cast("string"), F.lit(f'"^^xsd:{kind}'))
     line = lambda s, p, o: F.concat_ws(" ", s, p, o, F.lit("."))
@@ -247,7 +248,7 @@ def quality_triples(quality: DataFrame, adapters: DataFrame, space: str = "urn:g
     odd = F.transform("unsupportedRuntime", lambda x: say(f"<{space}unsupportedRuntime>", turtle_literal(x)))
     # the line that ties an adapter to its report begins with the report, so it has no predicate of its own here
     facts = F.concat(F.array(*said), able, odd, F.array(F.struct(F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("o"))))
-    a = adapters.repartition("scope").select("scope", "language", F.inline(facts)).distinct()
+    a = adapters.repartition(dealt, "scope").select("scope", "language", F.inline(facts)).distinct()
     adapter = iri("adapter-quality", F.concat("digest", F.lit(":"), percent_encode(F.col("language"))))
     tie = line(own, F.lit(f"<{space}hasAdapterQuality>"), adapter)
     lines = a.join(q.select("scope", "digest"), "scope").select(F.when(F.col("p").isNull(), tie).otherwise(line(adapter, F.col("p"), F.col("o"))).alias("line"))
