@@ -168,8 +168,9 @@ def edge_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     label = F.coalesce(F.when(F.col("qualified_name") != "", F.col("qualified_name")), F.when(F.col("name") != "", F.col("name")))
     names = nodes.select("id", label.alias("label"))
     s, t = names.select(F.col("id").alias("source"), F.col("label").alias("s")), names.select(F.col("id").alias("target"), F.col("label").alias("t"))
-    out = edges.select("source", "target", "type").join(s, "source", "left").join(t, "target", "left")
-    return out.select(F.coalesce("s", "source").alias("source_label"), F.coalesce("t", "target").alias("target_label"), "type").distinct()
+    # the id of an end is left behind where its label is known, so it is not moved on
+    named = edges.select("source", "target", "type").join(s, "source", "left").select(F.coalesce("s", "source").alias("source_label"), "target", "type")
+    return named.join(t, "target", "left").select("source_label", F.coalesce("t", "target").alias("target_label"), "type").distinct()
 
 
 def metrics(cases: DataFrame, *by: str) -> DataFrame:
